@@ -80,11 +80,12 @@ def shift_vectors(
     shifted: str = "shifted",
 ) -> DataFrame:
     """Add ``coefficient * s * v`` to every vector; coefficient 0 leaves it as it is."""
-    found = one_row(along, "v", "s")
+    found = F.col("_along")
     factor = coefficient if isinstance(coefficient, Column) else F.lit(float(coefficient))
     moved = add_scaled(vector, found["v"], factor * found["s"])
     same = F.transform(vector, lambda x: x.cast("double"))
-    return vectors.withColumn(shifted, F.when(factor == 0, same).otherwise(moved))
+    held = vectors.withColumn("_along", one_row(along, "v", "s"))
+    return held.withColumn(shifted, F.when(factor == 0, same).otherwise(moved)).drop("_along")
 
 
 def shift_sweep(
@@ -103,11 +104,16 @@ def shift_sweep(
     each vector is read and projected once, and only that number meets the grid.
     """
     keys = as_list(keys)
-    found = one_row(along, "v", "s", "midpoint")
-    projected = vectors.filter(F.col(vector).isNotNull()).select(
-        *keys, dot(vector, found["v"]).alias("_projection")
+    found = F.col("_along")
+    held = vectors.filter(F.col(vector).isNotNull()).withColumn(
+        "_along", one_row(along, "v", "s", "midpoint")
+    )
+    projected = held.select(
+        *keys,
+        (dot(vector, found["v"]) - found["midpoint"]).alias("_beyond"),
+        found["s"].alias("_s"),
     )
     cells = condition_grid(projected, coefficients, condition)
-    moved = F.col("_projection") + F.col(condition) * found["s"]
-    label = F.when(moved > found["midpoint"], "FIGURATIVE").otherwise("LITERAL")
-    return label_rates(cells.withColumn("label", label), [*keys, condition])
+    moved = F.col("_beyond") + F.col(condition) * F.col("_s")
+    label = F.when(moved > 0, "FIGURATIVE").otherwise("LITERAL")
+    return label_rates(cells.withColumn("_label", label), [*keys, condition], "_label")

@@ -6,13 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from condeval.sources.tables import read_parquet_table
-
-DIRECTION = T.StructType.fromDDL(
-    "v ARRAY<DOUBLE>, s DOUBLE, midpoint DOUBLE, source_layer INT, model STRING"
-)
+from condeval.sources.tables import DIRECTION, read_parquet_table
 
 
 def save_direction(found: DataFrame, path: str, source_layer: int, model: str) -> None:

@@ -8,12 +8,23 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-IDIOM_SUITE = T.StructType.fromDDL("idiom STRING, variant_id INT, prefix STRING")
-FIGURATIVE_SUITE = T.StructType.fromDDL(
-    "category STRING, expression STRING, variant_id INT, prefix STRING, gold BOOLEAN"
+
+def _columns(**types: str | T.DataType) -> T.StructType:
+    schema = T.StructType()
+    for name, kind in types.items():
+        schema = schema.add(name, kind)
+    return schema
+
+
+IDIOM_SUITE = _columns(idiom="string", variant_id="integer", prefix="string")
+FIGURATIVE_SUITE = _columns(
+    category="string", expression="string", variant_id="integer", prefix="string", gold="boolean"
+)
+DRAFT_SUITE = _columns(expression="string", type="string", prefix="string", status="string")
+POOL = _columns(sentence="string", idiom="string", span="string", usage="string")
+DIRECTION = _columns(
+    v=T.ArrayType(T.DoubleType()), s="double", midpoint="double", source_layer="integer", model="string"
 )
-DRAFT_SUITE = T.StructType.fromDDL("expression STRING, type STRING, prefix STRING, status STRING")
-POOL = T.StructType.fromDDL("sentence STRING, idiom STRING, span STRING, usage STRING")
 
 
 def results_schema(
