@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from string import Formatter
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from condeval.functions.columns import ColumnLike, as_column
@@ -23,23 +23,30 @@ def same_surface(left: ColumnLike, right: ColumnLike) -> Column:
     return F.lower(as_column(left)) == F.lower(as_column(right))
 
 
-def span_start(text: ColumnLike, span: ColumnLike) -> Column:
-    """1-based position of the first case-insensitive hit, NULL when absent."""
-    hit = F.position(F.lower(as_column(span)), F.lower(as_column(text)))
-    return F.when(hit > 0, hit)
+def locate_spans(
+    rows: DataFrame, text: str, span: str, start: str = "start", token: str = "token"
+) -> DataFrame:
+    """Where a span first occurs in a text, ignoring case, and in which token it ends.
 
-
-def span_end_token(text: ColumnLike, span: ColumnLike) -> Column:
-    """0-based index of the whitespace token that holds the span's last character.
-
-    NULL for an absent or empty span. Offsets and lengths are both taken on the
+    ``start`` is the 1-based position, NULL when absent. ``token`` is the 0-based
+    index of the whitespace token that holds the span's last character, NULL for
+    an absent or empty span. Offsets and lengths are both taken on the
     lower-cased strings, so they stay consistent where lowering changes length.
+
+    The steps are columns of their own, so that each is computed once per row.
     """
-    lowered = F.lower(as_column(text))
-    needle = F.lower(as_column(span))
-    end = span_start(text, span) + F.char_length(needle) - 1
-    tokens = F.regexp_count(F.substring(lowered, F.lit(1), end), F.lit(r"\S+"))
-    return F.when((F.char_length(needle) > 0) & (tokens > 0), tokens - 1)
+    size = F.char_length("_span")
+    found = (
+        rows.withColumns({"_text": F.lower(text), "_span": F.lower(span)})
+        .withColumn("_hit", F.nullif(F.position("_span", "_text"), F.lit(0)))
+        .withColumn("_head", F.when(size > 0, F.substring("_text", F.lit(1), F.col("_hit") + size - 1)))
+        .withColumn("_tokens", F.regexp_count("_head", F.lit(r"\S+")))
+    )
+    return found.select(
+        *rows.columns,
+        F.col("_hit").alias(start),
+        (F.nullif("_tokens", F.lit(0)) - 1).alias(token),
+    )
 
 
 def fill_template(template: str, **fields: ColumnLike) -> Column:
@@ -66,18 +73,20 @@ def strip_reasoning(response: ColumnLike) -> Column:
     return F.regexp_replace(as_column(response), REASONING, "")
 
 
-def parse_label(response: ColumnLike) -> Column:
-    """Label stated in a free-text answer; NULL only for a NULL answer.
+def parse_labels(rows: DataFrame, response: str, label: str = "label") -> DataFrame:
+    """Add the label stated in a free-text answer; NULL only for a NULL answer.
 
     The stated final label wins; otherwise the first label of MENTION_ORDER
-    that occurs anywhere; otherwise UNPARSEABLE.
+    that occurs anywhere; otherwise UNPARSEABLE. The cleaned answer is a column
+    of its own, so that it is computed once per row.
     """
-    answer = F.upper(F.trim(strip_reasoning(response)))
-    stated = F.regexp_extract(answer, FINAL_LABEL, 1)
-    parsed = F.when(stated != "", stated)
-    for label in MENTION_ORDER:
-        parsed = parsed.when(F.contains(answer, F.lit(label)), F.lit(label))
-    return F.when(as_column(response).isNotNull(), parsed.otherwise(F.lit(UNPARSEABLE)))
+    cleaned = rows.withColumn("_clean", F.upper(F.trim(strip_reasoning(response))))
+    staged = cleaned.withColumn("_stated", F.regexp_extract("_clean", FINAL_LABEL, 1))
+    parsed = F.when(F.col("_stated") != "", F.col("_stated"))
+    for mention in MENTION_ORDER:
+        parsed = parsed.when(F.contains("_clean", F.lit(mention)), F.lit(mention))
+    parsed = parsed.when(F.col("_clean").isNotNull(), F.lit(UNPARSEABLE))
+    return staged.withColumn(label, parsed).drop("_clean", "_stated")
 
 
 def full_text(prefix: ColumnLike, continuation: ColumnLike) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from condeval.functions.columns import as_column
-from condeval.functions.text import parse_label
+from condeval.functions.text import parse_labels
 from condeval.operators.grid import (
     COEFFICIENTS,
     SAMPLES,
@@ -57,7 +57,7 @@ def label_batches(
 ) -> DataFrame:
     """Add a parsed label to each row."""
     answered = answer_batches(rows, prompt, labeller, batch_size, "_answer")
-    return answered.withColumn(label, parse_label("_answer")).drop("_answer")
+    return parse_labels(answered, "_answer", label).drop("_answer")
 
 
 def generate_batches(

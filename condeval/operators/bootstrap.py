@@ -23,6 +23,8 @@ from condeval.operators.rates import condition_counts, point_delta
 COUNTS = ("k0", "n0", "k1", "n1")
 # Slots one task row expands at a time.
 SLOTS = 1 << 16
+# Indexed counts of this many clusters stay well under 100 MB, and are broadcast.
+SMALL_CLUSTERS = 500_000
 
 
 def cluster_counts(
@@ -49,17 +51,33 @@ def cluster_counts(
     )
 
 
-def index_clusters(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Dense 0-based cluster index per series, and the number of clusters per series.
+def _order() -> Column:
+    return F.substring(F.md5("cluster"), 1, 3)
 
-    Clusters are ordered by a hash bucket and then by name. They are ranked
-    inside each (series, bucket), and only bucket sizes are summed up per series,
-    so no task has to sort a whole series.
+
+def index_clusters(counts: DataFrame) -> DataFrame:
+    """Dense 0-based cluster index ``ix`` per series, with ``n_clusters``.
+
+    Clusters are ordered by a hash bucket and then by name.
     """
-    bucket = F.substring(F.md5("cluster"), 1, 3)
-    ranked = counts.withColumn("bucket", bucket).withColumn(
-        "rank", F.row_number().over(W.partitionBy("series", "bucket").orderBy("cluster"))
+    whole = W.partitionBy("series")
+    rank = F.row_number().over(whole.orderBy(_order(), "cluster"))
+    return counts.select(
+        "series",
+        (rank - 1).cast("bigint").alias("ix"),
+        F.count("*").over(whole).alias("n_clusters"),
+        *COUNTS,
     )
+
+
+def index_many_clusters(counts: DataFrame) -> DataFrame:
+    """The same index for series that are too large to sort in one task.
+
+    Clusters are ranked inside each (series, bucket), and only the bucket sizes
+    are summed up per series.
+    """
+    inside = W.partitionBy("series", "bucket").orderBy("cluster")
+    ranked = counts.withColumn("bucket", _order()).withColumn("rank", F.row_number().over(inside))
     whole = W.partitionBy("series")
     before = whole.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     buckets = (
@@ -72,11 +90,9 @@ def index_clusters(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
             }
         )
     )
-    indexed = ranked.join(buckets, ["series", "bucket"]).select(
-        "series", (F.col("start") + F.col("rank") - 1).alias("ix"), *COUNTS
+    return ranked.join(buckets, ["series", "bucket"]).select(
+        "series", (F.col("start") + F.col("rank") - 1).alias("ix"), "n_clusters", *COUNTS
     )
-    sizes = buckets.groupBy("series").agg(F.max("n_clusters").alias("n_clusters"))
-    return indexed, sizes
 
 
 def draw(seed: int, slot: str = "slot") -> Column:
@@ -88,28 +104,39 @@ def draw(seed: int, slot: str = "slot") -> Column:
 
 
 def bootstrap_deltas(
-    counts: DataFrame, replicates: int = 5000, seed: int = 0, tasks: int | None = None
+    counts: DataFrame,
+    replicates: int = 5000,
+    seed: int = 0,
+    tasks: int | None = None,
+    small: int = SMALL_CLUSTERS,
 ) -> DataFrame:
     """(series, replicate, delta): resample as many clusters as the series has.
 
-    Replicates are spread over ``tasks`` (the session's parallelism by default)
-    before the slots are expanded. Cluster counts are joined by index: broadcast
-    when their measured size is small, sort-merge joined otherwise. The delta is
-    NULL where a replicate drew no rows for one of the conditions.
+    ``counts`` should be stored: it is counted here, and read by two branches.
+    Up to ``small`` clusters the indexed counts are broadcast, and no draw is
+    ever shuffled; beyond that the draws are sort-merge joined. Replicates are
+    spread over ``tasks`` (the session's parallelism by default) before their
+    slots are expanded. The delta is NULL where a replicate drew no rows for one
+    of the conditions.
     """
     tasks = tasks or counts.sparkSession.sparkContext.defaultParallelism
-    indexed, sizes = index_clusters(counts)
+    few = counts.count() <= small
+    indexed = index_clusters(counts) if few else index_many_clusters(counts)
+    sizes = indexed.groupBy("series").agg(F.max("n_clusters").alias("n_clusters"))
     n, block = F.col("n_clusters"), F.col("block")
+    last_block = F.floor((n - 1) / SLOTS)
     blocks = (
         sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n_clusters - 1) div {SLOTS}"))))
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)))
         .repartition(tasks, "series", "replicate", "block")
     )
     slots = F.sequence(block * SLOTS, F.least(n, (block + 1) * SLOTS) - 1)
     draws = blocks.withColumn("slot", F.explode(slots)).select(
         "series", "replicate", draw(seed).alias("ix")
     )
-    sums = draws.join(indexed, ["series", "ix"]).groupBy("series", "replicate")
+    clusters = indexed.drop("n_clusters")
+    clusters = F.broadcast(clusters) if few else clusters.hint("merge")
+    sums = draws.join(clusters, ["series", "ix"]).groupBy("series", "replicate")
     totals = sums.agg(*(F.sum(c).alias(c) for c in COUNTS))
     return totals.select("series", "replicate", point_delta().alias("delta"))
 

@@ -31,7 +31,7 @@ def line_label() -> Column:
 
 
 def _step(rate: str, shift: int) -> Column:
-    return F.round(F.col(rate) * 100).cast("int") - shift
+    return F.rint(F.col(rate) * 100).cast("int") - shift
 
 
 def labelled_lines(spark: SparkSession, folder: str, rate: str = "l_discount", shift: int = 5) -> DataFrame:
@@ -125,14 +125,15 @@ def verdict_blocks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     """Annotator output of two rules; the second annotator saw only labelled documents."""
 
     def block(valid: Column) -> Column:
-        flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+        flat = F.col("flat")
         head = F.concat(F.lit("ROW "), "doc_id", F.lit(" | "), "source", F.lit("\nFIG: "), flat, F.lit("\nLIT: "), "lang")
         tail = F.when(valid, F.lit("\nVERDICT: VALID")).otherwise(
             F.concat(F.lit("\nVERDICT: INVALID\nREVISION: "), flat)
         )
         return F.concat(head, tail).alias("value")
 
-    documents = table(spark, folder, "documents")
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    documents = table(spark, folder, "documents").withColumn("flat", flat)
     labels = table(spark, folder, "labels")
     return (
         documents.select(block(F.col("n_chars") > 1000)),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from condeval.functions.text import fill_template, full_text, parse_label, span_end_token, span_start
+from condeval.functions.text import fill_template, full_text, locate_spans, parse_labels
 from condeval.operators import agreement as A
 from condeval.operators import bootstrap as B
 from condeval.operators import grid as G
@@ -16,6 +17,7 @@ from condeval.operators import rates as R
 from condeval.operators import vectors as V
 from condeval.operators import votes as M
 from condeval.operators.batch import generate_batches, label_batches
+from condeval.operators.storing import stored
 from condeval.plans import bindings as T
 from condeval.plans.bindings import BASELINE, PUSH, STEPS, table
 from condeval.sources.verdicts import parse_blocks
@@ -66,7 +68,7 @@ def pending_conditions(spark, folder):
     items = T.suite_items(spark, folder).select("item")
     lines = table(spark, folder, "lineitem").filter("l_returnflag = 'R'")
     done = lines.select(
-        F.col("l_partkey").alias("item"), (F.round(F.col("l_discount") * 100) - 5).alias("coefficient")
+        F.col("l_partkey").alias("item"), (F.rint(F.col("l_discount") * 100) - 5).alias("coefficient")
     )
     return G.pending_conditions(items, done, ["item"], STEPS)
 
@@ -82,16 +84,12 @@ def prompt_render(spark, folder):
 
 
 def label_parse(spark, folder):
-    return T.answer_texts(spark, folder).select("doc_id", parse_label("answer").alias("label"))
+    return parse_labels(T.answer_texts(spark, folder), "answer").select("doc_id", "label")
 
 
 def span_lookup(spark, folder):
-    return T.span_pairs(spark, folder).select(
-        "doc_id",
-        "kind",
-        span_start("text", "span").alias("start"),
-        span_end_token("text", "span").alias("token"),
-    )
+    found = locate_spans(T.span_pairs(spark, folder), "text", "span")
+    return found.select("doc_id", "kind", "start", "token")
 
 
 def rates_by_step(spark, folder):
@@ -124,7 +122,7 @@ def rounded_deltas(spark, folder):
     rates = rates_grouping_sets(spark, folder)
     push = R.lowest_condition(T.labelled_lines(spark, folder), "step")
     deltas = R.rate_deltas(rates, "step", push, BASELINE, ["pooled", "category"])
-    pooled = deltas.filter("pooled").select("delta").scalar()
+    pooled = F.max(F.when(F.col("pooled"), F.col("delta"))).over(W.partitionBy())
     ratio = R.effect_ratio(F.col("delta"), pooled)
     return places(deltas.withColumn("ratio", ratio), "delta", "ratio")
 
@@ -204,7 +202,7 @@ def shift_sweep(spark, folder):
 
 def _cluster_counts(spark, folder):
     labelled = T.labelled_suite(spark, folder)
-    return B.cluster_counts(labelled, "category", "expression", "step", PUSH, BASELINE)
+    return stored(B.cluster_counts(labelled, "category", "expression", "step", PUSH, BASELINE))
 
 
 def bootstrap_ci(spark, folder):
