@@ -223,42 +223,48 @@ def suite_invariants(spark, folder):
 def article_rule():
     """A stand-in for a model: answers by how often "the" occurs in the prompt."""
 
-    def answer(prompts: list[str]) -> list[str]:
-        labels = []
-        for prompt in prompts:
-            often = prompt.count("the") * 100
-            if often >= len(prompt):
-                labels.append("Final label: LITERAL")
-            elif often > 0:
-                labels.append("<think>LITERAL?</think> it reads figurative")
-            else:
-                labels.append("no idea")
-        return labels
+    def load():
+        def answer(prompts: list[str]) -> list[str]:
+            labels = []
+            for prompt in prompts:
+                often = prompt.count("the") * 100
+                if often >= len(prompt):
+                    labels.append("Final label: LITERAL")
+                elif often > 0:
+                    labels.append("<think>LITERAL?</think> it reads figurative")
+                else:
+                    labels.append("no idea")
+            return labels
 
-    return answer
+        return answer
+
+    return load
 
 
 def batch_label(spark, folder):
     documents = table(spark, folder, "documents")
-    labelled = label_batches(documents, F.col("text"), article_rule)
+    labelled = label_batches(documents, F.col("text"), article_rule())
     return labelled.select("doc_id", "lang", "source", "n_chars", "label")
 
 
 def numbered_texts():
     """A stand-in for a model: states the coefficient and the sample."""
 
-    def write(prefixes: list[str], coefficients: list[float], samples: int) -> list[list[str]]:
-        return [
-            [f" [{c:+.2f}] {len(p)} #{i}" for i in range(samples)]
-            for p, c in zip(prefixes, coefficients)
-        ]
+    def load():
+        def write(prefixes: list[str], coefficients: list[float], samples: int) -> list[list[str]]:
+            return [
+                [f" [{c:+.2f}] {len(p)} #{i}" for i in range(samples)]
+                for p, c in zip(prefixes, coefficients)
+            ]
+
+        return write
 
-    return write
+    return load
 
 
 def batch_generate(spark, folder):
     items = table(spark, folder, "supplier").select("s_suppkey", F.col("s_name").alias("prefix"))
-    texts = G.sample_rows(generate_batches(G.condition_grid(items), numbered_texts))
+    texts = G.sample_rows(generate_batches(G.condition_grid(items), numbered_texts()))
     return texts.withColumn("sentence", full_text("prefix", "continuation")).drop("prefix")
 
 

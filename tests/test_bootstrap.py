@@ -1,0 +1,139 @@
+from hashlib import md5
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from condeval.operators import bootstrap as B
+from condeval.plans.reports import bootstrap_report, write_report
+
+DDL = "series string, cluster string, c double, label string"
+
+
+def _rows(series, clusters, seed, base=0.4, push=0.6):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(clusters):
+        for c, p in ((0.0, base), (-4.78, push), (2.39, 0.5)):
+            for _ in range(12):
+                rows.append((series, f"e{k}", c, "LITERAL" if rng.random() < p else "FIGURATIVE"))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    return spark.createDataFrame(_rows("x", 17, 1) + _rows("y", 9, 2, 0.5, 0.5), DDL)
+
+
+@pytest.fixture(scope="module")
+def counts(labelled):
+    return B.cluster_counts(labelled, "series", "cluster", "c", -4.78)
+
+
+def _draw(seed, series, replicate, slot, n):
+    return int(md5(f"{seed}|{series}|{replicate}|{slot}".encode()).hexdigest()[:15], 16) % n
+
+
+def _brute_force(counts, replicates, seed):
+    by_series = {}
+    for r in counts.collect():
+        by_series.setdefault(r["series"], []).append(r)
+    deltas = {}
+    for series, rows in by_series.items():
+        rows.sort(key=lambda r: (md5(r["cluster"].encode()).hexdigest()[:3], r["cluster"]))
+        for b in range(replicates):
+            drawn = [rows[_draw(seed, series, b, i, len(rows))] for i in range(len(rows))]
+            k0, n0, k1, n1 = (sum(r[c] for r in drawn) for c in B.COUNTS)
+            deltas[series, b] = k1 / n1 - k0 / n0 if n0 and n1 else None
+    return deltas
+
+
+@pytest.mark.parametrize("small", [B.SMALL_CLUSTERS, 0])
+def test_deltas_match_brute_force(counts, small):
+    got = {(r[0], r[1]): r[2] for r in B.bootstrap_deltas(counts, 40, 3, small=small).collect()}
+    want = _brute_force(counts, 40, 3)
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+def test_slots_beyond_one_block(counts, monkeypatch):
+    whole = sorted(B.bootstrap_deltas(counts, 20).collect())
+    monkeypatch.setattr(B, "SLOTS", 4)
+    assert sorted(B.bootstrap_deltas(counts, 20, tasks=3).collect()) == whole
+
+
+def test_both_indexes_agree_and_are_dense(counts):
+    one = sorted(tuple(r) for r in B.index_clusters(counts).collect())
+    many = sorted(tuple(r) for r in B.index_many_clusters(counts).collect())
+    assert one == many
+    assert [r[1] for r in one if r[0] == "x"] == list(range(17))
+
+
+def test_many_clusters_are_not_broadcast(spark, counts):
+    plan = B.bootstrap_deltas(counts, 5, small=0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [series" in plan
+    few = B.bootstrap_deltas(counts, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in few and "BroadcastHashJoin" in few
+
+
+def test_interval_matches_numpy(counts):
+    deltas = B.bootstrap_deltas(counts, 400)
+    series = [r["delta"] for r in deltas.filter("series = 'x'").collect()]
+    row = B.confidence_intervals(counts, deltas).filter("name = 'x'").first()
+    assert [row["ci_lo"], row["ci_hi"]] == pytest.approx(list(np.percentile(series, [2.5, 97.5])))
+    assert row["n_groups"] == 17 and row["n_undefined"] == 0
+    assert np.mean(series) == pytest.approx(row["delta"], abs=0.02)
+    assert row["ci_lo"] < row["delta"] < row["ci_hi"]
+
+
+def test_pairs_match_numpy(counts):
+    deltas = B.bootstrap_deltas(counts, 400)
+    at = {(r[0], r[1]): r[2] for r in deltas.collect()}
+    diff = np.array([at["x", b] - at["y", b] for b in range(400)])
+    rows = {r["pair"]: r for r in B.pairwise_differences(deltas, [("x", "y"), ("y", "x"), ("x", "gone")]).collect()}
+    assert set(rows) == {"x vs y", "y vs x"}
+    row = rows["x vs y"]
+    assert row["diff"] == pytest.approx(diff.mean())
+    lo, hi = np.percentile(diff, [2.5, 97.5])
+    assert [row["ci_lo"], row["ci_hi"]] == pytest.approx([lo, hi])
+    assert row["distinguishable"] == (not lo <= 0 <= hi)
+    assert rows["y vs x"]["diff"] == pytest.approx(-diff.mean())
+
+
+def test_equal_sized_series_are_drawn_independently(spark):
+    rows = _rows("x", 12, 5)
+    twins = spark.createDataFrame(rows + [("z", *r[1:]) for r in rows], DDL)
+    deltas = B.bootstrap_deltas(B.cluster_counts(twins, "series", "cluster", "c", -4.78), 300)
+    wide = deltas.groupBy("replicate").pivot("series", ["x", "z"]).agg(F.first("delta")).collect()
+    assert abs(np.corrcoef([r["x"] for r in wide], [r["z"] for r in wide])[0, 1]) < 0.25
+
+
+def test_undefined_replicates_give_no_interval(frame):
+    rows = [("x", "a", 0.0, "LITERAL"), ("x", "a", -4.78, "LITERAL"), ("x", "b", 0.0, "LITERAL"), ("x", None, 0.0, "LITERAL")]
+    counts = B.cluster_counts(frame(rows, DDL), "series", "cluster", "c", -4.78)
+    deltas = B.bootstrap_deltas(counts, 64)
+    row = B.confidence_intervals(counts, deltas).first()
+    assert row["n_groups"] == 2 and row["delta"] == 0.0
+    assert 0 < row["n_undefined"] < 64 and row["ci_lo"] is None and row["ci_hi"] is None
+    both = deltas.unionByName(deltas.withColumn("series", F.lit("y")))
+    pair = B.pairwise_differences(both, [("x", "y")]).first()
+    assert pair["diff"] is None and pair["distinguishable"] is None and pair["n_undefined"] > 0
+
+
+def test_clusters_without_rows_at_a_condition_can_be_drawn(frame):
+    rows = [("x", "a", 0.0, "LITERAL"), ("x", "a", -4.78, None), ("x", "b", 1.2, "LITERAL")]
+    got = {r["cluster"]: tuple(r[c] for c in B.COUNTS) for r in B.cluster_counts(frame(rows, DDL), "series", "cluster", "c", -4.78).collect()}
+    assert got == {"a": (1, 1, 0, 1), "b": (0, 0, 0, 0)}
+
+
+def test_report_to_csv(spark, labelled, tmp_path):
+    first = labelled.filter("series = 'x'").select(F.col("cluster").alias("idiom"), F.col("c").alias("alpha_factor"), "label")
+    second = labelled.select(
+        F.col("series").alias("category"), F.col("cluster").alias("expression"), F.col("c").alias("alpha_factor"), "label"
+    )
+    tables = bootstrap_report(first, second, pairs=[("Idiom", "y"), ("x", "y")], replicates=50)
+    write_report(tables, str(tmp_path))
+    read = lambda name: spark.read.option("header", True).csv(f"{tmp_path}/{name}").collect()
+    assert {r["name"] for r in read("intervals")} == {"Idiom", "x", "y"}
+    assert {r["pair"] for r in read("pairs")} == {"Idiom vs y", "x vs y"}
+    assert len(list(tmp_path.glob("intervals/*.csv"))) == 1
