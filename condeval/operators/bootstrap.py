@@ -6,12 +6,19 @@ is drawn; a replicate then draws cluster indices and adds up counts.
 A draw is a pure function of (seed, series, replicate, slot): it does not depend
 on partitioning, retries or executor loss, and it can be repeated in SQL. The
 series name is part of it, so series are resampled independently.
+
+Drawing index by index makes replicates x clusters rows. Clusters with the same
+four counts are interchangeable, so many clusters are resampled by how often each
+distinct combination is drawn (a multinomial), whatever their number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +32,10 @@ COUNTS = ("k0", "n0", "k1", "n1")
 SLOTS = 1 << 16
 # Indexed counts of this many clusters stay well under 100 MB, and are broadcast.
 SMALL_CLUSTERS = 500_000
+# Distinct count combinations that fit in one task next to a block of replicates.
+FEW_COMBINATIONS = 50_000
+# Replicates one task row resamples at a time.
+REPLICATE_BLOCK = 32
 
 
 def cluster_counts(
@@ -109,19 +120,38 @@ def bootstrap_deltas(
     seed: int = 0,
     tasks: int | None = None,
     small: int = SMALL_CLUSTERS,
+    few: int = FEW_COMBINATIONS,
 ) -> DataFrame:
     """(series, replicate, delta): resample as many clusters as the series has.
 
-    ``counts`` should be stored: it is counted here, and read by two branches.
-    Up to ``small`` clusters the indexed counts are broadcast, and no draw is
-    ever shuffled; beyond that the draws are sort-merge joined. Replicates are
-    spread over ``tasks`` (the session's parallelism by default) before their
-    slots are expanded. The delta is NULL where a replicate drew no rows for one
-    of the conditions.
+    ``counts`` should be stored: its size is measured here to choose the way.
+    Up to ``small`` clusters, indices are drawn and the indexed counts broadcast.
+    Beyond that, up to ``few`` distinct count combinations are resampled as such;
+    with more of them the drawn indices are sort-merge joined. All three are exact
+    resamples of clusters. The delta is NULL where a replicate drew no rows for
+    one of the conditions. ``tasks`` is the session's parallelism by default.
     """
     tasks = tasks or counts.sparkSession.sparkContext.defaultParallelism
-    few = counts.count() <= small
-    indexed = index_clusters(counts) if few else index_many_clusters(counts)
+    if counts.count() <= small:
+        indexed = index_clusters(counts)
+        totals = _drawn_totals(indexed, F.broadcast(indexed), replicates, seed, tasks)
+    else:
+        combined = counts.groupBy("series", *COUNTS).agg(F.count("*").alias("clusters"))
+        if combined.count() <= few:
+            totals = _resampled_totals(combined, replicates, seed, tasks)
+        else:
+            indexed = index_many_clusters(counts)
+            totals = _drawn_totals(indexed, indexed.hint("merge"), replicates, seed, tasks)
+    return totals.select("series", "replicate", point_delta().alias("delta"))
+
+
+def _drawn_totals(
+    indexed: DataFrame, looked_up: DataFrame, replicates: int, seed: int, tasks: int
+) -> DataFrame:
+    """Summed counts per replicate, one row per draw in between.
+
+    Replicates are spread over the tasks before their slots are expanded.
+    """
     sizes = indexed.groupBy("series").agg(F.max("n_clusters").alias("n_clusters"))
     n, block = F.col("n_clusters"), F.col("block")
     last_block = F.floor((n - 1) / SLOTS)
@@ -134,11 +164,38 @@ def bootstrap_deltas(
     draws = blocks.withColumn("slot", F.explode(slots)).select(
         "series", "replicate", draw(seed).alias("ix")
     )
-    clusters = indexed.drop("n_clusters")
-    clusters = F.broadcast(clusters) if few else clusters.hint("merge")
-    sums = draws.join(clusters, ["series", "ix"]).groupBy("series", "replicate")
-    totals = sums.agg(*(F.sum(c).alias(c) for c in COUNTS))
-    return totals.select("series", "replicate", point_delta().alias("delta"))
+    sums = draws.join(looked_up.drop("n_clusters"), ["series", "ix"]).groupBy("series", "replicate")
+    return sums.agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
+def _resampled_totals(
+    combined: DataFrame, replicates: int, seed: int, tasks: int
+) -> DataFrame:
+    """Summed counts per replicate, from multinomial multiplicities of each combination.
+
+    A series travels as one array of its (few) combinations, copied to each block
+    of replicates. The random state depends on seed, series and block only.
+    """
+    cell = F.struct(*COUNTS, "clusters")
+    series = combined.groupBy("series").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    starts = F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(REPLICATE_BLOCK))
+    blocks = series.withColumn("start", F.explode(starts)).repartition(tasks, "series", "start")
+    columns = [f"cells.{name}" for name in (*COUNTS, "clusters")]
+
+    def resample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                key = md5(f"{seed}|{row.series}|{row.start}".encode()).hexdigest()
+                numbers = np.arange(row.start, min(row.start + REPLICATE_BLOCK, replicates))
+                total = row.clusters.sum()
+                drawn = np.random.default_rng(int(key, 16)).multinomial(
+                    total, row.clusters / total, size=len(numbers)
+                )
+                sums = {name: drawn @ getattr(row, name) for name in COUNTS}
+                yield pd.DataFrame({"series": row.series, "replicate": numbers, **sums})
+
+    schema = "series string, replicate int, " + ", ".join(f"{c} bigint" for c in COUNTS)
+    return blocks.select("series", "start", *columns).mapInPandas(resample, schema)
 
 
 def _interval(delta: str = "delta") -> list[Column]:

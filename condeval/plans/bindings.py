@@ -9,14 +9,41 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types
+
+from condeval.sources.tables import columns
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 BASELINE, PUSH = 0, -5
 STEPS = tuple(range(-5, 6))
 
 
+# Declared columns, so that no job runs just to infer a schema.
+TABLES = {
+    "lineitem": columns(
+        l_partkey="long",
+        l_linenumber="integer",
+        l_quantity="double",
+        l_discount="double",
+        l_tax="double",
+        l_returnflag="string",
+    ),
+    "part": columns(
+        p_partkey="long", p_name="string", p_brand="string", p_type="string", p_size="integer"
+    ),
+    "supplier": columns(s_suppkey="long", s_name="string"),
+    "documents": columns(
+        doc_id="long", text="string", lang="string", source="string", n_chars="long"
+    ),
+    "labels": columns(doc_id="long", quality="integer", toxic="integer"),
+    "embeddings": columns(
+        vec_id="long", embedding=types.ArrayType(types.FloatType()), label="integer"
+    ),
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def line_label() -> Column:

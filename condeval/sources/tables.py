@@ -9,20 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def _columns(**types: str | T.DataType) -> T.StructType:
+def columns(**types: str | T.DataType) -> T.StructType:
+    """A schema from names and types, without a session."""
     schema = T.StructType()
     for name, kind in types.items():
         schema = schema.add(name, kind)
     return schema
 
 
-IDIOM_SUITE = _columns(idiom="string", variant_id="integer", prefix="string")
-FIGURATIVE_SUITE = _columns(
+IDIOM_SUITE = columns(idiom="string", variant_id="integer", prefix="string")
+FIGURATIVE_SUITE = columns(
     category="string", expression="string", variant_id="integer", prefix="string", gold="boolean"
 )
-DRAFT_SUITE = _columns(expression="string", type="string", prefix="string", status="string")
-POOL = _columns(sentence="string", idiom="string", span="string", usage="string")
-DIRECTION = _columns(
+DRAFT_SUITE = columns(expression="string", type="string", prefix="string", status="string")
+POOL = columns(sentence="string", idiom="string", span="string", usage="string")
+DIRECTION = columns(
     v=T.ArrayType(T.DoubleType()), s="double", midpoint="double", source_layer="integer", model="string"
 )
 

@@ -48,9 +48,14 @@ def _brute_force(counts, replicates, seed):
     return deltas
 
 
-@pytest.mark.parametrize("small", [B.SMALL_CLUSTERS, 0])
-def test_deltas_match_brute_force(counts, small):
-    got = {(r[0], r[1]): r[2] for r in B.bootstrap_deltas(counts, 40, 3, small=small).collect()}
+BROADCAST = {}
+MERGED = {"small": 0, "few": 0}
+RESAMPLED = {"small": 0}
+
+
+@pytest.mark.parametrize("way", [BROADCAST, MERGED])
+def test_deltas_match_brute_force(counts, way):
+    got = {(r[0], r[1]): r[2] for r in B.bootstrap_deltas(counts, 40, 3, **way).collect()}
     want = _brute_force(counts, 40, 3)
     assert set(got) == set(want)
     assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
@@ -62,6 +67,37 @@ def test_slots_beyond_one_block(counts, monkeypatch):
     assert sorted(B.bootstrap_deltas(counts, 20, tasks=3).collect()) == whole
 
 
+def test_resampled_combinations_follow_the_same_distribution(counts):
+    sides = {}
+    for name, way in (("drawn", BROADCAST), ("resampled", RESAMPLED)):
+        rows = B.bootstrap_deltas(counts, 4000, **way).collect()
+        assert len({(r["series"], r["replicate"]) for r in rows}) == len(rows) == 8000
+        sides[name] = {s: np.array([r["delta"] for r in rows if r["series"] == s]) for s in "xy"}
+    for s in "xy":
+        a, b = sides["drawn"][s], sides["resampled"][s]
+        assert a.mean() == pytest.approx(b.mean(), abs=0.005)
+        assert a.std() == pytest.approx(b.std(), rel=0.06)
+        assert np.percentile(a, [2.5, 97.5]) == pytest.approx(np.percentile(b, [2.5, 97.5]), abs=0.015)
+    assert abs(np.corrcoef(sides["resampled"]["x"], sides["resampled"]["y"])[0, 1]) < 0.06
+
+
+def test_resampling_is_reproducible_and_total_preserving(spark):
+    ddl = "series string, cluster string, k0 bigint, n0 bigint, k1 bigint, n1 bigint"
+    rows = [("x", f"e{i}", i % 3, 2, i % 2, 1) for i in range(1000)]
+    counts = spark.createDataFrame(rows, ddl)
+    combined = counts.groupBy("series", *B.COUNTS).count().withColumnRenamed("count", "clusters")
+    one = sorted(B._resampled_totals(combined, 70, 1, 3).collect())
+    assert one == sorted(B._resampled_totals(combined.repartition(5), 70, 1, 8).collect())
+    assert {(r["n0"], r["n1"]) for r in one} == {(2000, 1000)} and len(one) == 70
+
+
+def test_undefined_resamples_are_null(frame):
+    rows = [("x", "a", 0.0, "LITERAL"), ("x", "a", -4.78, "LITERAL"), ("x", "b", 0.0, "LITERAL")]
+    counts = B.cluster_counts(frame(rows, DDL), "series", "cluster", "c", -4.78)
+    deltas = [r["delta"] for r in B.bootstrap_deltas(counts, 64, **RESAMPLED).collect()]
+    assert len(deltas) == 64 and 0 < deltas.count(None) < 64
+
+
 def test_both_indexes_agree_and_are_dense(counts):
     one = sorted(tuple(r) for r in B.index_clusters(counts).collect())
     many = sorted(tuple(r) for r in B.index_many_clusters(counts).collect())
@@ -70,7 +106,7 @@ def test_both_indexes_agree_and_are_dense(counts):
 
 
 def test_many_clusters_are_not_broadcast(spark, counts):
-    plan = B.bootstrap_deltas(counts, 5, small=0)._jdf.queryExecution().executedPlan().toString()
+    plan = B.bootstrap_deltas(counts, 5, **MERGED)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [series" in plan
     few = B.bootstrap_deltas(counts, 5)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in few and "BroadcastHashJoin" in few
