@@ -56,8 +56,8 @@ def cluster_counts(
         labelled.filter(all_present([series, cluster]))
         .groupBy(F.col(series).alias("series"), F.col(cluster).cast("string").alias("cluster"))
         .agg(
-            *condition_counts(condition, baseline, label, "0"),
-            *condition_counts(condition, push, label, "1"),
+            *condition_counts(labelled, condition, baseline, label, "0"),
+            *condition_counts(labelled, condition, push, label, "1"),
         )
     )
 

@@ -2,7 +2,8 @@
 
 Every function reduces the labelled rows to counts in one partial aggregation
 (map-side combined, so a hot group costs a few counters per task and no skewed
-shuffle); everything after that works on the small counts.
+shuffle); everything after that works on the small counts. Counted tables are
+taken as well as labelled rows, see ``counts``.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from pyspark.sql import functions as F
 
 from condeval.functions.columns import all_present, as_list
 from condeval.functions.text import LABELS
+from condeval.operators.counts import total
 
 
-def _label_counts(label: str) -> list[Column]:
-    counts = [F.count_if(F.col(label) == name).alias(name) for name in LABELS]
-    return [F.count(label).alias("n_labelled"), *counts]
+def _label_counts(table: DataFrame, label: str) -> list[Column]:
+    return [total(table, name, label).alias(name) for name in ("n_labelled", *LABELS)]
 
 
 def _rates(counts: DataFrame, keys: Sequence[str], places: int | None = 3) -> DataFrame:
@@ -39,8 +40,9 @@ def label_rates(
     rounded afterwards.
     """
     keys = as_list(keys)
-    rows = labelled.filter(F.col(label).isNotNull() & all_present(keys))
-    return _rates(rows.groupBy(*keys).agg(*_label_counts(label)), keys, places)
+    groups = labelled.filter(all_present(keys)).groupBy(*keys)
+    counts = groups.agg(*_label_counts(labelled, label))
+    return _rates(counts.filter(F.col("n_labelled") > 0), keys, places)
 
 
 def pooled_and_grouped_rates(
@@ -51,8 +53,8 @@ def pooled_and_grouped_rates(
     Grouping sets run on the counts, not on the rows, so no row is expanded.
     ``pooled`` tells the two levels apart; pooled rows have a NULL group.
     """
-    rows = labelled.filter(F.col(label).isNotNull() & F.col(condition).isNotNull())
-    counts = rows.groupBy(group, condition).agg(*_label_counts(label))
+    groups = labelled.filter(F.col(condition).isNotNull()).groupBy(group, condition)
+    counts = groups.agg(*_label_counts(labelled, label)).filter(F.col("n_labelled") > 0)
     sums = [F.sum(name).alias(name) for name in ("n_labelled", *LABELS)]
     both = counts.groupingSets(
         [[F.col(condition)], [F.col(group), F.col(condition)]], group, condition
@@ -115,24 +117,22 @@ def effect_ratio(delta: Column, reference_delta: Column) -> Column:
     return F.try_divide(delta, reference_delta)
 
 
-def is_literal(label: str = "label") -> Column:
-    """1 for a literal label, else 0; a missing label counts as not literal."""
-    return F.coalesce(F.col(label) == "LITERAL", F.lit(False)).cast("int")
-
-
 def literal_rate(
     labelled: DataFrame, keys: str | Sequence[str] = (), label: str = "label"
 ) -> DataFrame:
     """Literal share over all rows, missing labels included; NULL if there are none."""
-    return labelled.groupBy(*as_list(keys)).agg(F.avg(is_literal(label)).alias("literal_rate"))
+    rate = F.try_divide(total(labelled, "LITERAL", label), total(labelled, "n_rows", label))
+    return labelled.groupBy(*as_list(keys)).agg(rate.alias("literal_rate"))
 
 
-def condition_counts(condition: str, value: Column | float, label: str, tag: str) -> list[Column]:
+def condition_counts(
+    labelled: DataFrame, condition: str, value: Column | float, label: str, tag: str
+) -> list[Column]:
     """Literal rows ``k<tag>`` and all rows ``n<tag>`` of one condition."""
     here = F.col(condition) == value
     return [
-        F.count_if(here & (F.col(label) == "LITERAL")).alias(f"k{tag}"),
-        F.count_if(here).alias(f"n{tag}"),
+        total(labelled, "LITERAL", label, here).alias(f"k{tag}"),
+        total(labelled, "n_rows", label, here).alias(f"n{tag}"),
     ]
 
 
@@ -152,8 +152,8 @@ def literal_deltas(
     """Unrounded literal-rate delta per series, both conditions in one pass."""
     series = as_list(series)
     counts = labelled.filter(all_present(series)).groupBy(*series).agg(
-        *condition_counts(condition, baseline, label, "0"),
-        *condition_counts(condition, push, label, "1"),
+        *condition_counts(labelled, condition, baseline, label, "0"),
+        *condition_counts(labelled, condition, push, label, "1"),
     )
     return counts.select(
         *series,

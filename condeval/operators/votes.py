@@ -8,14 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from condeval.functions.columns import all_present, as_list
-from condeval.functions.text import LABELS, UNPARSEABLE
+from condeval.operators.counts import DOMAIN, total
 
-DOMAIN = (*LABELS, UNPARSEABLE)
 
-
-def _tally(label: str, within: Column, tag: str) -> list[Column]:
-    named = [F.count_if(within & (F.col(label) == v)).alias(f"{tag}_{v}") for v in DOMAIN]
-    return [F.count_if(within & F.col(label).isNotNull()).alias(f"{tag}_n"), *named]
+def _tally(labelled: DataFrame, label: str, within: Column | None, tag: str) -> list[Column]:
+    named = [total(labelled, v, label, within).alias(f"{tag}_{v}") for v in DOMAIN]
+    return [total(labelled, "n_labelled", label, within).alias(f"{tag}_n"), *named]
 
 
 def _strict_majority(tag: str) -> Column:
@@ -32,8 +30,11 @@ def majority_labels(labelled: DataFrame, keys: Sequence[str], label: str = "labe
     labels at once.
     """
     keys = as_list(keys)
-    tally = labelled.filter(all_present(keys)).groupBy(*keys).agg(*_tally(label, F.lit(True), "v"))
-    return tally.select(*keys, F.col("v_n").alias("n_labelled"), _strict_majority("v").alias("majority"))
+    groups = labelled.filter(all_present(keys)).groupBy(*keys)
+    tally = groups.agg(*_tally(labelled, label, None, "v"))
+    return tally.select(
+        *keys, F.col("v_n").alias("n_labelled"), _strict_majority("v").alias("majority")
+    )
 
 
 def label_flips(
@@ -55,7 +56,8 @@ def label_flips(
     at = F.col(condition)
     rows = labelled.filter(all_present(item) & ((at == baseline) | (at == push)))
     tally = rows.groupBy(*item).agg(
-        *_tally(label, at == baseline, "base"), *_tally(label, at == push, "push")
+        *_tally(labelled, label, at == baseline, "base"),
+        *_tally(labelled, label, at == push, "push"),
     )
     votes = tally.select(
         *item,

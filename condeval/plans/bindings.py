@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types
 
+from condeval.operators.counts import with_item_columns
 from condeval.sources.tables import columns
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -81,7 +82,8 @@ def suite_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def labelled_suite(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled lines with the category, expression and trust of their part."""
-    return labelled_lines(spark, folder).join(suite_items(spark, folder), "item")
+    items = suite_items(spark, folder)
+    return with_item_columns(labelled_lines(spark, folder), items, "item", "step")
 
 
 def pool_sources(spark: SparkSession, folder: str) -> list[DataFrame]:
