@@ -20,11 +20,13 @@ from condeval.operators.batch import generate_batches, label_batches
 from condeval.operators.storing import stored
 from condeval.plans import bindings as T
 from condeval.plans.bindings import BASELINE, PUSH, STEPS, table
+from condeval.plans.reports import comparison_report
 from condeval.sources.verdicts import parse_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 REPLICATES = 1000
+ITEM_REPLICATES = 200
 PAIRS = (("SMALL", "LARGE"), ("PROMO", "ECONOMY"), ("STANDARD", "MEDIUM"), ("SMALL", "PROMO"))
 PROMPT = 'Passage in {lang} from {source}: "{text}"\nAnswer with one of {{FIGURATIVE, LITERAL}}.'
 
@@ -138,6 +140,21 @@ def first_per_category(spark, folder):
     return first.select("p_type", "p_partkey", "p_brand", "gold")
 
 
+def first_parts(spark, folder):
+    parts = table(spark, folder, "part").select("p_partkey", "p_name", "p_size")
+    return P.first_rows(parts, ["p_size", "p_partkey"])
+
+
+def literal_rate(spark, folder):
+    return places(R.literal_rate(T.labelled_suite(spark, folder), "category"), "literal_rate")
+
+
+def comparison_deltas(spark, folder):
+    lines, suite = T.labelled_lines(spark, folder), T.labelled_suite(spark, folder)
+    found = comparison_report(lines, suite, ("all", "suite"), "step")["deltas"]
+    return places(found, "delta")
+
+
 def majority_label(spark, folder):
     return M.majority_labels(T.labelled_suite(spark, folder), ["expression", "step"])
 
@@ -152,6 +169,10 @@ def label_flips(spark, folder):
     return M.flip_summary(placed, "expression", "category")
 
 
+def flipped_items(spark, folder):
+    return M.label_flips(T.labelled_lines(spark, folder), ["item"], "step", PUSH, BASELINE)
+
+
 def _pairs(spark, folder):
     rated, judged = T.rated_documents(spark, folder), T.judged_documents(spark, folder)
     return A.pair_ratings(rated, judged, "doc_id")
@@ -195,6 +216,12 @@ def direction(spark, folder):
     return places(found, "v", "s", "midpoint")
 
 
+def shifted_vectors(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    shifted = V.shift_vectors(vectors, _direction(spark, folder), -2.39)
+    return places(shifted.select("vec_id", F.posexplode("shifted").alias("place", "x")), "x")
+
+
 def shift_sweep(spark, folder):
     vectors = table(spark, folder, "embeddings")
     return V.shift_sweep(vectors, _direction(spark, folder), "label")
@@ -216,6 +243,29 @@ def bootstrap_pairwise(spark, folder):
     return places(B.pairwise_differences(deltas, PAIRS), "diff", "ci_lo", "ci_hi")
 
 
+def _item_counts(spark, folder):
+    """Every part is a cluster, so the number of clusters grows with the tables."""
+    labelled = T.labelled_suite(spark, folder)
+    return stored(B.cluster_counts(labelled, "category", "item", "step", PUSH, BASELINE))
+
+
+def cluster_index(spark, folder):
+    return B.index_many_clusters(_item_counts(spark, folder))
+
+
+def bootstrap_items(spark, folder):
+    counts = _item_counts(spark, folder)
+    found = B.confidence_intervals(counts, B.bootstrap_deltas(counts, ITEM_REPLICATES))
+    return places(found, "delta", "ci_lo", "ci_hi")
+
+
+def bootstrap_combinations(spark, folder):
+    """The way taken beyond half a million clusters; its random numbers have no SQL form."""
+    counts = _item_counts(spark, folder)
+    deltas = B.bootstrap_deltas(counts, REPLICATES, small=0)
+    return places(B.confidence_intervals(counts, deltas), "delta", "ci_lo", "ci_hi")
+
+
 def suite_invariants(spark, folder):
     return P.suite_invariants(T.suite_rows(spark, folder))
 
@@ -304,4 +354,12 @@ QUERIES: dict[str, Query] = {
     "q33_rating_coverage": rating_coverage,
     "q34_verdict_agreement": verdict_agreement,
     "q35_annotator_summary": annotator_summary,
+    "q36_first_rows": first_parts,
+    "q37_literal_rate": literal_rate,
+    "q38_shifted_vectors": shifted_vectors,
+    "q39_comparison_deltas": comparison_deltas,
+    "q40_flipped_items": flipped_items,
+    "q41_cluster_index": cluster_index,
+    "q42_bootstrap_items": bootstrap_items,
+    "q43_bootstrap_combinations": bootstrap_combinations,
 }

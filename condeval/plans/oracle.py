@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from condeval.plans.catalogue import PAIRS, REPLICATES
+from condeval.plans.catalogue import ITEM_REPLICATES, PAIRS, REPLICATES
 
 GRID = "[-4.78, -3.59, -2.39, -1.20, 0.0, 1.20, 2.39, 3.59, 4.78]::DOUBLE[]"
 
@@ -72,27 +72,49 @@ MEANS = """
                      sum((m1 - m0) * (m1 + m0)) / 2 / sqrt(sum((m1 - m0) * (m1 - m0))) AS midpoint
               FROM means)"""
 
-BOOTSTRAP = f"""
+
+def _clusters(cluster: str) -> str:
+    return f"""
     {SUITE},
     clusters AS (
-      SELECT category, expression,
+      SELECT category, CAST({cluster} AS VARCHAR) AS cluster,
              count(*) FILTER (step = 0 AND label = 'LITERAL') AS k0, count(*) FILTER (step = 0) AS n0,
              count(*) FILTER (step = -5 AND label = 'LITERAL') AS k1, count(*) FILTER (step = -5) AS n1
       FROM suite GROUP BY ALL),
     indexed AS (
-      SELECT *, row_number() OVER (PARTITION BY category ORDER BY substr(md5(expression), 1, 3), expression) - 1 AS ix,
+      SELECT *, row_number() OVER (PARTITION BY category ORDER BY substr(md5(cluster), 1, 3), cluster) - 1 AS ix,
              count(*) OVER (PARTITION BY category) AS n
-      FROM clusters),
+      FROM clusters)"""
+
+
+def _deltas(cluster: str, replicates: int) -> str:
+    return f"""
+    {_clusters(cluster)},
     draws AS (
       SELECT category, replicate,
              ('0x' || substr(md5('0|' || category || '|' || replicate || '|' || slot), 1, 15))::BIGINT % n AS ix
-      FROM (SELECT DISTINCT category, n FROM indexed), range({REPLICATES}) r(replicate),
+      FROM (SELECT DISTINCT category, n FROM indexed), range({replicates}) r(replicate),
            LATERAL (SELECT unnest(range(n)) AS slot)),
     deltas AS (
       SELECT category, replicate,
              sum(k1) / nullif(sum(n1), 0)::DOUBLE - sum(k0) / nullif(sum(n0), 0)::DOUBLE AS delta
       FROM draws JOIN indexed USING (category, ix) GROUP BY ALL)"""
 
+
+def _intervals(cluster: str, replicates: int) -> str:
+    return f"""
+        WITH {_deltas(cluster, replicates)},
+        points AS (SELECT category, count(*) AS n_groups,
+                     sum(k1) / nullif(sum(n1), 0)::DOUBLE - sum(k0) / nullif(sum(n0), 0)::DOUBLE AS delta
+                   FROM clusters GROUP BY category),
+        spread AS (SELECT category, quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi,
+                          count(*) - count(delta) AS n_undefined FROM deltas GROUP BY category)
+        SELECT category AS name, n_groups, round(delta, 6) AS delta,
+               CASE WHEN n_undefined = 0 THEN round(lo, 6) END AS ci_lo,
+               CASE WHEN n_undefined = 0 THEN round(hi, 6) END AS ci_hi, n_undefined
+        FROM points JOIN spread USING (category)"""
+
+
 _PAIR_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in PAIRS)
 
 VOTES = """
@@ -243,19 +265,9 @@ ORACLE: dict[str, str] = {
                   FROM projected, whole, unnest({GRID}) g(coefficient))
         SELECT class AS label, coefficient, {RATES}
         FROM (SELECT class, coefficient, {TALLY} FROM cells GROUP BY ALL)""",
-    "q23_bootstrap_ci": f"""
-        WITH {BOOTSTRAP},
-        points AS (SELECT category, count(*) AS n_groups,
-                     sum(k1) / nullif(sum(n1), 0)::DOUBLE - sum(k0) / nullif(sum(n0), 0)::DOUBLE AS delta
-                   FROM clusters GROUP BY category),
-        spread AS (SELECT category, quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi,
-                          count(*) - count(delta) AS n_undefined FROM deltas GROUP BY category)
-        SELECT category AS name, n_groups, round(delta, 6) AS delta,
-               CASE WHEN n_undefined = 0 THEN round(lo, 6) END AS ci_lo,
-               CASE WHEN n_undefined = 0 THEN round(hi, 6) END AS ci_hi, n_undefined
-        FROM points JOIN spread USING (category)""",
+    "q23_bootstrap_ci": _intervals("expression", REPLICATES),
     "q24_bootstrap_pairwise": f"""
-        WITH {BOOTSTRAP},
+        WITH {_deltas("expression", REPLICATES)},
         pairs(a, b) AS (VALUES {_PAIR_ROWS}),
         diffs AS (SELECT a || ' vs ' || b AS pair, x.delta - y.delta AS diff
                   FROM pairs JOIN deltas x ON x.category = a
@@ -319,4 +331,40 @@ ORACLE: dict[str, str] = {
         FROM (SELECT 1 AS annotator, verdict_1 AS v FROM ({MERGED})
               UNION ALL SELECT 2, verdict_2 FROM ({MERGED}) WHERE verdict_2 IS NOT NULL)
         GROUP BY annotator""",
+    "q36_first_rows": "SELECT p_partkey, p_name, p_size FROM part ORDER BY p_size, p_partkey LIMIT 5",
+    "q37_literal_rate": f"""
+        WITH {SUITE}
+        SELECT category, round(count(*) FILTER (label = 'LITERAL') / count(*), 6) AS literal_rate
+        FROM suite GROUP BY category""",
+    "q38_shifted_vectors": f"""
+        WITH {MEANS},
+        rows AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS place,
+                        unnest(embedding)::DOUBLE AS x FROM embeddings)
+        SELECT vec_id, place::INT AS place, round(x + -2.39 * s * ((m1 - m0) / s), 6) AS x
+        FROM rows JOIN means USING (place), whole""",
+    "q39_comparison_deltas": f"""
+        WITH {SUITE},
+        tallies AS (
+          SELECT 'all' AS series, step, {TALLY} FROM lines GROUP BY ALL
+          UNION ALL SELECT 'suite', step, {TALLY} FROM suite GROUP BY ALL
+          UNION ALL SELECT 'gold', step, {TALLY} FROM suite WHERE gold GROUP BY ALL
+          UNION ALL SELECT category, step, {TALLY} FROM suite GROUP BY ALL),
+        rates AS (SELECT series, step, round_even(l / n, 3) AS rate FROM tallies WHERE n > 0),
+        found AS (SELECT series, max(rate) FILTER (step = 0) AS baseline_rate,
+                         max(rate) FILTER (step = (SELECT min(step) FROM lines)) AS pushed_rate
+                  FROM rates GROUP BY series)
+        SELECT series, baseline_rate, pushed_rate, round(pushed_rate - baseline_rate, 6) AS delta,
+               printf('%+.3f', pushed_rate - baseline_rate) AS shown FROM found""",
+    "q40_flipped_items": f"""
+        WITH votes AS (SELECT item, step, {VOTES} AS majority FROM (
+               SELECT item, step, {VOTE_TALLY} FROM ({_lines()}) WHERE step IN (0, -5) GROUP BY ALL)),
+        sides AS (SELECT item, max(majority) FILTER (step = 0) AS base, max(majority) FILTER (step = -5) AS pushed
+                  FROM votes GROUP BY item)
+        SELECT item, base AS majority_base, pushed AS majority_push,
+               base IS NOT NULL AND pushed IS NOT NULL AS comparable,
+               coalesce(base = 'FIGURATIVE' AND pushed = 'LITERAL', false) AS flipped FROM sides""",
+    "q41_cluster_index": f"""
+        WITH {_clusters("item")}
+        SELECT category AS series, ix, n AS n_clusters, k0, n0, k1, n1 FROM indexed""",
+    "q42_bootstrap_items": _intervals("item", ITEM_REPLICATES),
 }

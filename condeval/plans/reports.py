@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from condeval.functions.numeric import signed3
 from condeval.operators import bootstrap as B
 from condeval.operators import rates as R
+from condeval.operators.counts import count_labels
 from condeval.operators.storing import stored
 from condeval.sources.tables import write_report_csv
 
@@ -34,8 +35,12 @@ def comparison_report(
     """Rates of two experiments side by side, by category and on trusted rows, with deltas.
 
     The deltas are those of the rounded rates. The pushed condition is the lowest
-    one of the first experiment and is used for every series.
+    one of the first experiment and is used for every series. Each experiment is
+    read once, into stored counts that all tables are made from.
     """
+    fine = [category, condition, *([trusted] if trusted in second.columns else [])]
+    first = stored(count_labels(first, condition))
+    second = stored(count_labels(second, fine))
     first_rates = R.label_rates(first, condition)
     both = R.pooled_and_grouped_rates(second, category, condition)
     second_rates = both.filter("pooled").drop("pooled", category)
