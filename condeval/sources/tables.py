@@ -110,6 +110,11 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def append_csv_rows(rows: DataFrame, path: str) -> None:
+    """Append to a folder of header CSV files, which ``read_csv_table`` reads as one table."""
+    rows.write.mode("append").option("header", True).option("escape", '"').csv(path)
+
+
 def write_report_csv(table: DataFrame, path: str) -> None:
     """A final table as one CSV file with a header.
 

@@ -19,6 +19,8 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -47,6 +49,10 @@ def differences(frame, con: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
     have_columns, have = _ordered(frame.columns, [tuple(r) for r in frame.collect()])
     if have_columns != want_columns:
         return [f"columns {have_columns} != {want_columns}"]
+    kinds = dict(zip(relation.columns, map(str, relation.types)))
+    other = {c: (t, kinds[c]) for c, t in frame.dtypes if TYPES.get(t) != kinds[c]}
+    if other:
+        return [f"types {other}"]
     found = [] if len(have) == len(want) else [f"rows {len(have)} != {len(want)}"]
     wrong = [(h, w) for h, w in zip(have, want) if h != w]
     if wrong:

@@ -145,6 +145,17 @@ def test_report_csv_round_trip(spark, frame, tmp_path):
     assert S.read_csv_table(spark, str(tmp_path / "t"), table.schema).collect() == table.collect()
 
 
+def test_csv_appends_read_as_one_table(spark, frame, tmp_path):
+    path = str(tmp_path / "raw")
+    schema = S.results_schema(S.IDIOM_SUITE)
+    for n in (1, 2):
+        rows = spark.createDataFrame([("see red", n, 'p, "q"', 0.0, i, "a\nb") for i in range(3)], schema)
+        S.append_csv_rows(rows.repartition(2), path)
+    back = S.read_csv_table(spark, path, schema)
+    assert back.count() == 6 and {r["continuation"] for r in back.collect()} == {"a\nb"}
+    assert {r["prefix"] for r in back.collect()} == {'p, "q"'}
+
+
 def test_missing_input_names_the_path(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="absent"):
         S.read_csv_table(spark, str(tmp_path / "absent"), S.IDIOM_SUITE)
