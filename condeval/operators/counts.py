@@ -44,6 +44,13 @@ def count_labels(table: DataFrame, keys: str | Sequence[str], label: str = "labe
     return table.groupBy(*as_list(keys)).agg(*counters)
 
 
+def unknown_labels(table: DataFrame, label: str = "label") -> DataFrame:
+    """Labels outside the domain and their rows; they count as labelled rows only."""
+    return (
+        table.filter(~F.col(label).isin(*DOMAIN)).groupBy(label).agg(F.count("*").alias("n_rows"))
+    )
+
+
 def with_item_columns(
     labelled: DataFrame,
     items: DataFrame,

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from condeval.functions.columns import all_present
+
 # The coefficients and the number of samples of a full sweep.
 COEFFICIENTS = (-4.78, -3.59, -2.39, -1.20, 0.0, 1.20, 2.39, 3.59, 4.78)
 SAMPLES = 5
@@ -48,22 +50,27 @@ def pending_conditions(
     """Item x coefficient cells that have no finished row at all.
 
     Equivalent to anti-joining the whole grid, but the items are joined once
-    and not once per coefficient: finished rows shrink to one set per item of at
-    most ``len(coefficients)`` values (combined map-side), and the grid is
-    exploded after the join. A NULL key never matches, so it stays pending.
+    and not once per coefficient: finished rows shrink to one flag per item and
+    grid point (combined map-side), and the grid is exploded after the join. A
+    NULL key never matches, so it stays pending.
     """
     keys = list(keys)
-    grid = _grid(coefficients)
+    points = [float(c) for c in coefficients]
+    flags = [f"_finished_{i}" for i in range(len(points))]
     value = F.col(condition).cast("double")
     finished = (
-        done.filter(F.array_contains(grid, value))
+        done.filter(all_present(keys) & value.isin(points))
         .groupBy(*keys)
-        .agg(F.collect_set(value).alias("_finished"))
+        .agg(*(F.bool_or(value == point).alias(flag) for flag, point in zip(flags, points)))
+    )
+    open_points = F.array(
+        *(
+            F.when(~F.coalesce(F.col(flag), F.lit(False)), F.lit(point))
+            for flag, point in zip(flags, points)
+        )
     )
-    have = F.coalesce(F.col("_finished"), F.array().cast("array<double>"))
-    todo = F.filter(grid, lambda c: ~F.array_contains(have, c))
     joined = items.join(finished, keys, "left")
-    return joined.select(*items.columns, F.explode(todo).alias(condition))
+    return joined.select(*items.columns, F.explode(F.array_compact(open_points)).alias(condition))
 
 
 def pending_rows(rows: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

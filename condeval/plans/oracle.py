@@ -53,7 +53,7 @@ RATINGS = f"""
       FROM ({RATED}) JOIN documents USING (doc_id) WHERE human_label IS NOT NULL)"""
 
 MERGED = r"""
-    SELECT doc_id::INT AS row_id, v1 AS verdict_1, CASE v1 WHEN 'INVALID' THEN flat END AS revision_1,
+    SELECT doc_id AS row_id, v1 AS verdict_1, CASE v1 WHEN 'INVALID' THEN flat END AS revision_1,
            v2 AS verdict_2, CASE v2 WHEN 'INVALID' THEN flat END AS revision_2,
            coalesce(v1 = v2, false) AS agree,
            CASE WHEN v1 = 'VALID' AND v2 = 'VALID' THEN 'keep' ELSE 'revise' END AS decision

@@ -34,7 +34,7 @@ def parse_blocks(blocks: DataFrame, text: str = "value", keep: tuple[str, ...] =
     )
     return lines.select(
         *keep,
-        F.nullif(F.regexp_extract("_head", HEADER, 1), F.lit("")).cast("int").alias("row_id"),
+        F.regexp_extract("_head", HEADER, 1).try_cast("bigint").alias("row_id"),
         filled(F.regexp_extract("_head", HEADER, 2)).alias("expression"),
         field("FIG").alias("fig"),
         field("LIT").alias("lit"),

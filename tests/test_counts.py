@@ -3,7 +3,7 @@ import pytest
 from condeval.operators import bootstrap as B
 from condeval.operators import rates as R
 from condeval.operators import votes as M
-from condeval.operators.counts import COUNTERS, count_labels, with_item_columns
+from condeval.operators.counts import COUNTERS, count_labels, unknown_labels, with_item_columns
 
 LABELS = ["LITERAL", "FIGURATIVE", "INCOHERENT", "UNPARSEABLE", None]
 # One item holds a third of all rows.
@@ -52,3 +52,8 @@ def test_counters(frame):
     assert tuple(count_labels(table, "k").first()) == ("k", 4, 3, 0, 1, 0, 1)
     again = count_labels(count_labels(table, "k"), [])
     assert tuple(again.first()) == (4, 3, 0, 1, 0, 1)
+
+
+def test_unknown_labels(frame):
+    table = frame([("odd",), ("odd",), ("LITERAL",), (None,), ("literal",)], "label string")
+    assert sorted(map(tuple, unknown_labels(table).collect())) == [("literal", 1), ("odd", 2)]
