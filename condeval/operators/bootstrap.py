@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 from condeval.functions.columns import all_present
 from condeval.functions.numeric import zero_inside
 from condeval.operators.rates import condition_counts, point_delta
+from condeval.operators.storing import SMALL_BYTES, measured_size
 
 COUNTS = ("k0", "n0", "k1", "n1")
 # Slots one task row expands at a time.
 SLOTS = 1 << 16
-# Indexed counts of this many clusters stay well under 100 MB, and are broadcast.
+# This many clusters of a series are indexed in one task, and broadcast if small in bytes too.
 SMALL_CLUSTERS = 500_000
 # Distinct count combinations that fit in one task next to a block of replicates.
 FEW_COMBINATIONS = 50_000
@@ -125,14 +126,16 @@ def bootstrap_deltas(
     """(series, replicate, delta): resample as many clusters as the series has.
 
     ``counts`` should be stored: its size is measured here to choose the way.
-    Up to ``small`` clusters, indices are drawn and the indexed counts broadcast.
+    Up to ``small`` clusters (and SMALL_BYTES), indices are drawn and the indexed
+    counts broadcast.
     Beyond that, up to ``few`` distinct count combinations are resampled as such;
     with more of them the drawn indices are sort-merge joined. All three are exact
     resamples of clusters. The delta is NULL where a replicate drew no rows for
     one of the conditions. ``tasks`` is the session's parallelism by default.
     """
     tasks = tasks or counts.sparkSession.sparkContext.defaultParallelism
-    if counts.count() <= small:
+    rows, size = measured_size(counts.select("series", *COUNTS))
+    if rows <= small and size <= SMALL_BYTES:
         indexed = index_clusters(counts)
         totals = _drawn_totals(indexed, F.broadcast(indexed), replicates, seed, tasks)
     else:

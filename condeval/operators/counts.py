@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from condeval.functions.columns import as_list
 from condeval.functions.text import LABELS, UNPARSEABLE
+from condeval.operators.storing import SMALL_BYTES, measured_size
 
 DOMAIN = (*LABELS, UNPARSEABLE)
-# An item table of this many narrow rows stays well under 100 MB, and is broadcast.
-SMALL_ITEMS = 500_000
 COUNTERS = ("n_rows", "n_labelled", *DOMAIN)
 
 
@@ -57,14 +56,15 @@ def with_item_columns(
     item: str,
     condition: str,
     label: str = "label",
-    small: int = SMALL_ITEMS,
+    small: int = SMALL_BYTES,
 ) -> DataFrame:
     """Labelled rows with the columns of their item, as rows or as counts.
 
-    Up to ``small`` items, the items are broadcast to the rows. A larger item
-    table has to be joined by shuffling, so the rows are counted per item and
-    condition before that: an item with a third of all rows arrives as a few.
+    The size of the items is measured. Up to ``small`` bytes they are broadcast
+    to the rows. A larger item table has to be joined by shuffling, so the rows
+    are counted per item and condition before that: an item with a third of all
+    rows arrives as a few.
     """
-    if items.count() <= small:
+    if measured_size(items)[1] <= small:
         return labelled.join(F.broadcast(items), item)
     return count_labels(labelled, [item, condition], label).join(items, item)
