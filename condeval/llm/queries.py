@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condeval.llm import bpe, language_id
+from condeval.llm import bpe, jaccard_join, language_id
 from condeval.llm.common import documents_of
 
 
@@ -26,12 +26,17 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(documents_of(spark, folder))
+
+
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digests(documents_of(spark, folder), tokenizer_file())
 
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_bpe": op6_bpe,
 }
 
