@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condeval.llm import bpe, jaccard_join, language_id
+from condeval.llm import bpe, jaccard_join, language_id, topk, winnowing
 from condeval.llm.common import documents_of
 
 
@@ -26,6 +26,14 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op2_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{folder}/embeddings.parquet"), 20)
+
+
+def op3_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    return winnowing.edited_fingerprints(documents_of(spark, folder))
+
+
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(documents_of(spark, folder))
 
@@ -36,6 +44,8 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_top_k": op2_top_k,
+    "op3_winnowing": op3_winnowing,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_bpe": op6_bpe,
 }
