@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condeval.llm import bpe, jaccard_join, language_id, topk, winnowing
+from condeval.llm import bpe, jaccard_join, language_id, mixing, sharding, topk, url_filter, winnowing
 from condeval.llm.common import documents_of
 
 
@@ -34,6 +34,16 @@ def op3_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnowing.edited_fingerprints(documents_of(spark, folder))
 
 
+def quality_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled good documents are drawn four times as readily as labelled bad ones."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return labels.select("doc_id", F.when(F.col("quality") == 1, 2.0).otherwise(0.5).alias("weight"))
+
+
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(documents_of(spark, folder), quality_weights(spark, folder))
+
+
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(documents_of(spark, folder))
 
@@ -42,12 +52,26 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digests(documents_of(spark, folder), tokenizer_file())
 
 
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.sharded(documents_of(spark, folder))
+
+
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    return url_filter.judged(pages, url_filter.trained(spark)).drop("score")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_top_k": op2_top_k,
     "op3_winnowing": op3_winnowing,
+    "op4_mixing": op4_mixing,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_bpe": op6_bpe,
+    "op7_sharding": op7_sharding,
+    "op9_url_filter": op9_url_filter,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_mixing": mixing.ORACLE,
+}
