@@ -7,7 +7,18 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condeval.llm import bpe, jaccard_join, language_id, mixing, sharding, topk, url_filter, winnowing
+from condeval.llm import (
+    bpe,
+    chat,
+    html_text,
+    jaccard_join,
+    language_id,
+    mixing,
+    sharding,
+    topk,
+    url_filter,
+    winnowing,
+)
 from condeval.llm.common import documents_of
 
 
@@ -56,11 +67,27 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(documents_of(spark, folder))
 
 
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    planted = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    return chat.read_back(conversations.unionByName(planted))
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     return url_filter.judged(pages, url_filter.trained(spark)).drop("score")
 
 
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extracted(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_top_k": op2_top_k,
@@ -69,7 +96,9 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_bpe": op6_bpe,
     "op7_sharding": op7_sharding,
+    "op8_chat": op8_chat,
     "op9_url_filter": op9_url_filter,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE: dict[str, str] = {
