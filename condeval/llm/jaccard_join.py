@@ -509,3 +509,17 @@ def near_duplicates(table: DataFrame, key: str = "doc_id", text: str = "text") -
             F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"),
         )
     )
+
+
+def one_of_each(table: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, with all their columns, of one document per component: that of the smallest key.
+
+    Rows with a NULL key stay, as no component is named by one. Rows that repeat a key
+    and its text are one document.
+    """
+    own, mark = free_names(table.columns, "_own", "_mark")
+    found = near_duplicates(table, key, text)
+    chosen = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias(own)).distinct()
+    named = table.join(chosen, F.col(key) == F.col(own), "left_semi").withColumn(mark, F.xxhash64(text))
+    named = named.dropDuplicates([key, mark]).drop(mark)
+    return named.unionByName(table.where(F.col(key).isNull()))

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from condeval.llm.common import checkpointed, running_totals
+from condeval.llm.common import checkpointed, free_names, running_totals
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, CAP, SEED = (3, 1, 2), 1.5, 2, 11
@@ -114,12 +114,17 @@ def mixed(
 
 
 def repeated(table: DataFrame, quality: DataFrame | None = None, key: str = "doc_id", **settings) -> DataFrame:
-    """The mix itself: each row as often as it is taken, whole; a last part counts from one half.
+    """The mix itself: each row, with all its columns, as often as it is taken.
 
-    Keys should be unique; rows that share one are each repeated as often as all of them
-    together are taken for their common size.
+    Rows stay whole: a part counts as one copy from half its size on. Rows that share a
+    key are each repeated as often as their words together are taken.
     """
-    raise NotImplementedError
+    own, copies = free_names(table.columns, "_key", "_copies")
+    times = F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int")
+    taken = mixed(table, quality, key, **settings).groupBy(F.col(key).alias(own)).agg(times.alias(copies))
+    rows = table.join(taken.where(F.col(copies) > 0), F.col(key).eqNullSafe(F.col(own)))
+    each = free_names([*table.columns, own, copies], "_copy")[0]
+    return rows.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*table.columns)
 
 
 ORACLE = f"""

@@ -7,10 +7,10 @@ written as Parquet and read again as the next one's documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from condeval.llm import language_id
-from condeval.llm.common import free_names
+from condeval.llm import bpe, jaccard_join, language_id, mixing
+from condeval.llm.common import scratch_table
+from condeval.llm.queries import quality_weights, tokenizer_file
 
 # A document stays if some language holds this share of its bytes' probability.
 MIN_SCORE = 0.35
@@ -21,8 +21,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.kept(docs, language_id.fitted(docs), MIN_SCORE)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group that word 5-grams link."""
+    return jaccard_join.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each document as often as its source's target asks for; repeats are rows."""
+    return mixing.repeated(docs, quality_weights(spark, sf_dir))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each document's encoding and decoding."""
+    return bpe.round_trip_digests(docs, tokenizer_file())
+
+
 STAGES = [
     ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("mixing sources", mix_sources),
+    ("BPE encoding and decoding", encode),
 ]
 
 # The stages hold trained models and graph components, which SQL can't express.
@@ -31,9 +49,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every intermediate is a Parquet table in the shared folder."""
-    from condeval.llm.common import scratch_table
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = scratch_table(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
