@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from condeval.functions.columns import ColumnLike, as_column
 
 
-def round3(value: ColumnLike) -> Column:
-    """Three places, half to even."""
-    return F.bround(as_column(value), 3)
-
-
 def signed3(value: ColumnLike) -> Column:
     """Display form such as ``+0.166``."""
     return F.format_string("%+.3f", as_column(value))

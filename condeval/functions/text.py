@@ -49,6 +49,36 @@ def locate_spans(
     )
 
 
+def locate_span_lists(rows: DataFrame, text: str, spans: str) -> DataFrame:
+    """``locate_spans`` for an array of (kind, span) structs in each row.
+
+    Returns the other columns and (kind, start, token), one row per span; a row
+    without spans has one row of NULLs. The text is lower-cased once and searched
+    inside its row, so it is never copied.
+    """
+
+    def hit(span: Column) -> Column:
+        low = F.lower(span["span"])
+        return F.struct(span["kind"].alias("kind"), low.alias("low"), F.position(low, F.col("_text")).alias("at"))
+
+    def head(hit: Column) -> Column:
+        size, start = F.char_length(hit["low"]), hit["at"]
+        until = F.when((size > 0) & (start > 0), F.substring(F.col("_text"), F.lit(1), start + size - 1))
+        tokens = F.regexp_count(until, F.lit(r"\S+"))
+        return F.struct(hit["kind"].alias("kind"), start.alias("start"), tokens.alias("tokens"))
+
+    others = [c for c in rows.columns if c not in (text, spans)]
+    low = rows.select(*others, F.lower(text).alias("_text"), spans)
+    hits = low.select(*others, "_text", F.transform(spans, hit).alias("_hits"))
+    found = hits.select(*others, F.transform("_hits", head).alias("_found"))
+    return found.select(*others, F.inline_outer("_found")).select(
+        *others,
+        "kind",
+        F.nullif("start", F.lit(0)).alias("start"),
+        (F.nullif("tokens", F.lit(0)) - 1).alias("token"),
+    )
+
+
 def fill_template(template: str, **fields: ColumnLike) -> Column:
     """Fill ``{name}`` places of a template from columns, in one pass.
 

@@ -7,7 +7,7 @@ model is loaded once per task, and what it returns is fed batches.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from hashlib import md5
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,27 +69,40 @@ def generate_batches(
     batch_size: int = 16,
     texts: str = "continuations",
 ) -> DataFrame:
-    """Add ``samples`` texts per row as an array, from its prefix and coefficient."""
+    """Add ``samples`` texts per row as an array, from its prefix and coefficient.
+
+    A NULL prefix is not sent and has a NULL array. A generator that returns another
+    number of rows or texts fails the task.
+    """
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def write(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         write_texts = generator()
         for prefixes, coefficients in columns:
-            found: list[list[str]] = []
-            for start in range(0, len(prefixes), batch_size):
-                part = slice(start, start + batch_size)
-                found += write_texts(prefixes[part].tolist(), coefficients[part].tolist(), samples)
+            found: list[list[str] | None] = [None] * len(prefixes)
+            asked = prefixes.notna().to_numpy().nonzero()[0]
+            for start in range(0, len(asked), batch_size):
+                part = asked[start : start + batch_size]
+                written = write_texts(prefixes.iloc[part].tolist(), coefficients.iloc[part].tolist(), samples)
+                if len(written) != len(part) or any(len(texts) != samples for texts in written):
+                    raise ValueError(f"the generator must return {samples} texts for each of {len(part)} rows")
+                for place, texts in zip(part, written):
+                    found[place] = list(texts)
             yield pd.Series(found, dtype=object)
 
     return conditions.withColumn(texts, write.asNondeterministic()(prefix, condition))
 
 
 def _staging_path(spark: SparkSession, out_path: str) -> str:
-    """A folder on shared storage: the session's checkpoint folder, else beside the output."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/condeval-pending-{md5(out_path.encode()).hexdigest()}"
-    return f"{out_path.rstrip('/')}-pending"
+    """A new folder on shared storage: in the session's checkpoint folder, else beside the output."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    name = f"condeval-pending-{uuid4()}"
+    return f"{shared.rstrip('/')}/{name}" if shared else f"{out_path.rstrip('/')}-{name}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def run_in_steps(
@@ -98,25 +111,33 @@ def run_in_steps(
     out_path: str,
     steps: int = 8,
     tasks: int | None = None,
+    rows_per_step: int | None = None,
 ) -> None:
     """Work through pending rows in ``steps`` appends; a crash loses at most one.
 
-    Pending rows are staged once, partitioned by a random step, so the inputs are
-    scanned and anti-joined once and each step reads only its own files. The step
-    is drawn per row and not from a key: one repeated key cannot fill a step. The
-    next run overwrites the staged rows.
+    With ``rows_per_step`` the number of steps follows from the pending rows, so a
+    crash loses about that many rows whatever the size of the job. Pending rows are
+    staged once, each with a random number that the files are sorted by, so the
+    inputs are scanned and anti-joined once and a step reads the row groups of its
+    own range. The number is drawn per row and not from a key: one repeated key
+    cannot fill a step. The staged rows are removed when the run ends.
     """
     spark = pending.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     staged_path = _staging_path(spark, out_path)
-    step = F.floor(F.rand(0) * steps).cast("int")
-    pending.withColumn("_step", step).write.mode("overwrite").partitionBy("_step").parquet(staged_path)
-    schema = T.StructType([*pending.schema.fields, T.StructField("_step", T.IntegerType())])
-    staged = spark.read.schema(schema).parquet(staged_path)
-    present = sorted(row["_step"] for row in staged.select("_step").distinct().collect())
-    for number in present:
-        part = staged.filter(F.col("_step") == number).drop("_step")
-        append_rows(work(part.repartition(tasks)), out_path)
+    try:
+        numbered = pending.withColumn("_draw", F.rand(0)).sortWithinPartitions("_draw")
+        numbered.write.parquet(staged_path)
+        schema = T.StructType([*pending.schema.fields, T.StructField("_draw", T.DoubleType())])
+        staged = spark.read.schema(schema).parquet(staged_path)
+        waiting = staged.count()
+        steps = -(-waiting // rows_per_step) if rows_per_step else min(steps, waiting)
+        for number in range(steps):
+            draw = F.col("_draw")
+            part = staged.filter((draw >= number / steps) & (draw < (number + 1) / steps)).drop("_draw")
+            append_rows(work(part.repartition(tasks)), out_path)
+    finally:
+        _remove(spark, staged_path)
 
 
 def run_generation(
@@ -131,6 +152,7 @@ def run_generation(
     steps: int = 8,
     tasks: int | None = None,
     batch_size: int = 16,
+    rows_per_step: int | None = None,
 ) -> DataFrame:
     """Generate every missing condition of a suite, append, and return the whole table.
 
@@ -152,7 +174,7 @@ def run_generation(
         texts = generate_batches(part, generator, prefix, condition, samples, batch_size)
         return sample_rows(texts).select(*schema.names)
 
-    run_in_steps(todo, work, out_path, steps, tasks)
+    run_in_steps(todo, work, out_path, steps, tasks, rows_per_step)
     return read_results(spark, out_path, schema)
 
 
@@ -165,6 +187,7 @@ def run_labelling(
     steps: int = 8,
     tasks: int | None = None,
     batch_size: int = 16,
+    rows_per_step: int | None = None,
     label: str = "label",
 ) -> DataFrame:
     """Label every row whose key is not labelled yet, append, and return the whole table."""
@@ -175,5 +198,5 @@ def run_labelling(
     def work(part: DataFrame) -> DataFrame:
         return label_batches(part, prompt, labeller, batch_size, label).select(*schema.names)
 
-    run_in_steps(todo, work, out_path, steps, tasks)
+    run_in_steps(todo, work, out_path, steps, tasks, rows_per_step)
     return read_results(spark, out_path, schema)

@@ -7,9 +7,11 @@ A draw is a pure function of (seed, series, replicate, slot): it does not depend
 on partitioning, retries or executor loss, and it can be repeated in SQL. The
 series name is part of it, so series are resampled independently.
 
-Drawing index by index makes replicates x clusters rows. Clusters with the same
-four counts are interchangeable, so many clusters are resampled by how often each
-distinct combination is drawn (a multinomial), whatever their number.
+Drawing index by index makes replicates x clusters rows, at every size: a series'
+numbers depend on nothing but its own clusters and the seed. Beyond some ten million
+clusters that is a shuffle of every draw. A caller who can do with other random
+numbers may then ask for ``method="multinomial"``: clusters with the same four counts
+are interchangeable, so it draws how often each distinct combination comes up.
 """
 
 from __future__ import annotations
@@ -26,13 +28,10 @@ from pyspark.sql import functions as F
 from condeval.functions.columns import all_present
 from condeval.functions.numeric import zero_inside
 from condeval.operators.rates import condition_counts, point_delta
-from condeval.operators.storing import SMALL_BYTES, measured_size
 
 COUNTS = ("k0", "n0", "k1", "n1")
 # Slots one task row expands at a time.
 SLOTS = 1 << 16
-# This many clusters of a series are indexed in one task, and broadcast if small in bytes too.
-SMALL_CLUSTERS = 500_000
 # Distinct count combinations that fit in one task next to a block of replicates.
 FEW_COMBINATIONS = 50_000
 # Replicates one task row resamples at a time.
@@ -70,23 +69,9 @@ def _order() -> Column:
 def index_clusters(counts: DataFrame) -> DataFrame:
     """Dense 0-based cluster index ``ix`` per series, with ``n_clusters``.
 
-    Clusters are ordered by a hash bucket and then by name.
-    """
-    whole = W.partitionBy("series")
-    rank = F.row_number().over(whole.orderBy(_order(), "cluster"))
-    return counts.select(
-        "series",
-        (rank - 1).cast("bigint").alias("ix"),
-        F.count("*").over(whole).alias("n_clusters"),
-        *COUNTS,
-    )
-
-
-def index_many_clusters(counts: DataFrame) -> DataFrame:
-    """The same index for series that are too large to sort in one task.
-
-    Clusters are ranked inside each (series, bucket), and only the bucket sizes
-    are summed up per series.
+    Clusters are ordered by a hash bucket and then by name. They are ranked inside
+    each (series, bucket), and only the bucket sizes are summed up per series, so
+    no series is sorted in one task.
     """
     inside = W.partitionBy("series", "bucket").orderBy("cluster")
     ranked = counts.withColumn("bucket", _order()).withColumn("rank", F.row_number().over(inside))
@@ -107,12 +92,25 @@ def index_many_clusters(counts: DataFrame) -> DataFrame:
     )
 
 
-def draw(seed: int, slot: str = "slot") -> Column:
-    """Index drawn for one slot: 60 bits of an md5, modulo the number of clusters."""
+def draws_of(blocks: DataFrame, seed: int) -> DataFrame:
+    """(series, replicate, ix) of each slot in ``[first, last)`` of a block.
+
+    An md5 gives two draws of 60 bits, for an even slot and the one after it, each
+    taken modulo the number of clusters.
+    """
+    pairs = F.sequence(F.floor(F.col("first") / 2), F.floor((F.col("last") - 1) / 2))
     key = F.concat_ws(
-        "|", F.lit(str(seed)), "series", F.col("replicate").cast("string"), F.col(slot).cast("string")
+        "|", F.lit(str(seed)), "series", F.col("replicate").cast("string"), F.col("pair").cast("string")
+    )
+    halves = F.array(F.substring("digest", 1, 15), F.substring("digest", 17, 15))
+    drawn = (
+        blocks.withColumn("pair", F.explode(pairs))
+        .withColumn("digest", F.md5(key))
+        .select("*", F.posexplode(halves).alias("half", "bits"))
+        .filter(F.col("pair") * 2 + F.col("half") < F.col("last"))
     )
-    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint") % F.col("n_clusters")
+    ix = F.conv("bits", 16, 10).cast("bigint") % F.col("n_clusters")
+    return drawn.select("series", "replicate", ix.alias("ix"))
 
 
 def bootstrap_deltas(
@@ -120,37 +118,32 @@ def bootstrap_deltas(
     replicates: int = 5000,
     seed: int = 0,
     tasks: int | None = None,
-    small: int = SMALL_CLUSTERS,
+    method: str = "indices",
     few: int = FEW_COMBINATIONS,
 ) -> DataFrame:
     """(series, replicate, delta): resample as many clusters as the series has.
 
-    ``counts`` should be stored: its size is measured here to choose the way.
-    Up to ``small`` clusters (and SMALL_BYTES), indices are drawn and the indexed
-    counts broadcast.
-    Beyond that, up to ``few`` distinct count combinations are resampled as such;
-    with more of them the drawn indices are sort-merge joined. All three are exact
-    resamples of clusters. The delta is NULL where a replicate drew no rows for
-    one of the conditions. ``tasks`` is the session's parallelism by default.
+    ``indices`` draws cluster indices and joins the indexed counts; whether these
+    are broadcast is the session's decision and never changes a number.
+    ``multinomial`` gives other random numbers of the same distribution, and fails
+    beyond ``few`` distinct count combinations. The delta is NULL where a replicate
+    drew no rows for one of the conditions. ``tasks`` is the session's parallelism by
+    default.
     """
     tasks = tasks or counts.sparkSession.sparkContext.defaultParallelism
-    rows, size = measured_size(counts.select("series", *COUNTS))
-    if rows <= small and size <= SMALL_BYTES:
-        indexed = index_clusters(counts)
-        totals = _drawn_totals(indexed, F.broadcast(indexed), replicates, seed, tasks)
-    else:
+    if method == "indices":
+        totals = _drawn_totals(index_clusters(counts), replicates, seed, tasks)
+    elif method == "multinomial":
         combined = counts.groupBy("series", *COUNTS).agg(F.count("*").alias("clusters"))
-        if combined.count() <= few:
-            totals = _resampled_totals(combined, replicates, seed, tasks)
-        else:
-            indexed = index_many_clusters(counts)
-            totals = _drawn_totals(indexed, indexed.hint("merge"), replicates, seed, tasks)
+        if combined.limit(few + 1).count() > few:
+            raise ValueError(f"more than {few} distinct count combinations: draw indices instead")
+        totals = _resampled_totals(combined, replicates, seed, tasks)
+    else:
+        raise ValueError(f"no bootstrap method {method!r}")
     return totals.select("series", "replicate", point_delta().alias("delta"))
 
 
-def _drawn_totals(
-    indexed: DataFrame, looked_up: DataFrame, replicates: int, seed: int, tasks: int
-) -> DataFrame:
+def _drawn_totals(indexed: DataFrame, replicates: int, seed: int, tasks: int) -> DataFrame:
     """Summed counts per replicate, one row per draw in between.
 
     Replicates are spread over the tasks before their slots are expanded.
@@ -162,12 +155,10 @@ def _drawn_totals(
         sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)))
         .repartition(tasks, "series", "replicate", "block")
+        .withColumns({"first": block * SLOTS, "last": F.least(n, (block + 1) * SLOTS)})
     )
-    slots = F.sequence(block * SLOTS, F.least(n, (block + 1) * SLOTS) - 1)
-    draws = blocks.withColumn("slot", F.explode(slots)).select(
-        "series", "replicate", draw(seed).alias("ix")
-    )
-    sums = draws.join(looked_up.drop("n_clusters"), ["series", "ix"]).groupBy("series", "replicate")
+    looked_up = indexed.drop("n_clusters")
+    sums = draws_of(blocks, seed).join(looked_up, ["series", "ix"]).groupBy("series", "replicate")
     return sums.agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
@@ -226,8 +217,11 @@ def pairwise_differences(deltas: DataFrame, pairs: Sequence[tuple[str, str]]) ->
     """Replicate-wise difference of two series: mean, 95% interval, distinguishable.
 
     Each delta is sent to the pairs it belongs to with its sign, and the two
-    halves meet in one aggregation; the replicates are not computed twice.
+    halves meet in one aggregation; the replicates are not computed twice. A pair
+    that is listed again counts once, and one with an unknown series is a row of
+    NULLs.
     """
+    pairs = list(dict.fromkeys(pairs))
     members: dict[str, list[Column]] = {}
     for first, second in pairs:
         name = F.lit(f"{first} vs {second}").alias("pair")
@@ -242,10 +236,12 @@ def pairwise_differences(deltas: DataFrame, pairs: Sequence[tuple[str, str]]) ->
         F.count("*").alias("sides"),
     )
     both = joined.filter("sides = 2")
+    names = F.array(*(F.lit(f"{first} vs {second}") for first, second in pairs))
+    listed = deltas.sparkSession.range(1).select(F.explode(names).alias("pair"))
     found = both.groupBy("pair").agg(
         F.when(F.count("diff") == F.count("*"), F.avg("diff")).alias("mean_diff"), *_interval("diff")
     )
-    return found.select(
+    return listed.join(found, "pair", "left").select(
         "pair",
         F.col("mean_diff").alias("diff"),
         "ci_lo",

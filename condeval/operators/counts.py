@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from condeval.functions.columns import as_list
 from condeval.functions.text import LABELS, UNPARSEABLE
-from condeval.operators.storing import SMALL_BYTES, measured_size
 
 DOMAIN = (*LABELS, UNPARSEABLE)
 COUNTERS = ("n_rows", "n_labelled", *DOMAIN)
@@ -51,20 +50,11 @@ def unknown_labels(table: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_item_columns(
-    labelled: DataFrame,
-    items: DataFrame,
-    item: str,
-    condition: str,
-    label: str = "label",
-    small: int = SMALL_BYTES,
+    labelled: DataFrame, items: DataFrame, item: str, condition: str, label: str = "label"
 ) -> DataFrame:
-    """Labelled rows with the columns of their item, as rows or as counts.
+    """Counters per item and condition, with the columns of the item.
 
-    The size of the items is measured. Up to ``small`` bytes they are broadcast
-    to the rows. A larger item table has to be joined by shuffling, so the rows
-    are counted per item and condition before that: an item with a third of all
-    rows arrives as a few.
+    Rows are counted before the join, so an item with a third of all rows arrives
+    as a few, and the result has the same columns whatever the size of the items.
     """
-    if measured_size(items)[1] <= small:
-        return labelled.join(F.broadcast(items), item)
     return count_labels(labelled, [item, condition], label).join(items, item)

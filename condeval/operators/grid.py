@@ -49,28 +49,24 @@ def pending_conditions(
 ) -> DataFrame:
     """Item x coefficient cells that have no finished row at all.
 
-    Equivalent to anti-joining the whole grid, but the items are joined once
-    and not once per coefficient: finished rows shrink to one flag per item and
-    grid point (combined map-side), and the grid is exploded after the join. A
-    NULL key never matches, so it stays pending.
+    Equivalent to anti-joining the whole grid, but the items are joined once and
+    not once per coefficient: finished rows shrink to the set of an item's finished
+    points, which the grid bounds, and what the set lacks is exploded after the
+    join. A NULL key never matches, so it stays pending. A coefficient that is
+    listed again counts once.
     """
     keys = list(keys)
-    points = [float(c) for c in coefficients]
-    flags = [f"_finished_{i}" for i in range(len(points))]
-    value = F.col(condition).cast("double")
+    points = list(dict.fromkeys(float(c) for c in coefficients))
+    value = F.col(condition).cast("double") + 0.0  # -0.0 is 0.0
     finished = (
-        done.filter(all_present(keys) & value.isin(points))
+        done.filter(all_present(keys) & F.col(condition).cast("double").isin(points))
         .groupBy(*keys)
-        .agg(*(F.bool_or(value == point).alias(flag) for flag, point in zip(flags, points)))
-    )
-    open_points = F.array(
-        *(
-            F.when(~F.coalesce(F.col(flag), F.lit(False)), F.lit(point))
-            for flag, point in zip(flags, points)
-        )
+        .agg(F.collect_set(value).alias("_finished"))
     )
+    nothing = F.array().cast("array<double>")
+    open_points = F.array_except(_grid(points), F.coalesce("_finished", nothing))
     joined = items.join(finished, keys, "left")
-    return joined.select(*items.columns, F.explode(F.array_compact(open_points)).alias(condition))
+    return joined.select(*items.columns, F.explode(open_points).alias(condition))
 
 
 def pending_rows(rows: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

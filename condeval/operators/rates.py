@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from condeval.functions.columns import all_present, as_list
 from condeval.functions.text import LABELS
-from condeval.operators.counts import total
+from condeval.operators.counts import count_labels, total
 
 
 def _label_counts(table: DataFrame, label: str) -> list[Column]:
@@ -90,21 +91,33 @@ def combine_rates(
 
 
 def lowest_condition(table: DataFrame, condition: str) -> Column:
-    """The smallest coefficient as a scalar subquery, usable in any expression."""
+    """The smallest coefficient as a scalar subquery, usable in any expression.
+
+    It scans the table of its own; it is meant for a condition of another experiment.
+    """
     return table.agg(F.min(condition)).scalar()
 
 
+def _with_lowest(counted: DataFrame, condition: str) -> tuple[DataFrame, Column]:
+    """A table of one row per series and condition, with its lowest condition beside each."""
+    lowest = F.min(condition).over(W.partitionBy())
+    return counted.withColumn("_lowest", lowest), F.col("_lowest")
+
+
 def rate_deltas(
     rates: DataFrame,
     condition: str,
-    push: Column | float,
+    push: Column | float | None = None,
     baseline: float = 0.0,
     series: str | Sequence[str] = (),
 ) -> DataFrame:
     """Literal rate at ``push`` minus at ``baseline``, of the (rounded) rates.
 
-    A series that lacks either condition gets a NULL delta.
+    Without ``push`` it is the lowest condition of the rates themselves. A series
+    that lacks either condition gets a NULL delta.
     """
+    if push is None:
+        rates, push = _with_lowest(rates, condition)
     at = lambda value: F.max(F.when(F.col(condition) == value, F.col("LITERAL")))
     found = rates.groupBy(*as_list(series)).agg(
         at(baseline).alias("baseline_rate"), at(push).alias("pushed_rate")
@@ -144,13 +157,19 @@ def point_delta() -> Column:
 def literal_deltas(
     labelled: DataFrame,
     condition: str,
-    push: Column | float,
+    push: Column | float | None = None,
     baseline: float = 0.0,
     series: str | Sequence[str] = (),
     label: str = "label",
 ) -> DataFrame:
-    """Unrounded literal-rate delta per series, both conditions in one pass."""
+    """Unrounded literal-rate delta per series, both conditions in one pass.
+
+    Without ``push`` it is the lowest condition of the rows themselves, which are
+    then counted by series and condition first and read once.
+    """
     series = as_list(series)
+    if push is None:
+        labelled, push = _with_lowest(count_labels(labelled, [*series, condition], label), condition)
     counts = labelled.filter(all_present(series)).groupBy(*series).agg(
         *condition_counts(labelled, condition, baseline, label, "0"),
         *condition_counts(labelled, condition, push, label, "1"),

@@ -1,53 +1,21 @@
-"""Small tables: stored for several branches of a plan, or measured before a broadcast."""
+"""Small tables that several actions read, stored once on shared storage."""
 
 from __future__ import annotations
 
-import tempfile
-from functools import reduce
-from operator import add
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# A table whose values take this many bytes may be broadcast.
-SMALL_BYTES = 64 << 20
-# What a value takes besides its text: an 8-byte slot and its share of the row.
-SLOT_BYTES = 16
-FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
-TEXT = (T.StringType, T.VarcharType, T.CharType, T.BinaryType)
-
-
-def measured_size(table: DataFrame) -> tuple[int, int]:
-    """Rows and (estimated) bytes of a table, from one aggregation over it."""
-
-    def width(field: T.StructField) -> Column:
-        if isinstance(field.dataType, FIXED_WIDTH):
-            return F.lit(SLOT_BYTES)
-        text = F.col(field.name)
-        if not isinstance(field.dataType, TEXT):
-            text = F.to_json(F.struct(text))
-        return F.coalesce(F.octet_length(text), F.lit(0)) + SLOT_BYTES
-
-    row = reduce(add, map(width, table.schema.fields)).cast("bigint")
-    found = table.agg(F.count("*"), F.coalesce(F.sum(row), F.lit(0))).first()
-    return found[0], found[1]
+from pyspark.sql import DataFrame
 
 
 def stored(table: DataFrame) -> DataFrame:
     """Compute a table once, on shared storage, and cut its lineage there.
 
     Uses the folder the cluster names in ``spark.checkpoint.dir``, so the rows
-    survive the loss of an executor. Only a local session without that setting
-    gets a folder of its own.
+    survive the loss of an executor. There is no other folder to fall back on.
     """
     spark = table.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="condeval-")
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(folder)
     return table.checkpoint()

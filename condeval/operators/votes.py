@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +29,17 @@ def majority_labels(labelled: DataFrame, keys: Sequence[str], label: str = "labe
     """The label held by more than half of a group's labelled samples, else NULL.
 
     The label domain is known, so one map-side combined aggregation counts all
-    labels at once.
+    labels at once. Labels outside the domain can't win; ``n_unknown`` counts them.
     """
     keys = as_list(keys)
     groups = labelled.filter(all_present(keys)).groupBy(*keys)
     tally = groups.agg(*_tally(labelled, label, None, "v"))
+    known = reduce(add, (F.col(f"v_{value}") for value in DOMAIN))
     return tally.select(
-        *keys, F.col("v_n").alias("n_labelled"), _strict_majority("v").alias("majority")
+        *keys,
+        F.col("v_n").alias("n_labelled"),
+        (F.col("v_n") - known).alias("n_unknown"),
+        _strict_majority("v").alias("majority"),
     )
 
 
@@ -76,10 +82,19 @@ def label_flips(
 def flip_summary(
     flips: DataFrame, expression: str, by: str | Sequence[str] = ()
 ) -> DataFrame:
-    """Items, comparable items, flips, and distinct expressions among the flips."""
-    return flips.groupBy(*as_list(by)).agg(
+    """Items, comparable items, flips, and distinct expressions among the flips.
+
+    One row for each value of ``by`` and one, with ``pooled`` true and NULLs, overall.
+    """
+    by = as_list(by)
+    measures = [
         F.count("*").alias("n_items"),
         F.count_if("comparable").alias("n_comparable"),
         F.count_if("flipped").alias("n_flips"),
         F.count_distinct(F.when(F.col("flipped"), F.col(expression))).alias("n_expressions"),
-    )
+    ]
+    if not by:
+        return flips.groupBy().agg(*measures)
+    levels = flips.groupingSets([[], [F.col(c) for c in by]], *by)
+    found = levels.agg((F.grouping(by[0]) == 1).alias("pooled"), *measures)
+    return found.select("pooled", *by, "n_items", "n_comparable", "n_flips", "n_expressions")

@@ -2,7 +2,7 @@
 
 Line items stand for labelled results: the discount is the coefficient, return
 flag and line number give the label, the part gives category, expression and
-item. Every binding reads its whole table.
+item. Every binding reads its whole table; queries filter where that is their feature.
 """
 
 from __future__ import annotations
@@ -135,7 +135,7 @@ def answer_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def span_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Four spans to look up in every document: a word, two words, its source, nothing."""
+    """Four spans to look up in every document, as an array: a word, two words, its source, nothing."""
     words = F.split("text", r"\s+")
     middle = F.floor(F.size("words") / 2).cast("int")
     one = F.try_element_at("words", middle + 1)
@@ -147,7 +147,7 @@ def span_pairs(spark: SparkSession, folder: str) -> DataFrame:
         F.struct(F.lit("empty").alias("kind"), F.lit("").alias("span")),
     )
     documents = table(spark, folder, "documents").withColumn("words", words)
-    return documents.select("doc_id", "text", F.inline(spans))
+    return documents.select("doc_id", "text", spans.alias("spans"))
 
 
 def verdict_blocks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from condeval.functions.text import fill_template, full_text, locate_spans, parse_labels
+from condeval.functions.text import fill_template, full_text, locate_span_lists, parse_labels
 from condeval.operators import agreement as A
 from condeval.operators import bootstrap as B
 from condeval.operators import grid as G
@@ -17,7 +17,6 @@ from condeval.operators import rates as R
 from condeval.operators import vectors as V
 from condeval.operators import votes as M
 from condeval.operators.batch import generate_batches, label_batches
-from condeval.operators.storing import stored
 from condeval.plans import bindings as T
 from condeval.plans.bindings import BASELINE, PUSH, STEPS, table
 from condeval.plans.reports import comparison_report
@@ -68,8 +67,7 @@ def condition_grid(spark, folder):
 
 def pending_conditions(spark, folder):
     items = T.suite_items(spark, folder).select("item")
-    lines = table(spark, folder, "lineitem").filter("l_returnflag = 'R'")
-    done = lines.select(
+    done = table(spark, folder, "lineitem").select(
         F.col("l_partkey").alias("item"), (F.rint(F.col("l_discount") * 100) - 5).alias("coefficient")
     )
     return G.pending_conditions(items, done, ["item"], STEPS)
@@ -90,8 +88,7 @@ def label_parse(spark, folder):
 
 
 def span_lookup(spark, folder):
-    found = locate_spans(T.span_pairs(spark, folder), "text", "span")
-    return found.select("doc_id", "kind", "start", "token")
+    return locate_span_lists(T.span_pairs(spark, folder), "text", "spans")
 
 
 def rates_by_step(spark, folder):
@@ -113,17 +110,15 @@ def combined_by_step(spark, folder):
 
 
 def delta_vs_baseline(spark, folder):
-    push = R.lowest_condition(T.labelled_lines(spark, folder), "step")
     labelled = T.labelled_suite(spark, folder)
-    found = R.literal_deltas(labelled, "step", push, BASELINE, "category")
+    found = R.literal_deltas(labelled, "step", None, BASELINE, "category")
     return places(found, "baseline_rate", "pushed_rate", "delta")
 
 
 def rounded_deltas(spark, folder):
     """Deltas of the rounded rates, and their size relative to the pooled delta."""
     rates = rates_grouping_sets(spark, folder)
-    push = R.lowest_condition(T.labelled_lines(spark, folder), "step")
-    deltas = R.rate_deltas(rates, "step", push, BASELINE, ["pooled", "category"])
+    deltas = R.rate_deltas(rates, "step", None, BASELINE, ["pooled", "category"])
     pooled = F.max(F.when(F.col("pooled"), F.col("delta"))).over(W.partitionBy())
     ratio = R.effect_ratio(F.col("delta"), pooled)
     return places(deltas.withColumn("ratio", ratio), "delta", "ratio")
@@ -151,7 +146,7 @@ def literal_rate(spark, folder):
 
 def comparison_deltas(spark, folder):
     lines, suite = T.labelled_lines(spark, folder), T.labelled_suite(spark, folder)
-    found = comparison_report(lines, suite, ("all", "suite"), "step")["deltas"]
+    found = comparison_report(lines, suite, ("all", "suite"), "step", keep=lambda counts: counts)["deltas"]
     return places(found, "delta")
 
 
@@ -229,7 +224,7 @@ def shift_sweep(spark, folder):
 
 def _cluster_counts(spark, folder):
     labelled = T.labelled_suite(spark, folder)
-    return stored(B.cluster_counts(labelled, "category", "expression", "step", PUSH, BASELINE))
+    return B.cluster_counts(labelled, "category", "expression", "step", PUSH, BASELINE)
 
 
 def bootstrap_ci(spark, folder):
@@ -246,11 +241,11 @@ def bootstrap_pairwise(spark, folder):
 def _item_counts(spark, folder):
     """Every part is a cluster, so the number of clusters grows with the tables."""
     labelled = T.labelled_suite(spark, folder)
-    return stored(B.cluster_counts(labelled, "category", "item", "step", PUSH, BASELINE))
+    return B.cluster_counts(labelled, "category", "item", "step", PUSH, BASELINE)
 
 
 def cluster_index(spark, folder):
-    return B.index_many_clusters(_item_counts(spark, folder))
+    return B.index_clusters(_item_counts(spark, folder))
 
 
 def bootstrap_items(spark, folder):
@@ -259,13 +254,6 @@ def bootstrap_items(spark, folder):
     return places(found, "delta", "ci_lo", "ci_hi")
 
 
-def bootstrap_combinations(spark, folder):
-    """The way taken beyond half a million clusters; its random numbers have no SQL form."""
-    counts = _item_counts(spark, folder)
-    deltas = B.bootstrap_deltas(counts, REPLICATES, small=0)
-    return places(B.confidence_intervals(counts, deltas), "delta", "ci_lo", "ci_hi")
-
-
 def suite_invariants(spark, folder):
     return P.suite_invariants(T.suite_rows(spark, folder))
 
@@ -361,5 +349,4 @@ QUERIES: dict[str, Query] = {
     "q40_flipped_items": flipped_items,
     "q41_cluster_index": cluster_index,
     "q42_bootstrap_items": bootstrap_items,
-    "q43_bootstrap_combinations": bootstrap_combinations,
 }

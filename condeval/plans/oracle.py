@@ -92,7 +92,7 @@ def _deltas(cluster: str, replicates: int) -> str:
     {_clusters(cluster)},
     draws AS (
       SELECT category, replicate,
-             ('0x' || substr(md5('0|' || category || '|' || replicate || '|' || slot), 1, 15))::BIGINT % n AS ix
+             ('0x' || substr(md5('0|' || category || '|' || replicate || '|' || slot // 2), 1 + 16 * (slot % 2)::INT, 15))::BIGINT % n AS ix
       FROM (SELECT DISTINCT category, n FROM indexed), range({replicates}) r(replicate),
            LATERAL (SELECT unnest(range(n)) AS slot)),
     deltas AS (
@@ -121,7 +121,8 @@ VOTES = """
     CASE WHEN 2 * f > n THEN 'FIGURATIVE' WHEN 2 * l > n THEN 'LITERAL'
          WHEN 2 * i > n THEN 'INCOHERENT' WHEN 2 * u > n THEN 'UNPARSEABLE' END"""
 
-VOTE_TALLY = f"{TALLY}, count(*) FILTER (label = 'UNPARSEABLE') AS u"
+UNKNOWN = "count(*) FILTER (label NOT IN ('FIGURATIVE', 'LITERAL', 'INCOHERENT', 'UNPARSEABLE'))"
+VOTE_TALLY = f"{TALLY}, count(*) FILTER (label = 'UNPARSEABLE') AS u, {UNKNOWN} AS odd"
 
 ORACLE: dict[str, str] = {
     "q01_profile": """
@@ -139,7 +140,7 @@ ORACLE: dict[str, str] = {
     "q04_pending_conditions": """
         SELECT p_partkey AS item, step::DOUBLE AS coefficient
         FROM part, range(-5, 6) r(step)
-        WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R'
+        WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey
                           AND round(l_discount * 100) - 5 = step)""",
     "q05_pending_rows": """
         SELECT doc_id, lang, source, n_chars FROM documents d
@@ -222,7 +223,7 @@ ORACLE: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY p_size <= 10 DESC, p_partkey) = 1""",
     "q16_majority_label": f"""
         WITH {SUITE}
-        SELECT expression, step, n::BIGINT AS n_labelled, {VOTES} AS majority
+        SELECT expression, step, n::BIGINT AS n_labelled, odd AS n_unknown, {VOTES} AS majority
         FROM (SELECT expression, step, {VOTE_TALLY} FROM suite GROUP BY ALL)""",
     "q17_label_flips": f"""
         WITH {SUITE},
@@ -232,9 +233,10 @@ ORACLE: dict[str, str] = {
                   FROM votes GROUP BY item),
         flips AS (SELECT *, coalesce(base = 'FIGURATIVE' AND pushed = 'LITERAL', false) AS flipped
                   FROM sides JOIN items USING (item))
-        SELECT category, count(*) AS n_items, count(*) FILTER (base IS NOT NULL AND pushed IS NOT NULL) AS n_comparable,
+        SELECT grouping(category) = 1 AS pooled, category, count(*) AS n_items,
+               count(*) FILTER (base IS NOT NULL AND pushed IS NOT NULL) AS n_comparable,
                count(*) FILTER (flipped) AS n_flips, count(DISTINCT expression) FILTER (flipped) AS n_expressions
-        FROM flips GROUP BY category""",
+        FROM flips GROUP BY GROUPING SETS ((), (category))""",
     "q18_rater_agreement": f"""
         WITH {RATINGS},
         h AS (SELECT human_label AS v, count(*) AS h FROM pairs GROUP BY ALL),
@@ -317,7 +319,7 @@ ORACLE: dict[str, str] = {
         SELECT pooled, category, baseline_rate, pushed_rate, round(delta, 6) AS delta,
                round(delta / nullif((SELECT delta FROM deltas WHERE pooled), 0), 6) AS ratio FROM deltas""",
     "q32_majority_per_item": f"""
-        SELECT item, step, n::BIGINT AS n_labelled, {VOTES} AS majority
+        SELECT item, step, n::BIGINT AS n_labelled, odd AS n_unknown, {VOTES} AS majority
         FROM (SELECT item, step, {VOTE_TALLY} FROM ({_lines()}) GROUP BY ALL)""",
     "q33_rating_coverage": f"""
         SELECT lang, count(*) AS n_rows, count(human_label) AS n_rated FROM ({RATED}) GROUP BY lang""",

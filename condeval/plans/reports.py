@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,13 +14,7 @@ from condeval.operators.counts import count_labels
 from condeval.operators.storing import stored
 from condeval.sources.tables import write_report_csv
 
-# The pairs of series the bootstrap report tests.
-REPORT_PAIRS = (
-    ("Idiom", "Conventional Metaphor"),
-    ("Conventional Metaphor", "Novel Metaphor"),
-    ("Simile", "Conventional Metaphor"),
-    ("Simile", "Idiom"),
-)
+Keep = Callable[[DataFrame], DataFrame]
 
 
 def comparison_report(
@@ -31,16 +25,19 @@ def comparison_report(
     category: str = "category",
     trusted: str = "gold",
     baseline: float = 0.0,
+    keep: Keep = stored,
 ) -> dict[str, DataFrame]:
     """Rates of two experiments side by side, by category and on trusted rows, with deltas.
 
     The deltas are those of the rounded rates. The pushed condition is the lowest
     one of the first experiment and is used for every series. Each experiment is
-    read once, into stored counts that all tables are made from.
+    read once, into counts that all tables are made from: ``keep`` stores them, as
+    each table is an action of its own. A caller who reads a single table passes
+    ``lambda counts: counts`` and gets one plan.
     """
     fine = [category, condition, *([trusted] if trusted in second.columns else [])]
-    first = stored(count_labels(first, condition))
-    second = stored(count_labels(second, fine))
+    first = keep(count_labels(first, condition))
+    second = keep(count_labels(second, fine))
     first_rates = R.label_rates(first, condition)
     both = R.pooled_and_grouped_rates(second, category, condition)
     second_rates = both.filter("pooled").drop("pooled", category)
@@ -71,24 +68,25 @@ def comparison_report(
 def bootstrap_report(
     first: DataFrame,
     second: DataFrame,
-    first_name: str = "Idiom",
-    first_cluster: str = "idiom",
+    first_name: str,
+    first_cluster: str,
+    push: float,
+    pairs: Sequence[tuple[str, str]],
     category: str = "category",
     second_cluster: str = "expression",
     condition: str = "alpha_factor",
-    push: float = -4.78,
     baseline: float = 0.0,
-    pairs: Sequence[tuple[str, str]] = REPORT_PAIRS,
     replicates: int = 5000,
     seed: int = 0,
+    keep: Keep = stored,
 ) -> dict[str, DataFrame]:
     """Intervals per series and tests per pair, from one aggregation of each experiment."""
     one = B.cluster_counts(
         first.withColumn("_series", F.lit(first_name)), "_series", first_cluster, condition, push, baseline
     )
     many = B.cluster_counts(second, category, second_cluster, condition, push, baseline)
-    counts = stored(one.unionByName(many))
-    deltas = stored(B.bootstrap_deltas(counts, replicates, seed))
+    counts = keep(one.unionByName(many))
+    deltas = keep(B.bootstrap_deltas(counts, replicates, seed))
     return {
         "intervals": B.confidence_intervals(counts, deltas),
         "pairs": B.pairwise_differences(deltas, pairs),

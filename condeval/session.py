@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 SETTINGS = {
-    # Runtime sizes decide joins: no operator carries a broadcast hint, so a
-    # side is broadcast only when its measured size is under the session's
-    # threshold, and is sort-merge joined (with skew splitting) otherwise.
+    # Sizes known to Spark decide joins: no operator carries a broadcast hint, so a
+    # side is broadcast only under the session's threshold, and is sort-merge
+    # joined (with skew splitting) otherwise.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -118,6 +118,7 @@ def append_csv_rows(rows: DataFrame, path: str) -> None:
 def write_report_csv(table: DataFrame, path: str) -> None:
     """A final table as one CSV file with a header.
 
-    For report tables only: they hold one row per condition or series.
+    For report tables only: they hold one row per condition or series. What makes
+    them stays spread over tasks; only the finished rows meet in one.
     """
-    table.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    table.repartition(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

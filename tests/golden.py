@@ -1,4 +1,4 @@
-"""Published label counts, from which labelled rows can be regenerated."""
+"""Label counts that follow from published rates, to regenerate labelled rows, and the published rates."""
 
 # Fixed values: (coefficient, FIGURATIVE, LITERAL, INCOHERENT) per series.
 COUNTS = {
@@ -92,3 +92,35 @@ def labelled_rows(names):
         for label, n in zip(LABELS, counts)
         for _ in range(n)
     ]
+
+# Published rates by category and coefficient (FIGURATIVE, LITERAL,
+# INCOHERENT, coherence rate).
+BY_CATEGORY = (
+    ("Conventional Metaphor", -4.78, 0.292, 0.656, 0.052, 0.948),
+    ("Conventional Metaphor", -3.59, 0.304, 0.66, 0.036, 0.964),
+    ("Conventional Metaphor", -2.39, 0.292, 0.68, 0.028, 0.972),
+    ("Conventional Metaphor", -1.2, 0.3, 0.68, 0.02, 0.98),
+    ("Conventional Metaphor", 0.0, 0.408, 0.548, 0.044, 0.956),
+    ("Conventional Metaphor", 1.2, 0.488, 0.472, 0.04, 0.96),
+    ("Conventional Metaphor", 2.39, 0.424, 0.52, 0.056, 0.944),
+    ("Conventional Metaphor", 3.59, 0.4, 0.548, 0.052, 0.948),
+    ("Conventional Metaphor", 4.78, 0.36, 0.556, 0.084, 0.916),
+    ("Novel Metaphor", -4.78, 0.224, 0.728, 0.048, 0.952),
+    ("Novel Metaphor", -3.59, 0.2, 0.728, 0.072, 0.928),
+    ("Novel Metaphor", -2.39, 0.232, 0.72, 0.048, 0.952),
+    ("Novel Metaphor", -1.2, 0.2, 0.776, 0.024, 0.976),
+    ("Novel Metaphor", 0.0, 0.224, 0.736, 0.04, 0.96),
+    ("Novel Metaphor", 1.2, 0.256, 0.688, 0.056, 0.944),
+    ("Novel Metaphor", 2.39, 0.288, 0.656, 0.056, 0.944),
+    ("Novel Metaphor", 3.59, 0.4, 0.512, 0.088, 0.912),
+    ("Novel Metaphor", 4.78, 0.336, 0.576, 0.088, 0.912),
+    ("Simile", -4.78, 0.176, 0.744, 0.08, 0.92),
+    ("Simile", -3.59, 0.28, 0.6, 0.12, 0.88),
+    ("Simile", -2.39, 0.304, 0.552, 0.144, 0.856),
+    ("Simile", -1.2, 0.312, 0.576, 0.112, 0.888),
+    ("Simile", 0.0, 0.424, 0.488, 0.088, 0.912),
+    ("Simile", 1.2, 0.4, 0.488, 0.112, 0.888),
+    ("Simile", 2.39, 0.352, 0.52, 0.128, 0.872),
+    ("Simile", 3.59, 0.272, 0.568, 0.16, 0.84),
+    ("Simile", 4.78, 0.376, 0.496, 0.128, 0.872),
+)

@@ -105,10 +105,38 @@ def test_labelling_keeps_repeated_pending_rows(frame, tmp_path):
     assert whole.count() == 3
 
 
-def test_staging_uses_the_shared_folder(spark):
-    path = X._staging_path(spark, "/data/out")
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    assert path.startswith(shared) if shared else path == "/data/out-pending"
+def test_staging_is_a_new_folder_that_goes_with_the_run(spark, frame, tmp_path):
+    one, two = (X._staging_path(spark, "/data/out") for _ in range(2))
+    assert one != two and one.startswith(spark.sparkContext.getCheckpointDir())
+    X.run_in_steps(frame([(i,) for i in range(9)], "i int"), lambda part: part, str(tmp_path / "o"), steps=2, tasks=1)
+    shared = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    assert not [name for name in os.listdir(shared) if "pending" in name]
+
+
+def test_rows_per_step_set_the_number_of_steps(spark, frame, tmp_path):
+    sizes = []
+
+    def work(part):
+        sizes.append(part.count())
+        return part
+
+    rows = frame([(i,) for i in range(200)], "i int")
+    X.run_in_steps(rows, work, str(tmp_path / "o"), tasks=1, rows_per_step=40)
+    assert len(sizes) == 5 and sum(sizes) == 200
+    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "o")).collect()) == list(range(200))
+
+
+def test_null_prefixes_are_not_sent(frame):
+    rows = frame([("a", 1.0), (None, 1.0), ("b", 2.0)], "prefix string, coefficient double")
+    got = {r["prefix"]: r["continuations"] for r in X.generate_batches(rows, writer(), samples=2).collect()}
+    assert got == {"a": ["a 1.0 0", "a 1.0 1"], None: None, "b": ["b 2.0 0", "b 2.0 1"]}
+
+
+def test_a_generator_with_too_few_texts_fails(frame):
+    rows = frame([("a", 1.0)], "prefix string, coefficient double")
+    short = lambda: lambda prefixes, coefficients, samples: [["one"] for _ in prefixes]
+    with pytest.raises(PySparkException, match="must return 2 texts"):
+        X.generate_batches(rows, short, samples=2).collect()
 
 
 CSV = """category,expression,variant_id,prefix,gold,alpha_factor,sample_i,continuation

