@@ -1,0 +1,63 @@
+import hashlib
+import random
+
+import pytest
+
+from condeval.llm import bpe
+from condeval.llm.queries import tokenizer_file
+
+PATH = tokenizer_file()
+DDL = "doc_id bigint, text string, n_tokens string"
+TEXTS = [
+    None, "", "  \n", "Hello, WORLD don't IT'S 123", "<|endoftext|>a<|startoftext|>b <|endoftext", "é\u0301 ñß ΑΣ İ ﬀ²½Ⅷ",
+    "汉字 한국 😀👍🏽 \x00\x1c\x85\xa0\u2028", "x" * 3000, "word " * 20_000,
+]
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(PATH)
+    found.no_truncation()
+    found.no_padding()
+    return found
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    with open(PATH, encoding="utf-8") as file:
+        return bpe.Encoder(file.read())
+
+
+def test_random_texts(library, encoder):
+    pick = random.Random(4)
+    pool = "abcdeéñß ΣςİK'sťrelld 0129²Ⅷ½ \t\n\x85\xa0 \x1c汉字！!?.,'́😀👍🏽한국ｱ<|endoftext|>"
+    for _ in range(3000):
+        text = "".join(pick.choice(pool) for _ in range(pick.randint(0, 30)))
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == ids, repr(text)
+        assert encoder.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_the_word_cache_is_bounded(encoder, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 5)
+    fresh = [encoder.encode(f"word{i} again") for i in range(40)]
+    assert fresh == [encoder.encode(f"word{i} again") for i in range(40)] and len(encoder.young) <= max(5, len(fresh[0]) * 2)
+
+
+def test_operators(spark, library):
+    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], "x"), (None, "a b", "x")]
+    table = spark.createDataFrame(rows, DDL)
+    encoded = bpe.encoded(table, PATH)
+    decoded = {(r.doc_id, r.text) for r in bpe.decoded(encoded, PATH).collect()}
+    got = sorted(map(str, bpe.round_trip_digests(table, PATH).collect()))
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    want, texts = [], set()
+    for key, text, _ in rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        texts.add((key, back))
+        want.append(f"Row(doc_id={key}, n_tokens={len(ids)}, ids_sha256='{sha(' '.join(map(str, ids)))}', decoded_sha256='{sha(back)}')")
+    assert got == sorted(want) and decoded == texts
+    assert bpe.round_trip_digests(table.limit(0), PATH).count() == 0

@@ -1,0 +1,90 @@
+import pytest
+from check_oracle import connect, differences
+
+from condeval.llm import mixing as M
+from condeval.llm.queries import op4_mixing
+
+DDL = "doc_id bigint, text string, source string, size string"
+
+
+def brute_targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: M.WEIGHTS[i % 3] for i, s in enumerate(names)}
+    left, open_, out = 1.5 * sum(sizes.values()), set(names), dict.fromkeys(names, 0.0)
+    while open_:
+        whole = sum(weight[s] for s in open_)
+        over = {s for s in open_ if left * weight[s] / whole > 2 * sizes[s]}
+        if not over:
+            for s in open_:
+                out[s] = left * weight[s] / whole
+            break
+        for s in over:
+            out[s] = 2.0 * sizes[s]
+            left -= out[s]
+        open_ -= over
+    return out
+
+
+ROWS = [(i, "w " * (i % 9), f"s{i % 4}" if i % 5 else None, "x") for i in range(300)]
+ROWS += [(900, None, "s0", "x"), (901, "", "empty", "x"), (902, "a\x0bb\x85c", "s1", "x"), (5, "w w", "s1", "x")]
+ROWS += [(903, "word " * 50_000, "long", "x"), (None, "w w w", "s2", "x")]
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    return spark.createDataFrame(ROWS, DDL)
+
+
+def test_targets_and_sums(table):
+    got = M.mixed(table).collect()
+    assert len(got) == len(ROWS)
+    sizes, taken, target = {}, {}, {}
+    named = {}
+    for key, text, source, _ in ROWS:
+        words = len([w for w in (text or "").replace("\x0b", " ").split(" ") if w])
+        named.setdefault((key, words), source)
+        sizes[source] = sizes.get(source, 0) + words
+    want = brute_targets(sizes)
+    for r in got:
+        source = named[r.doc_id, r.size]
+        assert r.source_size == sizes[source] and r.target == pytest.approx(want[source])
+        assert 0 <= r.taken <= 2 * r.size
+        taken[source] = taken.get(source, 0) + r.taken
+        target[source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in taken)
+
+
+def test_reruns_agree_whatever_the_partitioning(table, monkeypatch):
+    first = sorted(map(str, M.mixed(table).collect()))
+    monkeypatch.setattr(M, "SLICE_ROWS", 7)
+    assert sorted(map(str, M.mixed(table.repartition(9)).collect())) == first
+
+
+def test_quality_draws_sooner(spark):
+    rows = [(i, "w w w w", "s", "x") for i in range(2000)] + [(i + 5000, "w", "t", "x") for i in range(10)]
+    quality = spark.createDataFrame([(i, 8.0 if i % 2 else 0.0 if i % 4 else 1.0) for i in range(2000)], "k bigint, w double")
+    got = {r.doc_id: r.taken for r in M.mixed(spark.createDataFrame(rows, DDL), quality).collect()}
+    assert sum(got[i] for i in range(1, 2000, 2)) > sum(got[i] for i in range(0, 2000, 2))
+
+
+def test_empty_and_wordless_tables(spark):
+    assert M.mixed(spark.createDataFrame([], DDL)).count() == 0
+    got = M.mixed(spark.createDataFrame([(1, None, None, "x"), (2, " ", "a", "x")], DDL)).collect()
+    assert [(r.size, r.target, r.taken) for r in got] == [(0, 0.0, 0)] * 2
+
+
+def test_repeats_are_rows(table):
+    taken = {(r.doc_id, r.size): r.taken for r in M.mixed(table).collect()}
+    rows = M.repeated(table)
+    assert rows.columns == table.columns
+    counts = {}
+    for r in rows.collect():
+        counts[r.doc_id] = counts.get(r.doc_id, 0) + 1
+    for (key, size), words in taken.items():
+        if key not in (5, None):
+            assert counts.get(key, 0) == (int(words / size + 0.5) if size else 0)
+
+
+def test_query_equals_its_statement(spark):
+    folder = "/root/testdata/sf0.001"
+    assert differences(op4_mixing(spark, folder), connect(folder), M.ORACLE) == []

@@ -1,0 +1,85 @@
+import hashlib
+
+import pytest
+from test_jaccard_join import brute
+from tokenizers import Tokenizer
+
+import corpus_pipeline as P
+from __spark_entry__ import oracle_sql, queries
+from condeval.llm import language_id, mixing
+from condeval.llm.queries import ORACLE, QUERIES, quality_weights, tokenizer_file
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def steps(spark):
+    """Documents before and after each stage."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    found = [docs]
+    for _, stage in P.STAGES:
+        found.append(stage(spark, found[-1], FOLDER).cache())
+    return found
+
+
+def test_all_but_the_last_keep_the_columns(steps):
+    assert len(P.STAGES) == 4
+    for after in steps[1:-1]:
+        assert after.columns == steps[0].columns and after.dtypes == steps[0].dtypes
+
+
+def test_language(spark, steps):
+    model = language_id.fitted(steps[0])
+    rows = steps[0].select("doc_id", "text").collect()
+    found = language_id.pooled(model, [r.text.encode() for r in rows])
+    want = {r.doc_id for r, p in zip(rows, found, strict=True) if p.max() >= P.MIN_SCORE and any(map(str.isalpha, r.text))}
+    assert {r.doc_id for r in steps[1].collect()} == want
+
+
+def test_one_document_of_each_group_stays(steps):
+    rows = [(r.doc_id, r.text) for r in steps[1].collect()]
+    want = {k for k, _, c in brute(rows) if k == c}
+    kept = [str(r.doc_id) for r in steps[2].collect()]
+    assert sorted(kept) == sorted(want) and len(kept) < len(rows)
+
+
+def test_mix(spark, steps):
+    taken = {r.doc_id: int(r.taken / max(1, r.size) + 0.5) for r in mixing.mixed(steps[2], quality_weights(spark, FOLDER)).collect()}
+    counts = {}
+    for r in steps[3].collect():
+        counts[r.doc_id] = counts.get(r.doc_id, 0) + 1
+    assert counts == {k: n for k, n in taken.items() if n}
+
+
+def test_encoding(steps):
+    library = Tokenizer.from_file(tokenizer_file())
+    library.no_truncation()
+    library.no_padding()
+    texts = {r.doc_id: r.text for r in steps[3].collect()}
+    got = steps[4].collect()
+    assert len(got) == steps[3].count()
+    for r in got:
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_run_gives_the_last_stage(spark, steps):
+    assert sorted(map(str, P.run(spark, FOLDER).collect())) == sorted(map(str, steps[4].collect()))
+
+
+def test_stages_take_empty_tables_and_nulls(spark, steps):
+    for (_, stage), before in zip(P.STAGES[1:], steps[1:], strict=False):
+        assert stage(spark, before.limit(0), FOLDER).count() == 0
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (1, None, "en", "a", 1), (2, "", None, None, 0), (2, "plain words of the text", "en", "a", 3)],
+        steps[0].schema,
+    )
+    docs = steps[0].unionByName(odd)
+    for _, stage in P.STAGES:
+        docs = stage(spark, docs, FOLDER)
+    assert docs.count() > 0
+
+
+def test_queries_are_registered():
+    assert set(QUERIES) | {"pipeline"} <= set(queries()) and set(ORACLE) <= set(oracle_sql())
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))

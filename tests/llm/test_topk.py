@@ -1,0 +1,51 @@
+import math
+
+import numpy as np
+
+from condeval.llm import topk as K
+
+DDL = "vec_id bigint, embedding array<float>, score string"
+
+
+def brute(rows, k):
+    kept = {}
+    for key, vector, _ in rows:
+        if key is None or vector is None or any(x is None or not math.isfinite(x) for x in vector):
+            continue
+        ints = [math.floor(64 * np.float32(x)) for x in vector]
+        kept[key] = min(kept.get(key, ints), ints)
+    out = set()
+    for q in kept:
+        if q % 20 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(kept[q], v)), i) for i, v in kept.items() if i != q)
+            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])}
+    return out
+
+
+def got(frame, k=3, **more):
+    return {tuple(r) for r in K.top_k(frame, k, **more).collect()}
+
+
+def test_against_brute_force(spark, monkeypatch):
+    random = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in random.normal(0, 0.3, 40).astype(np.float32)], "x") for i in range(300)]
+    rows += [(i + 300, rows[i][1], "x") for i in range(40)]  # ties
+    rows += [(400, None, "x"), (420, [None, 1.0], "x"), (440, [float("nan")], "x"), (460, [float("inf")], "x")]
+    rows += [(480, [], "x"), (None, [1.0], "x"), (500, [0.5, -0.25], "x"), (0, [9.0], "x"), (7, rows[7][1], "x")]
+    frame = spark.createDataFrame(rows, DDL)
+    want = brute(rows, 5)
+    assert got(frame, 5) == want
+    monkeypatch.setattr(K, "CANDIDATES", 64)
+    monkeypatch.setattr(K, "QUERIES", 8)
+    assert got(frame, 5) == want
+
+
+def test_few_rows_and_none(spark):
+    assert got(spark.createDataFrame([], DDL)) == set()
+    assert got(spark.createDataFrame([(0, [1.0], "x")], DDL)) == set()
+    assert got(spark.createDataFrame([(0, [1.0], "x"), (20, [2.0], "x")], DDL)) == {(0, 1, 20, 8192), (20, 1, 0, 8192)}
+
+
+def test_large_components_are_exact(spark):
+    rows = [(i, [float(2**22 + 64 * i), 1.0], "x") for i in range(6)]
+    assert got(spark.createDataFrame(rows, DDL)) == brute(rows, 3)
