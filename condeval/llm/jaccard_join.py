@@ -29,6 +29,7 @@ are neither read nor returned.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,15 +43,26 @@ from condeval.llm.common import checkpointed, free_names
 WORDS = 5
 # Link: PART * union <= WHOLE * intersection.
 PART, WHOLE = 75, 100
-GROUPS = 64
+GROUPS = 256
 SATURATED = 255
 LEAF, FANOUT = 8, 8
+# Points that a pivot is chosen by.
+CENTRAL = 32
+# Classes of a cell that one task holds, and more blocks than any cell has.
+BLOCK, BLOCKS = 8192, 1 << 31
+# Steps of a class's size per doubling, and by how many those of linked sets differ at most.
+SIZE_STEPS, SIZE_MASK = 8, 255
+SIZE_APART = int(SIZE_STEPS * math.log2(WHOLE / PART)) + 1
+# The filter that finds texts again has about so many bits a key, within these bounds.
+BITS_PER_KEY, FEWEST_BITS, MOST_BITS = 16, 1 << 18, 1 << 27
+# Most groups of a fine count vector.
+MOST_GROUPS = 1 << 16
 # Texts are hashed in pieces of about so many bytes, and searched for hashes that
 # repeat in pieces of about so many hashes.
 PIECE_BYTES, PIECE_HASHES = 1 << 19, 4_000_000
 # A hash is frequent from so many sightings in pieces where it repeats. So many
-# frequent hashes at most are sent to the workers (16 bytes each).
-FREQUENT, MOST_FREQUENT = 16, 100_000
+# frequent hashes at most, the most frequent, are sent to the workers (8 bytes each).
+FREQUENT, MOST_FREQUENT = 4, 400_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 MIXED = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -129,8 +141,9 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def class_of(hashes: np.ndarray) -> int:
-    """64 bits that name a set."""
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+    """64 bits that name a set; the lowest eight tell its size on a logarithmic scale."""
+    name = int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+    return name & ~SIZE_MASK | (min(SIZE_MASK, int(SIZE_STEPS * math.log2(len(hashes)))) if len(hashes) else 0)
 
 
 def routing_hashes(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -145,10 +158,33 @@ def routing_hashes(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return hashes[:needed]
 
 
-def group_counts(hashes: np.ndarray) -> np.ndarray:
+def group_counts(hashes: np.ndarray, groups: int = 0) -> np.ndarray:
     """A set's count vector; counts from ``SATURATED`` on are kept as that."""
-    groups = (hashes >> np.uint64(40)) % np.uint64(GROUPS)
-    return np.minimum(np.bincount(groups.astype(np.intp), minlength=GROUPS), SATURATED).astype(np.uint8)
+    groups = groups or GROUPS
+    found = (hashes >> np.uint64(40)) % np.uint64(groups)
+    return np.minimum(np.bincount(found.astype(np.intp), minlength=groups), SATURATED).astype(np.uint8)
+
+
+def fine_counts(hashes: np.ndarray) -> bytes:
+    """A set's size, and a count vector of about as many groups as it has hashes."""
+    groups = min(MOST_GROUPS, max(GROUPS, 1 << (len(hashes) - 1).bit_length()))
+    return len(hashes).to_bytes(8, "little") + group_counts(hashes, groups).tobytes()
+
+
+def fine_may_link(left: bytes, right: bytes) -> bool:
+    """The bound of ``_may_link`` on two fine vectors, the longer folded to the shorter."""
+    a, b = (_as_counts(np.frombuffer(x, np.uint8, offset=8)) for x in (left, right))
+    groups = min(len(a), len(b))
+    a, b = (x.reshape(-1, groups).sum(axis=0)[None] for x in (a, b))
+    sizes = [np.array([int.from_bytes(x[:8], "little")]) for x in (left, right)]
+    return bool(_may_link(sizes[0], a, sizes[1], b)[0])
+
+
+def linked(left: bytes, right: bytes) -> bool:
+    """Whether two sets link."""
+    a, b = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return WHOLE * both >= PART * (len(a) + len(b) - both)
 
 
 def _as_counts(packed: np.ndarray) -> np.ndarray:
@@ -222,11 +258,13 @@ class CountTree:
 
 
 def _profiles(table: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, class, size) of each document, and (hash, sightings) rows of repeating hashes."""
-    schema = "key {}, class bigint, size bigint, hash bigint, sightings bigint".format(
+    """(key, class, size, counts) of each document, and (hash, sightings) rows of repeating hashes."""
+    schema = "key {}, class bigint, size bigint, counts binary, hash bigint, sightings bigint".format(
         table.schema[key].dataType.simpleString()
     )
 
+    names = ["key", "class", "size", "counts", "hash", "sightings"]
+
     def repeating(sets: dict[int, np.ndarray], kind: pa.DataType):
         found, times = np.unique(np.concatenate([*sets.values(), np.empty(0, np.uint64)]), return_counts=True)
         found, times = found[times > 1], times[times > 1]
@@ -235,10 +273,11 @@ def _profiles(table: DataFrame, key: str, text: str) -> DataFrame:
                 pa.nulls(len(found), kind),
                 pa.nulls(len(found), pa.int64()),
                 pa.nulls(len(found), pa.int64()),
+                pa.nulls(len(found), pa.binary()),
                 pa.array(found.view(np.int64)),
                 pa.array(times.astype(np.int64)),
             ],
-            names=["key", "class", "size", "hash", "sightings"],
+            names=names,
         )
 
     def run(batches):
@@ -246,11 +285,12 @@ def _profiles(table: DataFrame, key: str, text: str) -> DataFrame:
         held = 0
         for batch in batches:
             kind = batch.column(0).type
-            classes, sizes = [], []
+            classes, sizes, counts = [], [], []
             for hashes in shingle_sets(batch.column(1)):
                 name = class_of(hashes)
                 classes.append(name)
                 sizes.append(len(hashes))
+                counts.append(group_counts(hashes).tobytes())
                 if name not in sets:
                     sets[name] = hashes
                     held += len(hashes)
@@ -259,8 +299,15 @@ def _profiles(table: DataFrame, key: str, text: str) -> DataFrame:
                         sets, held = {}, 0
             nothing = pa.nulls(len(classes), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), nothing, nothing],
-                names=["key", "class", "size", "hash", "sightings"],
+                [
+                    batch.column(0),
+                    pa.array(classes, pa.int64()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(counts, pa.binary()),
+                    nothing,
+                    nothing,
+                ],
+                names=names,
             )
         if sets:
             yield repeating(sets, kind)
@@ -289,64 +336,119 @@ def _postings(table: DataFrame, text: str, frequent) -> DataFrame:
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """(hash, class) of the cells with at least two classes, each once.
+    """Cells of at least two classes: small ones as pairs (class, other), large ones as (hash, part, class).
 
-    Rows come sorted, so a cell is read as a stream, whatever its size.
+    Rows come sorted, so a cell is read as a stream, whatever its size; only the up to
+    ``LEAF`` rows of an unfinished small cell are held. A large cell is cut into parts of
+    ``BLOCK`` classes, and its smallest class is in each. Pairs that their sizes rule out
+    are left out.
     """
 
+    def batch(hashes, parts, classes, others):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, pa.int64()) if x is not None else pa.nulls(len(classes), pa.int64()) for x in (hashes, parts, classes, others)],
+            names=["hash", "part", "class", "other"],
+        )
+
+    def small(starts, lengths, classes):
+        for length in range(2, LEAF + 1):
+            rows = starts[lengths == length][:, None] + np.arange(length)
+            i, j = np.triu_indices(length, 1)
+            a, b = classes[rows[:, i].ravel()], classes[rows[:, j].ravel()]
+            near = np.abs((a & SIZE_MASK) - (b & SIZE_MASK)) <= SIZE_APART
+            if near.any():
+                pairs = np.unique(np.stack([a[near], b[near]], axis=1), axis=0)
+                yield batch(None, None, pairs[:, 0].copy(), pairs[:, 1].copy())
+
     def run(batches):
         last = (None, None)  # the row before
-        waiting = None  # that row, if it starts a cell nobody else has joined yet
-        for batch in batches:
-            h, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        held = (np.empty(0, np.int64), np.empty(0, np.int64))  # an unfinished small cell
+        begun, pivot, going = 0, 0, 0  # of an unfinished large cell: rows that are out, smallest class, hash
+        for block in batches:
+            h, c = (block.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             if not len(h):
                 continue
-            same_hash = np.concatenate([[h[0] == last[0]], h[1:] == h[:-1]])
-            same_row = same_hash & np.concatenate([[c[0] == last[1]], c[1:] == c[:-1]])
+            repeat = np.concatenate([[(h[0], c[0]) == last], (h[1:] == h[:-1]) & (c[1:] == c[:-1])])
             last = (h[-1], c[-1])
-            h, c, same_hash = h[~same_row], c[~same_row], same_hash[~same_row]
+            h, c = np.concatenate([held[0], h[~repeat]]), np.concatenate([held[1], c[~repeat]])
             if not len(h):
                 continue
-            if waiting is not None:
-                h, c = np.concatenate([[waiting[0]], h]), np.concatenate([[waiting[1]], c])
-                same_hash = np.concatenate([[False], same_hash])
-            joined = np.concatenate([same_hash[1:], [False]])  # the next row is of this cell
-            keep = same_hash | joined
-            waiting = None if same_hash[-1] else (h[-1], c[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(c[keep])], names=["hash", "class"])
+            more = begun and h[0] == going  # the large cell goes on
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            lengths = np.diff(np.append(starts, len(h)))
+            large = lengths > LEAF
+            large[0] |= bool(more)
+            place = np.arange(len(h)) - np.repeat(starts, lengths)
+            pivots = np.repeat(c[starts], lengths)
+            if more:
+                place[: lengths[0]] += begun
+                pivots[: lengths[0]] = pivot
+            held = (np.empty(0, np.int64), np.empty(0, np.int64)) if large[-1] else (h[starts[-1] :], c[starts[-1] :])
+            begun, pivot, going = (int(place[-1]) + 1, pivots[-1], h[-1]) if large[-1] else (0, 0, 0)
+            done = np.ones(len(starts), bool)
+            done[-1] = False
+            yield from small(starts[~large & done], lengths[~large & done], c)
+            keep = np.repeat(large, lengths)
+            again = keep & (place > 0) & (place % BLOCK == 0)
+            if keep.any():
+                yield batch(
+                    np.concatenate([h[keep], h[again]]),
+                    np.concatenate([place[keep], place[again]]) // BLOCK,
+                    np.concatenate([c[keep], pivots[again]]),
+                    None,
+                )
+        yield from small(np.array([0]), np.array([len(held[0])]), held[1])
 
     cells = postings.repartition("hash").sortWithinPartitions("hash", "class")
-    return cells.mapInArrow(run, "hash bigint, class bigint")
+    return cells.mapInArrow(run, "hash bigint, part bigint, class bigint, other bigint")
+
 
+def _found_again(table: DataFrame, key: str, text: str, keys: DataFrame, made) -> DataFrame:
+    """(class, made) of at least the documents with these keys; ``made`` turns a set into bytes.
 
-def _sets(table: DataFrame, text: str) -> DataFrame:
-    """(class, size, counts, hashes) of each text."""
+    A bitmap holds the hashes of the keys and picks the texts where they are read, so
+    texts aren't shuffled. It has ``MOST_BITS`` at most; what it lets through beyond the
+    keys is left out by the joins that follow.
+    """
+    wanted = BITS_PER_KEY * max(1, keys.count())
+    size = min(MOST_BITS, max(FEWEST_BITS, 1 << wanted.bit_length()))
+    place = F.pmod(F.xxhash64("_key"), F.lit(size))
+    buckets = (
+        keys.select(place.alias("p"))
+        .groupBy(F.bitmap_bucket_number("p").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    )
+    width = 1 << 12  # bytes of a bucket; MOST_BITS / 8 bytes of all
+    bits = np.zeros((size // 8 // width + 2) * width, np.uint8)
+    for row in buckets.collect():
+        bits[row["bucket"] * width : row["bucket"] * width + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
+    shipped = table.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         for batch in batches:
-            sets = list(shingle_sets(batch.column(0)))
+            number, position = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            inside = shipped.value[number * width + position // 8] >> (position % 8) & 1
+            sets = shingle_sets(batch.column(0).filter(pa.array(inside.astype(bool))))
+            rows = [(class_of(s), made(s)) for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([class_of(s) for s in sets], pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([group_counts(s).tobytes() for s in sets], pa.binary()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
-                ],
-                names=["class", "size", "counts", "hashes"],
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
+                names=["class", "made"],
             )
 
-    return table.select(text).mapInArrow(run, "class bigint, size bigint, counts binary, hashes binary")
+    spot = F.pmod(F.xxhash64(key), F.lit(size))
+    rows = table.select(text, F.bitmap_bucket_number(spot).alias("n"), F.bitmap_bit_position(spot).alias("p"))
+    return rows.mapInArrow(run, "class bigint, made binary")
 
 
 def _cells(batches, finish) -> Iterator[pa.RecordBatch]:
-    """Call ``finish`` with whole cells, gathered from sorted batches."""
+    """Call ``finish`` with whole parts of cells, gathered from sorted batches."""
     rest = None
     for batch in batches:
         part = pa.Table.from_batches([batch])
         rest = part if rest is None else pa.concat_tables([rest, part])
-        h = rest.column("hash").to_numpy()
-        if len(h) and h[0] != h[-1]:
-            cut = int(np.searchsorted(h, h[-1], side="left"))
+        h, p = rest.column("hash").to_numpy(), rest.column("part").to_numpy()
+        if len(h) and (h[0], p[0]) != (h[-1], p[-1]):
+            cut = int(np.flatnonzero((h != h[-1]) | (p != p[-1]))[-1]) + 1
             yield from finish(rest.slice(0, cut))
             rest = rest.slice(cut)
     if rest is not None and len(rest):
@@ -354,9 +456,9 @@ def _cells(batches, finish) -> Iterator[pa.RecordBatch]:
 
 
 def _unpacked(cells: pa.Table):
-    h, c, n = (cells.column(k).to_numpy() for k in ("hash", "class", "size"))
+    h, p, c, n = (cells.column(k).to_numpy() for k in ("hash", "part", "class", "size"))
     packed = np.frombuffer(b"".join(cells.column("counts").to_pylist()), np.uint8).reshape(-1, GROUPS)
-    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (p[1:] != p[:-1])]))
     return c, n, _as_counts(packed), starts, np.diff(np.append(starts, len(h)))
 
 
@@ -367,60 +469,106 @@ def _pair_batch(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _first_pairs(cells: DataFrame) -> DataFrame:
-    """Pairs the bound allows: all of a small cell, those with one pivot of a large one."""
+def _most_central(sizes: np.ndarray, counts: np.ndarray) -> int:
+    """The point whose bound allows a link with most of some others: of near copies, their original."""
+    others = np.linspace(0, len(sizes) - 1, min(len(sizes), CENTRAL)).astype(int)
+    near = np.zeros(len(sizes))
+    for other in others:
+        shared = np.minimum(counts, counts[other]).sum(axis=1, dtype=np.int64)
+        near += shared / (sizes + sizes[other])
+    return int(near.argmax())
+
+
+def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the bound on their points allows."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = [batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4)]
+            counts = [
+                _as_counts(np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, GROUPS)) for i in (3, 5)
+            ]
+            yield batch.select([0, 1]).filter(pa.array(_may_link(sizes[0], counts[0], sizes[1], counts[1]), pa.bool_()))
+
+    of_a = points.select(F.col("class").alias("a"), F.col("size").alias("n_a"), F.col("counts").alias("c_a"))
+    of_b = points.select(F.col("class").alias("b"), F.col("size").alias("n_b"), F.col("counts").alias("c_b"))
+    both = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "n_a", "c_a", "n_b", "c_b")
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
+def _pivot_pairs(cells: DataFrame) -> DataFrame:
+    """Pairs of a large cell's points with a pivot, where the bound allows them.
+
+    A part of a very large cell has two pivots: its own, and the cell's, which joins the parts.
+    """
 
     def finish(part):
         c, n, counts, starts, lengths = _unpacked(part)
-        for length in np.unique(lengths[lengths <= LEAF]):
-            if length < 2:
-                continue
-            rows = starts[lengths == length][:, None] + np.arange(length)
-            i, j = np.triu_indices(length, 1)
-            a, b = rows[:, i].ravel(), rows[:, j].ravel()
-            for at in range(0, len(a), 1 << 16):
-                x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-                ok = _may_link(n[x], counts[x], n[y], counts[y])
-                yield _pair_batch(c[x[ok]], c[y[ok]])
-        for start, length in zip(starts[lengths > LEAF], lengths[lengths > LEAF], strict=True):
-            y = np.arange(start + 1, start + length)
-            x = np.full(len(y), start)
-            ok = _may_link(n[x], counts[x], n[y], counts[y])
-            yield _pair_batch(c[x[ok]], c[y[ok]])
+        for start, length in zip(starts, lengths, strict=True):
+            y = np.arange(start, start + length)
+            middle = start + _most_central(n[y], counts[y])
+            for x in {middle, start} if length > BLOCK // 2 else {middle}:
+                ok = _may_link(n[x], counts[x][None], n[y], counts[y]) & (y != x)
+                yield _pair_batch(np.full(ok.sum(), c[x]), c[y[ok]])
 
     return cells.mapInArrow(lambda batches: _cells(batches, finish), "a bigint, b bigint")
 
 
 def _tree_pairs(cells: DataFrame) -> DataFrame:
-    """Pairs of different components, from a tree over each large cell."""
+    """Pairs of different components, from a tree over each pair of a large cell's blocks.
+
+    ``part`` numbers the pair of blocks; pairs inside a block belong to its pair with itself.
+    """
 
     def finish(part):
         c, n, counts, starts, lengths = _unpacked(part)
-        component = part.column("component").to_numpy()
-        for start, length in zip(starts[lengths > LEAF], lengths[lengths > LEAF], strict=True):
+        component, block, pair = (part.column(k).to_numpy() for k in ("component", "block", "part"))
+        for start, length in zip(starts, lengths, strict=True):
             inside = slice(start, start + length)
+            across = pair[start] // BLOCKS != pair[start] % BLOCKS
             for a, b in CountTree(n[inside], counts[inside], component[inside]).pairs():
-                yield _pair_batch(c[inside][a], c[inside][b])
+                ok = (block[inside][a] != block[inside][b]) | (not across)
+                yield _pair_batch(c[inside][a[ok]], c[inside][b[ok]])
 
     return cells.mapInArrow(lambda batches: _cells(batches, finish), "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link."""
+def _large_cells(cells: DataFrame, joined: DataFrame) -> DataFrame:
+    """(hash, part, class, block, component): large cells of several components, dealt as pairs of blocks."""
+    blocks = cells.groupBy("hash").agg((F.max("part") + 1).alias("blocks"))
+    members = cells.join(blocks, "hash").groupBy("hash", "class")
+    members = members.agg(F.min("part").alias("block"), F.first("blocks").alias("blocks"))
+    members = members.join(joined.withColumnRenamed("node", "class"), "class", "left")
+    members = members.withColumn("component", F.coalesce("component", "class"))
+    several = members.groupBy("hash").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    members = members.join(several.where("low < high").select("hash"), "hash", "left_semi")
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    pair = F.least("block", "other") * BLOCKS + F.greatest("block", "other")
+    return members.withColumn("other", other).select("hash", pair.alias("part"), "class", "block", "component")
+
+
+def _passing(pairs: DataFrame, table: DataFrame, key: str, text: str, classes: DataFrame, made, passes) -> DataFrame:
+    """The pairs that pass a test of what is made of their two sets."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    keys = checkpointed(needed.join(classes.select("class", "key"), "class").select(F.col("key").alias("_key")))
+    found = checkpointed(_found_again(table, key, text, keys, made))
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(WHOLE * both >= PART * (len(a) + len(b) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    of_b = sets.select(F.col("class").alias("b"), F.col("hashes").alias("of_b"))
-    of_a = sets.select(F.col("class").alias("a"), F.col("hashes").alias("of_a"))
-    both = pairs.distinct().join(of_b, "b").join(of_a, "a").select("a", "b", "of_a", "of_b")
-    return both.mapInArrow(run, "a bigint, b bigint")
+            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            yield batch.select([0, 1]).filter(pa.array([passes(a, b) for a, b in both], pa.bool_()))
+
+    of_b = found.select(F.col("class").alias("b"), F.col("made").alias("of_b"))
+    of_a = found.select(F.col("class").alias("a"), F.col("made").alias("of_a"))
+    sides = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "of_a", "of_b")
+    # Rows that repeat a key are found more than once.
+    return checkpointed(sides.mapInArrow(run, "a bigint, b bigint").distinct())
+
+
+def _verified(pairs: DataFrame, *place) -> DataFrame:
+    """The pairs that link: the bound is first repeated on fine vectors, then sets are compared."""
+    pairs = _passing(checkpointed(pairs.distinct()), *place, fine_counts, fine_may_link)
+    return _passing(pairs, *place, lambda hashes: hashes.tobytes(), linked)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -456,7 +604,12 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(table: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id): each document's set size and the smallest key it reaches."""
     profiles = checkpointed(_profiles(table, key, text))
-    rows = profiles.where("hash IS NULL").select("key", "class", "size")
+    rows = profiles.where("hash IS NULL").select("key", "class", "size", "counts")
+    classes = (
+        rows.where("size > 0")
+        .groupBy("class")
+        .agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("counts").alias("counts"))
+    )
     common = (
         profiles.where("hash IS NOT NULL")
         .groupBy("hash")
@@ -468,41 +621,29 @@ def near_duplicates(table: DataFrame, key: str = "doc_id", text: str = "text") -
     frequent = np.sort(np.array([r[0] for r in common.select("hash").collect()], np.int64).view(np.uint64))
     frequent = table.sparkSession.sparkContext.broadcast(frequent)
 
-    cells = checkpointed(_shared(_postings(table, text, frequent)))
-    classes = rows.where("size > 0").groupBy("class").agg(F.min("key").alias("key"))
-    involved = cells.select("class").distinct().join(classes, "class").select(F.col("key").alias("_key"))
-    (name,) = free_names(["_key"], key)
-    texts = table.select(F.col(key).alias(name), F.col(text).alias("_text"))
-    texts = texts.join(involved.distinct(), F.col(name).eqNullSafe(F.col("_key")), "left_semi")
-    # A key may repeat, and its rows differ: of each class one row is kept.
-    sets = checkpointed(_sets(texts, "_text").where("size > 0").dropDuplicates(["class"]))
-    points = sets.select("class", "size", "counts")
+    shared = checkpointed(_shared(_postings(table, text, frequent)))
+    pairs = shared.where("hash IS NULL").select(F.col("class").alias("a"), F.col("other").alias("b")).distinct()
+    cells = shared.where("hash IS NOT NULL").drop("other")
+    points = classes.select("class", "size", "counts")
 
     def dealt(table_: DataFrame) -> DataFrame:
-        return table_.repartition("hash").sortWithinPartitions("hash", "class")
+        return table_.join(points, "class").repartition("hash", "part").sortWithinPartitions("hash", "part", "class")
 
-    first = checkpointed(_verified(_first_pairs(dealt(cells.join(points, "class"))), sets))
+    place = (table, key, text, classes)
+    first = _verified(_bounded(pairs, points).union(_pivot_pairs(dealt(cells))), *place)
     joined = checkpointed(components(first))
-    large = cells.groupBy("hash").count().where(F.col("count") > LEAF).select("hash")
-    placed = (
-        cells.join(large, "hash")
-        .join(points, "class")
-        .join(joined.withColumnRenamed("node", "class"), "class", "left")
-        .withColumn("component", F.coalesce("component", "class"))
-    )
-    second = _verified(_tree_pairs(dealt(placed)), sets)
+    second = _verified(_tree_pairs(dealt(_large_cells(cells, joined))), *place)
     linked = components(first.union(second)).withColumnRenamed("node", "class")
     named = (
-        rows.where("size > 0")
-        .groupBy("class")
-        .agg(F.min("key").alias("least"))
+        classes.select("class", F.col("key").alias("least"))
         .join(linked, "class", "left")
         .withColumn("component", F.coalesce("component", "class"))
     )
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(ids, "component").select("class", "component_id")
     return (
-        rows.join(named, "class", "left")
+        rows.drop("counts")
+        .join(named, "class", "left")
         .select(
             F.col("key").alias(key),
             F.col("size").alias("n_shingles"),

@@ -67,9 +67,10 @@ def corpus():
     return [*out, (None, rows[1], "x"), (3, out[3][1], "x")]
 
 
-@pytest.mark.parametrize("leaf", [8, 2])
-def test_against_brute_force(spark, monkeypatch, leaf):
+@pytest.mark.parametrize("leaf, block", [(8, 8192), (2, 5)])
+def test_against_brute_force(spark, monkeypatch, leaf, block):
     monkeypatch.setattr(J, "LEAF", leaf)
+    monkeypatch.setattr(J, "BLOCK", block)
     monkeypatch.setattr(J, "FREQUENT", 3)
     rows = corpus()
     assert got(spark, rows) == brute(rows)
@@ -122,6 +123,21 @@ def test_pieces_do_not_change_sets(monkeypatch):
     assert whole[0] == whole[5] and len(whole[0]) == 2 and whole[1] == whole[3] == []
 
 
+def test_large_cells_are_cut_with_their_pivot_in_each_part(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [(h, c * 256) for h, n in ((1, 1), (2, 2), (3, 11), (4, 1), (5, 9), (6, 3)) for c in range(n)]
+        rows += [(3, 0), (3, 10 * 256), (6, 256), (7, 0), (7, 255)]  # repeats; a pair whose sizes are far apart
+        found = J._shared(spark.createDataFrame(rows, "hash bigint, class bigint")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    cut = lambda h, n: {(h, c // 4, c) for c in range(n)} | {(h, p, 0) for p in range(-(-n // 4))}
+    large = sorted((r.hash, r.part, r["class"] // 256) for r in found if r.hash is not None)
+    assert large == sorted(cut(3, 11) | cut(5, 9))
+    assert {(r["class"] // 256, r.other // 256) for r in found if r.hash is None} == {(0, 1), (0, 2), (1, 2)}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (7, 7)], "a bigint, b bigint")
     found = {r.node: r.component for r in J.components(edges).collect()}
