@@ -65,11 +65,12 @@ def running_totals(
     as its slices are many. ``sums`` maps a new column to the column it sums.
     NULL groups are groups of their own.
     """
-    sliced = rows.withColumn(slices, slice_of)
     keys = [F.coalesce(F.col(g).cast("string"), F.lit("")).alias(f"_k{i}") for i, g in enumerate(groups)]
     nulls = [F.col(g).isNull().alias(f"_n{i}") for i, g in enumerate(groups)]
     names = [f"_{c}{i}" for i in range(len(groups)) for c in "kn"]
-    totals = sliced.groupBy(*keys, *nulls, slices).agg(
+    # Dealt by slice, or a shuffle by group alone, made for a join before, would be kept.
+    sliced = rows.select("*", slice_of.alias(slices), *keys, *nulls)
+    totals = sliced.groupBy(*names, slices).agg(
         *(F.sum(c).alias(f"_before_{out}") for out, c in sums.items())
     )
     earlier = Window.partitionBy(*names).orderBy(slices).rowsBetween(Window.unboundedPreceding, -1)
@@ -81,7 +82,7 @@ def running_totals(
     inside = (
         Window.partitionBy(*names, slices).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    placed = sliced.select("*", *keys, *nulls).withColumns(
+    placed = sliced.repartition(*names, slices).withColumns(
         {out: F.coalesce(F.sum(c).over(inside), F.lit(0)) for out, c in sums.items()}
     )
     found = placed.join(offsets, [*names, slices], "left")
