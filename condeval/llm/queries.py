@@ -102,5 +102,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_top_k": topk.ORACLE,
     "op4_mixing": mixing.ORACLE,
 }

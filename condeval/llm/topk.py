@@ -142,3 +142,16 @@ def top_k(
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )
+
+ORACLE = """
+WITH parts AS (
+  SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(floor(64 * unnest(embedding)::DOUBLE) AS BIGINT) AS x
+  FROM embeddings
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM parts q JOIN parts c USING (i) WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id GROUP BY ALL
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id, score
+FROM scores QUALIFY rank <= 20
+"""
