@@ -4,9 +4,11 @@ Markup is stripped into lines, one a block element. A line's length counts the t
 that can be content: menus, headers, footers, sidebars, notices, adverts, forms and
 reader comments, known by their elements and class names, count nothing, nor do lines
 that are mostly links, nor, on a page with an article element, lines outside it.
-Lengths are summed over sliding windows of lines. A page's text surges at a line that
-counts and whose window holds enough, and dives where a whole window holds nothing; the
-lines between that count are kept.
+Lengths are summed over sliding windows of lines. A page's text dives where a whole
+window holds nothing; dives cut it into runs. Inside an article every line that counts is
+kept. On a page without one, a run is kept whole, from its first line that counts to its
+last, if one of its windows surges; what has no surge there is a scrap of a few characters
+that stands alone.
 
 Defined cases: NULL or empty html has empty text; elements that are never closed end
 with the page, or where an article begins; pages of any length are read whole; rows
@@ -22,8 +24,9 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# Lines of a window; a surge needs this share of the page's fullest window.
-WINDOW, SURGE = 4, 0.05
+# Lines of a window; a surge needs this share of the page's fullest window, but never
+# more than so many characters.
+WINDOW, SURGE, SCRAP = 4, 0.05, 10
 # A line of which links hold more than this share counts nothing.
 LINKS = 0.6
 
@@ -68,8 +71,8 @@ def _marked(attributes: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """A page's lines in order, each with the length that counts."""
+def lines_of(page: str) -> list[tuple[str, int, bool]]:
+    """A page's lines in order, each with the length that counts and whether an article holds it."""
     lines: list[tuple[str, int, bool]] = []
     text: list[str] = []  # of the line so far
     linked = 0  # characters of it inside links
@@ -151,24 +154,28 @@ def lines_of(page: str) -> list[tuple[str, int]]:
     if at < len(page):
         text.append(page[at:])
     flush()
-    return [(line, counts if within or not saw_article else 0) for line, counts, within in lines]
+    return [(line, counts if within or not saw_article else 0, within) for line, counts, within in lines]
 
 
 def main_text(page: str | None) -> str:
-    """The lines between surges and dives, joined by line feeds."""
+    """The lines of an article, or of the runs that surge, joined by line feeds."""
     lines = lines_of(page or "")
-    counts = [c for _, c in lines]
+    counts = [c for _, c, _ in lines]
     sums = [sum(counts[i : i + WINDOW]) for i in range(len(counts))]
-    least = max(1.0, SURGE * max(sums, default=0))
+    least = min(SCRAP, max(1.0, SURGE * max(sums, default=0)))
     kept: list[str] = []
-    on = False
-    for (line, count), ahead in zip(lines, sums, strict=True):
-        if not on and count and ahead >= least:
-            on = True  # surge
-        elif on and not ahead:
-            on = False  # dive
-        if on and count:
-            kept.append(line)
+    run: list[str] = []  # since the last dive
+    surged = False
+    for (line, count, within), ahead in zip(lines, sums, strict=True):
+        if not ahead:  # dive
+            if surged:
+                kept += run
+            run, surged = [], False
+        elif count:
+            run.append(line)
+            surged = surged or within or ahead >= least
+    if surged:
+        kept += run
     return "\n".join(kept)
 
 

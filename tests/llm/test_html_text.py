@@ -52,3 +52,35 @@ def test_pages_of_the_small_tables(spark):
         article = re.search(r"(?s)<article>(.*?)</article>", r.html)[1]
         blocks = (" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split("<p>|</p>|<h1>|</h1>", article))
         assert H.main_text(r.html) == "\n".join(b for b in blocks if b)
+
+
+LONG = "long text " * 700
+
+
+@pytest.mark.parametrize("before", ["<p>short</p>", "<p>short</p>" * 140, "<h1>A</h1><p>b</p>"])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>"])
+def test_lines_before_a_very_long_one_stay(before, around):
+    lines = [b for b in re.split("<[^>]*>", before) if b]
+    assert H.main_text(around.format(f"{before}<p>{LONG}</p>")) == "\n".join([*lines, LONG.strip()])
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>"])
+def test_lines_after_a_dive_stay(around):
+    adverts = "<div class='ad'>buy</div>" * 9
+    page = around.format(f"<p>An opening.</p>{adverts}<p>{LONG}</p>{adverts}<p>So it ends.</p>")
+    assert H.main_text(page) == f"An opening.\n{LONG.strip()}\nSo it ends."
+
+
+def test_short_lines_of_an_article_stay_wherever_they_stand():
+    adverts = "<div class='ad'>buy</div>" * 9
+    assert H.main_text(f"<article><p>ok</p>{adverts}<p>{LONG}</p>{adverts}<p>ok</p></article>") == f"ok\n{LONG.strip()}\nok"
+
+
+def test_articles_of_pages_with_very_long_paragraphs(spark):
+    """Of these articles page 1027 once lost 140 lines and the others their heading."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("page_id IN (300, 1027, 1219, 2309)").collect()
+    assert len(pages) == 4
+    for r in pages:
+        article = re.search(r"(?s)<article>(.*?)</article>", r.html)[1]
+        blocks = (" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split("<p>|</p>|<h1>|</h1>", article))
+        assert H.main_text(r.html) == "\n".join(b for b in blocks if b)
