@@ -3,7 +3,8 @@
 Markup is stripped into lines, one a block element. A line's length counts the text
 that can be content: menus, headers, footers, sidebars, notices, adverts, forms and
 reader comments, known by their elements and class names, count nothing, nor do lines
-that are mostly links, nor, on a page with an article element, lines outside it.
+outside articles that are mostly links, nor, on a page with an article element, lines
+outside it.
 Lengths are summed over sliding windows of lines. A page's text dives where a whole
 window holds nothing; dives cut it into runs. Inside an article every line that counts is
 kept. On a page without one, a run is kept whole, from its first line that counts to its
@@ -11,9 +12,10 @@ last, if one of its windows surges; what has no surge there is a scrap of a few
 that stands alone.
 
 Defined cases: NULL or empty html has empty text; elements that are never closed end
-with the page, or where an article begins; pages of any length are read whole; rows
-that repeat get equal rows; an empty table gives an empty table; other columns are
-neither read nor returned.
+with the page, or where an article begins; a link ends with the block that holds it and at
+the next link, and one that is never closed at the next block; pages of any length are read
+whole; rows that repeat get equal rows; an empty table gives an empty table; other columns
+are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 # Lines of a window; a surge needs this share of the page's fullest window, but never
 # more than so many characters.
 WINDOW, SURGE, SCRAP = 4, 0.05, 10
-# A line of which links hold more than this share counts nothing.
+# A line outside articles of which links hold more than this share counts nothing.
 LINKS = 0.6
 
 # Elements by role.
@@ -58,6 +60,8 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _ENDS = {name: re.compile(rf"(?i)</{name}\b[^>]*>") for name in UNSEEN}
 _WORD = re.compile(r"[a-z]+")
+_ANCHOR = re.compile(r"(?i)<(/?)a[\s/>]")
+_BARE = re.compile(r"""(?i)\bhref\s*=\s*[^\s"'>]*/\Z""")  # a slash that belongs to the address
 
 
 def _marked(attributes: str) -> bool:
@@ -76,7 +80,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     lines: list[tuple[str, int, bool]] = []
     text: list[str] = []  # of the line so far
     linked = 0  # characters of it inside links
-    in_link, inside = 0, 0  # depth of links and of articles
+    in_link, closed = False, False  # whether a link is open, and whether it has an end
+    within_link, inside = 0, 0  # blocks begun in the link, depth of articles
     dropped = ""  # the element that is being left out, with its depth
     depth = 0
     saw_article = False
@@ -87,7 +92,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             line = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if line:
-                counts = 0 if dropped or linked > LINKS * len(line) else len(line)
+                counts = 0 if dropped or (not inside and linked > LINKS * len(line)) else len(line)
                 lines.append((line, counts, inside > 0))
         linked = 0
 
@@ -109,8 +114,14 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 at = position = end.end() if end else len(page)
             continue
         if name == "a":
-            in_link = max(0, in_link + (-1 if closing else 1))
+            in_link = not closing and (not found[3].endswith("/") or bool(_BARE.search(found[3])))
+            if in_link:
+                follows = _ANCHOR.search(page, position)
+                closed, within_link = bool(follows and follows[1]), 0
             continue
+        if in_link and name in BLOCKS:
+            within_link += -1 if closing else name not in EMPTY
+            in_link = closed and within_link >= 0
         if name == "br":
             text.append(" ")
             continue

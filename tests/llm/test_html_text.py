@@ -84,3 +84,25 @@ def test_articles_of_pages_with_very_long_paragraphs(spark):
         article = re.search(r"(?s)<article>(.*?)</article>", r.html)[1]
         blocks = (" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split("<p>|</p>|<h1>|</h1>", article))
         assert H.main_text(r.html) == "\n".join(b for b in blocks if b)
+
+
+LINKED = {
+    "<article><h2><a href=1>Linked heading</a></h2><p>text</p><ul><li><a href=2>item</a><li><a href=3>other</a></ul></article>":
+        "Linked heading\ntext\nitem\nother",
+    "<main><p><a href=1>A reference</a></p></main>": "A reference",
+    "<p><a href=1>never closed</p><p>A story.</p><p>Its end.</p>": "A story.\nIts end.",
+    "<body><a name=top><p>A story.</p><p>Its end.</p>": "A story.\nIts end.",
+    "<a id=x/>A story.<p>Its end.</p>": "A story.\nIts end.",
+    '<a id="x" />A story.<p>Its end.</p>': "A story.\nIts end.",
+    "<p><a href=1>one</p><p>A story.</a></p><p>Its end.</p>": "A story.\nIts end.",
+    "<p>A <a href=1>b <a href=2>c</a> story that goes on</p><p>Its end.</p>": "A b c story that goes on\nIts end.",
+    "<nav><ul><li><a href=1>menu</nav><p>A story.</p>": "A story.",
+    "<a href=/1/>all of it a link</a><p>A story.</p>": "A story.",
+    "<a href=1><div>a card</div><p>all of it a link</p></a><p>A story.</p>": "A story.",
+    "<p><a href=1><img src=x> all of it<br>a link</a></p><p>A story.</p>": "A story.",
+}
+
+
+@pytest.mark.parametrize("page", list(LINKED))
+def test_links(page):
+    assert H.main_text(page) == LINKED[page]
