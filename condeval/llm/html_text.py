@@ -4,7 +4,8 @@ Markup is stripped into lines, one a block element. A line's length counts the t
 that can be content: menus, headers, footers, sidebars, notices, adverts, forms and
 reader comments, known by their elements and class names, count nothing, nor do lines
 outside articles that are mostly links, nor, on a page with an article element, lines
-outside it.
+outside it. Inside an article only a whole class or role marks an element, an id does so
+for reader comments alone, and headings, and what is marked as a header, are kept.
 Lengths are summed over sliding windows of lines. A page's text dives where a whole
 window holds nothing; dives cut it into runs. Inside an article every line that counts is
 kept. On a page without one, a run is kept whole, from its first line that counts to its
@@ -53,24 +54,30 @@ MARKS = {
     "promotion", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor",
     "sponsored", "subscribe", "toolbar", "widget", "complementary", "search", "login",
 }
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# Whole names that mark an element inside an article: classes and roles, and ids.
+INSIDE = {"class": MARKS - {"header"}, "role": MARKS, "id": {"comments", "disqus_thread", "respond"}}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.DOTALL
 )
-_NAMES = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_NAMES = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _ENDS = {name: re.compile(rf"(?i)</{name}\b[^>]*>") for name in UNSEEN}
 _WORD = re.compile(r"[a-z]+")
 _ANCHOR = re.compile(r"(?i)<(/?)a[\s/>]")
 _BARE = re.compile(r"""(?i)\bhref\s*=\s*[^\s"'>]*/\Z""")  # a slash that belongs to the address
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, name: str, inside: int) -> bool:
     """Whether class, id or role name something that isn't content."""
-    if "=" not in attributes:
+    if "=" not in attributes or (inside and name in HEADINGS):
         return False
     for found in _NAMES.finditer(attributes):
-        value = (found[1] or found[2] or found[3] or "").lower()
-        if any(word in MARKS for word in _WORD.findall(value)):
+        value = (found[2] or found[3] or found[4] or "").lower()
+        if inside:
+            if not INSIDE[found[1].lower()].isdisjoint(value.split()):
+                return True
+        elif any(word in MARKS for word in _WORD.findall(value)):
             return True
     return False
 
@@ -126,7 +133,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             text.append(" ")
             continue
         if name not in BLOCKS and not dropped:
-            if not closing and name not in EMPTY and _marked(found[3]):
+            if not closing and name not in EMPTY and _marked(found[3], name, inside):
                 flush()
                 dropped, depth = name, 1
             elif name in DROPPED and not closing:
@@ -157,7 +164,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 inside = max(0, inside - 1)
             continue
         article_header = name == "header" and inside
-        if name not in WHOLE and ((name in DROPPED and not article_header) or _marked(found[3])):
+        if name not in WHOLE and ((name in DROPPED and not article_header) or _marked(found[3], name, inside)):
             dropped, depth = name, 1
         elif name in ("article", "main"):
             inside += 1

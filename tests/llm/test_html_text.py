@@ -106,3 +106,24 @@ LINKED = {
 @pytest.mark.parametrize("page", list(LINKED))
 def test_links(page):
     assert H.main_text(page) == LINKED[page]
+
+
+@pytest.mark.parametrize("around", ["article", "main"])
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<section id='related-work'><h2>Related work</h2><p>They did.</p></section>", "Related work\nThey did."),
+        ("<h2 id='search-methods'>Methods</h2><p>We did.</p>", "Methods\nWe did."),
+        ("<h2 class=search id=search>Search</h2><p>We did.</p>", "Search\nWe did."),
+        ("<div class='entry-header'><h1>T</h1></div><p>x</p>", "T\nx"),
+        ("<div class='header'><h1>T</h1></div><p>x</p>", "T\nx"),
+        ("<p id='notice'>x <span class='ad-hoc'>y</span></p>", "x y"),
+        ("<p>x</p><div class='box AD'>buy</div><div role='search'>s</div><div id='comments' class='area'>r</div><p>y</p>", "x\ny"),
+    ],
+)
+def test_marks_inside_articles_are_whole_names(around, page, text):
+    assert H.main_text(f"<{around}>{page}</{around}>") == text
+
+
+def test_marks_outside_articles_are_words():
+    assert H.main_text("<div id='page-header'>h</div><h2 class='site-menu'>m</h2><div class='related-posts'>r</div><p>x</p>") == "x"
