@@ -14,7 +14,9 @@ and h moves to h + z (c - h).
 
 Defined cases: NULL text, and a text without any letter, is ``und`` with score 0; an
 empty table gives an empty table; rows that repeat get equal rows; NULL keys are kept;
-other columns are neither read nor returned. A model needs at least one labelled text.
+other columns are neither read nor returned. ``fitted`` needs at least one labelled text;
+``fitted_if_any`` returns a model without languages where there is none, by which every
+text is ``und`` with score 0.
 """
 
 from __future__ import annotations
@@ -51,6 +53,15 @@ class Model:
     bias: np.ndarray
 
 
+UNTRAINED = Model(
+    (),
+    np.zeros((2, END + 1, 2 * HIDDEN), np.float32),
+    np.zeros((2, HIDDEN, 2 * HIDDEN), np.float32),
+    np.zeros((2 * HIDDEN, 0), np.float32),
+    np.zeros(0, np.float32),
+)
+
+
 def _forward(model: Model, symbols: np.ndarray, trace: list | None = None) -> np.ndarray:
     """States at every place: (2, places, rows, hidden), for symbols of (places, rows)."""
     places, rows = symbols.shape
@@ -192,10 +203,8 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fitted(
-    table: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", texts: int = TEXTS
-) -> Model:
-    """Train on the rows that aren't held out and have a label.
+def _sample(table: DataFrame, key: str, text: str, label: str, texts: int) -> tuple[list[bytes], list[str]]:
+    """Pieces of the rows that aren't held out and have a label, and their languages.
 
     The sample is ``texts`` texts of each language, those whose key hashes lowest, and
     ``PLACES`` pieces of ``LENGTH`` characters from hashed places of each. Languages are
@@ -209,7 +218,7 @@ def fitted(
     counts = known.groupBy("_label").count().collect()
     shares = [x for r in counts for x in (F.lit(r["_label"]), F.lit(SPARE * texts / r["count"]))]
     if not shares:
-        return train([], [])
+        return [], []
     place = (F.col("_h").cast("double") + float(1 << 63)) / float(1 << 64)
     known = known.where(place < F.element_at(F.create_map(*shares), F.col("_label")))
     first = Window.partitionBy("_label").orderBy("_h", "_text")
@@ -228,11 +237,28 @@ def fitted(
         ).alias("_piece"),
     ).where(F.col("_piece").rlike(r"\p{L}"))
     rows = sorted((r["_label"], r["_h"], r["_piece"]) for r in pieces.collect())
-    return train([r[2].encode() for r in rows], [r[0] for r in rows])
+    return [r[2].encode() for r in rows], [r[0] for r in rows]
+
+
+def fitted(
+    table: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", texts: int = TEXTS
+) -> Model:
+    """Train on a sample of the rows that aren't held out and have a label."""
+    return train(*_sample(table, key, text, label, texts))
+
+
+def fitted_if_any(
+    table: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", texts: int = TEXTS
+) -> Model:
+    """As ``fitted``, but a model without languages where no row can be learned from."""
+    pieces, labels = _sample(table, key, text, label, texts)
+    return train(pieces, labels) if pieces else UNTRAINED
 
 
 def _labelled(batch, model: Model, texts: int, lettered: int) -> tuple[list[str], list[float]]:
     """Languages and scores of one Arrow batch, a bounded number of bytes at a time."""
+    if not model.languages:
+        return [UNDETERMINED] * batch.num_rows, [0.0] * batch.num_rows
     languages, scores = [], []
     values = [
         (t or "").encode() if ok else b""

@@ -33,7 +33,7 @@ def tokenizer_file() -> str:
 
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = documents_of(spark, folder)
-    found = language_id.predicted(documents, language_id.fitted(documents))
+    found = language_id.predicted(documents, language_id.fitted_if_any(documents))
     return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 

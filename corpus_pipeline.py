@@ -18,7 +18,7 @@ MIN_SCORE = 0.35
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a determined language."""
-    return language_id.kept(docs, language_id.fitted(docs), MIN_SCORE)
+    return language_id.kept(docs, language_id.fitted_if_any(docs), MIN_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

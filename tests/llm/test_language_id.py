@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from condeval.llm import language_id as L
+from condeval.llm.queries import op1_language_id
 
 WORDS = {"xx": "abra cadab rabra", "yy": "zuzu wuzzy zwuz", "zz": "mimo nimo omin"}
 
@@ -84,3 +85,31 @@ def test_nothing_to_learn_from(spark):
     table = spark.createDataFrame([(1, "abc", None)], "doc_id bigint, text string, lang string")
     with pytest.raises(ValueError, match="no labelled text"):
         L.fitted(table)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "abc", None), (2, None, "xx"), (3, "12", "xx"), (None, "", None)]])
+def test_without_a_usable_label_all_is_undetermined(spark, rows):
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = L.fitted_if_any(table)
+    assert model.languages == ()
+    found = L.predicted(table, model)
+    assert found.columns == ["doc_id", "lang_pred", "score"]
+    assert sorted(map(str, found.collect())) == sorted(f"Row(doc_id={k}, lang_pred='und', score=0.0)" for k, _, _ in rows)
+    kept = L.kept(table, model, 0.0)
+    assert kept.columns == table.columns and kept.count() == 0
+
+
+def test_where_there_are_labels_the_model_is_the_same(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one, two = L.fitted(documents, texts=40), L.fitted_if_any(documents, texts=40)
+    assert one.languages == two.languages and np.array_equal(one.reading, two.reading)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "abc", None, "s", 3)]])
+def test_query_on_tables_without_labels(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    got = op1_language_id(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    assert [(r.doc_id, r.lang_pred, r.score) for r in got.collect()] == [(k, "und", 0.0) for k, *_ in rows]

@@ -83,3 +83,17 @@ def test_stages_take_empty_tables_and_nulls(spark, steps):
 def test_queries_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(queries()) and set(ORACLE) <= set(oracle_sql())
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_every_stage_takes_an_empty_table(spark, steps):
+    for (_, stage), before in zip(P.STAGES, steps[:-1], strict=True):
+        after = stage(spark, before.limit(0), FOLDER)
+        assert after.count() == 0
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "some words without a label", None, "a", 26)]])
+def test_pipeline_without_labels(spark, steps, rows):
+    docs = spark.createDataFrame(rows, steps[0].schema)
+    for _, stage in P.STAGES:
+        docs = stage(spark, docs, FOLDER)
+    assert docs.count() == 0 and docs.columns == steps[-1].columns
