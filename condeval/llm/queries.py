@@ -38,7 +38,7 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_top_k(spark: SparkSession, folder: str) -> DataFrame:
-    return topk.top_k(spark.read.parquet(f"{folder}/embeddings.parquet"), 20)
+    return topk.top_k(spark.read.parquet(f"{folder}/embeddings.parquet"), 20, every_row=True)
 
 
 def op3_winnowing(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,9 +15,10 @@ all of a block's are below 2**53, which is exact, and in int64 otherwise.
 
 Defined cases: vectors that are NULL, hold NULL or hold a component that isn't finite
 take no part; an empty vector scores 0 with all, a shorter one counts as filled up with
-zeros; rows that repeat an id count once, by their smallest vector; NULL ids take no
-part; ties go to the smaller id; fewer than k candidates are all returned; an empty
-table gives an empty table; other columns are neither read nor returned.
+zeros; rows that repeat an id count once, by their smallest vector, or, with ``every_row``,
+each for itself, as candidate of all rows but itself and as query; NULL ids take no part;
+ties go to the smaller id; fewer than k candidates are all returned; an empty table gives
+an empty table; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -35,16 +36,18 @@ EVERY = 20
 CANDIDATES, QUERIES, STEP = 8192, 2048, 16
 
 
-def whole_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, v): one row an id, floor(64 * x) of each component as long."""
+def whole_vectors(
+    table: DataFrame, key: str = "vec_id", vector: str = "embedding", every_row: bool = False
+) -> DataFrame:
+    """(id, v, n): floor(64 * x) of each component as long, one row an id or, with
+    ``every_row``, one for each of its vectors, and how many rows have it."""
     x = F.col(vector).cast("array<double>")
     odd = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = table.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.coalesce(odd, F.lit(True)))
-    return (
-        rows.select(F.col(key).cast("bigint").alias("id"), F.transform(x, lambda c: F.floor(c * SCALE)).alias("v"))
-        .groupBy("id")
-        .agg(F.min("v").alias("v"))
-    )
+    rows = rows.select(F.col(key).cast("bigint").alias("id"), F.transform(x, lambda c: F.floor(c * SCALE)).alias("v"))
+    if every_row:
+        return rows.groupBy("id", "v").agg(F.count("*").alias("n"))
+    return rows.groupBy("id").agg(F.min("v").alias("v"), F.lit(1).cast("bigint").alias("n"))
 
 
 def _matrix(lists: list[list[int]], width: int) -> np.ndarray:
@@ -57,7 +60,8 @@ def _matrix(lists: list[list[int]], width: int) -> np.ndarray:
 def best_of_block(queries, query_ids, columns, ids, k: int):
     """For each query, positions and scores of its k best among a block's columns.
 
-    ``columns`` is (dimensions, candidates), sorted by id, so ties keep the smaller.
+    ``columns`` is (dimensions, candidates), sorted by id, so ties keep the smaller. One
+    candidate with the query's id and vector is the query itself and left out.
     """
     width, count = columns.shape
     largest = max(int(np.abs(columns).max(initial=0)), int(np.abs(queries).max(initial=0)))
@@ -74,7 +78,9 @@ def best_of_block(queries, query_ids, columns, ids, k: int):
         left_q[at] = left_q[at + 1] + (queries[:, cut].astype(np.float64) ** 2).sum(axis=1)
     left, left_q = np.sqrt(left) * (1 + 1e-9), np.sqrt(left_q) * (1 + 1e-9)
     for row, (query, own) in enumerate(zip(queries, query_ids, strict=True)):
-        alive = np.flatnonzero(ids != own)
+        first, end = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
+        itself = first + np.flatnonzero((columns[:, first:end] == query[:, None]).all(axis=0))[:1]
+        alive = np.delete(np.arange(count), itself)
         partial = np.zeros(len(alive), kind)
         block = columns if len(alive) == count else None
         for at, start in enumerate(starts):
@@ -98,48 +104,56 @@ def best_of_block(queries, query_ids, columns, ids, k: int):
 
 
 def top_k(
-    table: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", is_query: Column | None = None
+    table: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", is_query: Column | None = None,
+    every_row: bool = False,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of each query against every other row."""
-    vectors = whole_vectors(table, key, vector)
+    vectors = whole_vectors(table, key, vector, every_row)
     counted = table.agg(F.count("*"), F.max(F.size(vector))).first()
     rows, width = counted[0], max(1, counted[1] or 0)
     if is_query is None:
         is_query = F.col("id") % EVERY == 0
     blocks = max(1, ceil(rows / CANDIDATES))
     query_blocks = max(1, ceil(rows / EVERY / QUERIES))
-    candidates = vectors.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn(
+    candidates = vectors.withColumn("c", F.pmod(F.xxhash64("id", "v"), F.lit(blocks))).withColumn(
         "q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
     )
     queries = (
         vectors.where(is_query)
-        .withColumn("q", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int"))
+        .withColumn("q", F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(query_blocks)).cast("int"))
+        .withColumns({"h": F.xxhash64("v"), "g": F.xxhash64(F.lit(2), "v")})
         .withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     )
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("id").to_numpy()
-        order = np.argsort(ids)
+        order = np.argsort(ids, kind="stable")
+        # Of equal rows a query can't take more than k, besides itself.
+        order = np.repeat(order, np.minimum(left.column("n").to_numpy(), k + 1)[order])
         columns = np.ascontiguousarray(_matrix(left.column("v").to_pylist(), width)[order].T)
         asked = _matrix(right.column("v").to_pylist(), width)
-        out = [(np.empty(0, np.int64),) * 3]
+        own = [right.column(name).to_numpy() for name in ("id", "h", "g", "n")]
+        out = [(np.empty(0, np.int64),) * 6]
         if len(ids) and len(asked):
-            for own, alive, score in best_of_block(asked, right.column("id").to_numpy(), columns, ids[order], k):
-                out.append((np.full(len(alive), own), ids[order][alive], score))
+            found = best_of_block(asked, own[0], columns, ids[order], k)
+            for row, (_, alive, score) in enumerate(found):
+                out.append((*(np.full(len(alive), x[row]) for x in own), ids[order][alive], score))
         return pa.table(
             {
                 name: pa.array(np.concatenate([o[i] for o in out]), pa.int64())
-                for i, name in enumerate(("query_id", "vec_id", "score"))
+                for i, name in enumerate(("query_id", "h", "g", "n", "vec_id", "score"))
             }
         )
 
     found = (
         candidates.groupBy("c", "q")
-        .cogroup(queries.select("id", "v", "c", "q").groupBy("c", "q"))
-        .applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+        .cogroup(queries.select("id", "v", "n", "h", "g", "c", "q").groupBy("c", "q"))
+        .applyInArrow(run, "query_id bigint, h bigint, g bigint, n bigint, vec_id bigint, score bigint")
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
+    best = Window.partitionBy("query_id", "h", "g").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    # Equal query rows have equal results.
+    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).select(
         "query_id", "rank", "vec_id", "score"
     )
 

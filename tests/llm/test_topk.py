@@ -3,6 +3,7 @@ import math
 import numpy as np
 
 from condeval.llm import topk as K
+from condeval.llm.queries import op2_top_k
 
 DDL = "vec_id bigint, embedding array<float>, score string"
 
@@ -49,3 +50,27 @@ def test_few_rows_and_none(spark):
 def test_large_components_are_exact(spark):
     rows = [(i, [float(2**22 + 64 * i), 1.0], "x") for i in range(6)]
     assert got(spark.createDataFrame(rows, DDL)) == brute(rows, 3)
+
+
+def test_every_row_is_a_candidate_and_a_query(spark, monkeypatch):
+    random = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in random.normal(0, 0.3, 20).astype(np.float32)], "x") for i in random.integers(0, 41, 150)]
+    rows += rows[:40] + [(20, [5.0] * 20, "x")] * 7 + [(3, [2.0, 1.0], "x"), (20, [9.0], "x"), (None, [1.0], "x")]
+    good = [(i, [math.floor(64 * np.float32(x)) for x in v]) for i, v, _ in rows if i is not None]
+    want = []
+    for at, (q, vector) in enumerate(good):
+        if q % 20 == 0:
+            others = sorted((-sum(a * b for a, b in zip(vector, v)), i) for n, (i, v) in enumerate(good) if n != at)
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(others[:5])]
+    frame = spark.createDataFrame(rows, DDL)
+    for candidates, queries in ((8192, 2048), (64, 8)):
+        monkeypatch.setattr(K, "CANDIDATES", candidates)
+        monkeypatch.setattr(K, "QUERIES", queries)
+        assert sorted(tuple(r) for r in K.top_k(frame, 5, every_row=True).collect()) == sorted(want)
+
+
+def test_the_query_keeps_repeated_ids(spark, tmp_path):
+    rows = [(0, [1.0]), (1, [1.0]), (1, [2.0]), (1, [2.0])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(tuple(r) for r in op2_top_k(spark, str(tmp_path)).collect())
+    assert got == [(0, 1, 1, 8192), (0, 2, 1, 8192), (0, 3, 1, 4096)]
