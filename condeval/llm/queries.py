@@ -11,9 +11,12 @@ from condeval.llm import (
     bpe,
     chat,
     html_text,
+    importance,
     jaccard_join,
     language_id,
     mixing,
+    pieces,
+    repair,
     sharding,
     topk,
     url_filter,
@@ -88,6 +91,29 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extracted(spark.read.parquet(f"{folder}/pages.parquet"))
 
 
+def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return importance.resampled(documents_of(spark, folder), benchmark).drop("n_words")
+
+
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{folder}/conversations.parquet")
+    return repair.repaired(repair.damaged(conversations), conversations)
+
+
+def piece_file() -> str:
+    """The SentencePiece model: LLM_PIECES names it, else the installed package has it."""
+    if path := os.environ.get("LLM_PIECES"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op13_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip_digests(documents_of(spark, folder), piece_file())
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_top_k": op2_top_k,
@@ -99,6 +125,9 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_url_filter": op9_url_filter,
     "op10_html_text": op10_html_text,
+    "op11_importance": op11_importance,
+    "op12_repair": op12_repair,
+    "op13_pieces": op13_pieces,
 }
 
 ORACLE: dict[str, str] = {

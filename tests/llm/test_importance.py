@@ -1,0 +1,108 @@
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from condeval.llm import importance as I
+
+DDL = "doc_id bigint, text string, rank string, weight string, bucket string"
+WORDS = re.compile(I.WORD)
+
+
+def features(text):
+    words = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return len(words), [" ".join(words[i : i + k]) for k in (1, 2, 3) for i in range(len(words) - k + 1)]
+
+
+def bucket(feature):
+    return zlib.crc32(feature.encode()) % 10_000
+
+
+def brute(documents, targets):
+    counts, aimed = [0] * 10_000, [0] * 10_000
+    found = [(key, *features(text)) for key, text in documents]
+    for _, _, windows in found:
+        for w in windows:
+            counts[bucket(w)] += 1
+    for text in targets:
+        for w in features(text)[1]:
+            aimed[bucket(w)] += 1
+    S, T = sum(counts), sum(aimed)
+    gains = [math.floor(1000 * math.log((t + 1) * (S + 10_000) / ((s + 1) * (T + 10_000)))) for s, t in zip(counts, aimed)]
+    rows = []
+    for key, n, windows in found:
+        weight = sum(gains[bucket(w)] for w in windows)
+        h = int(hashlib.sha256(f"42:{'' if key is None else key}".encode()).hexdigest()[:8], 16)
+        rows.append((key, n, len(windows), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    able = sorted((r for r in rows if r[1] >= 20), key=lambda r: (-r[4], r[0] is None, r[0] or 0))
+    ranks = {r: place for place, r in enumerate(able[: 5 * len(able) // 100], 1)}
+    return [(*r, ranks.get(r)) for r in rows]
+
+
+def text_of(pick, words):
+    return "".join(pick.choice(["the", "THE", "Ünï", "x9", "naïve", "q", "汉字"]) + pick.choice([" ", "  ", ", ", "-", "\n", "\x7f"]) for _ in range(words))
+
+
+def test_query_equals_brute_force(spark):
+    pick = random.Random(3)
+    texts = [text_of(pick, pick.randrange(0, 60)) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, "one"), (903, "one two"), (None, texts[5] * 9)]
+    aims = [text_of(pick, 30) for _ in range(5)] + [None, ""]
+    documents = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], DDL)
+    targets = spark.createDataFrame([(t,) for t in aims], "text string")
+    got = I.resampled(documents, targets)
+    assert got.columns == ["doc_id", "n_words", "n_features", "weight", "score", "rank"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, brute(rows, aims)))
+
+
+def test_ranks_run_over_many_ranges(spark):
+    table = spark.range(5000).selectExpr("id", "pmod(hash(id), 97) AS score")
+    order = [I.F.desc("score"), I.F.asc("id")]
+    got = [r["rank"] for r in I.ranked(table, order).orderBy(*order).collect()]
+    assert got == list(range(1, 5001))
+
+
+def test_empty_tables(spark):
+    documents = spark.createDataFrame([], DDL)
+    targets = spark.createDataFrame([], "text string")
+    assert I.resampled(documents, targets).count() == 0
+    one = spark.createDataFrame([(1, "a b c " * 30, "x", "y", "z")], DDL)
+    (found,) = I.resampled(one, targets, share=(1, 1)).collect()
+    assert found.n_features == 3 * 90 - 3 and found["rank"] == 1
+
+
+def test_repeated_rows_count_each(spark):
+    documents = spark.createDataFrame([(1, "a b " * 20, "x", "y", "z")] * 40, DDL)
+    found = I.resampled(documents, documents).collect()
+    assert sorted(r["rank"] for r in found if r["rank"]) == [1, 2] and len({r.score for r in found}) == 1
+
+
+def test_crcs_of_windows():
+    pick = random.Random(1)
+    words = ["".join(pick.choice("abé") for _ in range(pick.choice([1, 5, 62, 63, 64, 200, 1000]))) for _ in range(60)]
+    raw = [w.encode() for w in words]
+    found = I.window_crcs(np.array([zlib.crc32(w) for w in raw], np.uint32), np.array([len(w) for w in raw], np.int64))
+    for size, crcs in enumerate(found, 1):
+        assert crcs.tolist() == [zlib.crc32(b" ".join(raw[i : i + size])) for i in range(len(raw) - size + 1)]
+
+
+@pytest.mark.parametrize("at_once", [1, 2, 5, 1 << 17])
+def test_windows_cross_the_pieces_texts_are_hashed_in(monkeypatch, at_once):
+    monkeypatch.setattr(I, "WORDS_AT_ONCE", at_once)
+    monkeypatch.setattr(I, "SPAN", 20)
+    pick = random.Random(at_once)
+    texts = [text_of(pick, pick.randrange(0, 90)) for _ in range(60)] + ["x" * 500 + " " + "é" * 100 + " a", "", None, "a", "a b", "a b c"]
+    for text, (n, found) in zip(texts, I._Documents().rows(texts), strict=True):
+        want, windows = features(text)
+        assert n == want and sorted(found.tolist()) == sorted(map(bucket, windows))
+
+
+def test_offsets():
+    text = "Ab, ÉC\n" * 200
+    for word, (start, end) in I.words_with_offsets(text):
+        assert I.lowered(text[start:end]) == word
+    assert len(list(I.words_with_offsets(text))) == 400

@@ -1,0 +1,148 @@
+import hashlib
+import heapq
+import random
+import re
+import zlib
+
+import pytest
+
+from condeval.llm import repair as R
+
+BLANKS = " \t\n\x0b\x0c\r"
+DDL = "conv_id bigint, turn bigint, role string, text string, cost string, slice string"
+
+
+def damaged(rows):
+    found = {}
+    for conv, turn, role, text, *_ in rows:
+        said = found.setdefault(conv, [])
+        role, text = " " if role is None else role, " " if text is None else text
+        name = f"{' ' if conv is None else conv}:{' ' if turn is None else turn}"
+        fault = zlib.crc32(name.encode()) % 20
+        if fault == 0:
+            continue
+        text = {1: "", 2: re.sub("[.!?]", "", text)}.get(fault, text)
+        said += [(turn, "user" if fault == 4 else role, text)] * (2 if fault == 3 else 1)
+    return {c: sorted(v, key=lambda r: (r[0] is not None, r[0] or 0, *r[1:])) for c, v in found.items()}
+
+
+def brute(rows):
+    """Gaps, blank, duplicate, truncated, illegal, cost, audit, digest: the least path through all edits."""
+    seen, codes, counts = set(), [], [0, 0, 0]
+    for _, role, text in rows:
+        said = text.strip(BLANKS)
+        fault = 0 if not said else 1 if (role, text) in seen else 2 if said[-1] not in ".!?" else None
+        if fault is not None:
+            counts[fault] += 1
+        seen.add((role, text))
+        codes.append((role[:1], fault))
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    turns = [t for t, *_ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    queue, done = [(0, "", 0, "")], set()
+    while True:
+        cost, audit, at, state = heapq.heappop(queue)
+        if (at, state) in done:
+            continue
+        done.add((at, state))
+        if at == len(rows) and state in ("", "a"):
+            break
+        follows = "a" if state == "u" else "u"
+        heapq.heappush(queue, (cost + 2, audit + "I", at, follows))
+        if at == len(rows):
+            continue
+        initial, fault = codes[at]
+        heapq.heappush(queue, (cost + 3, audit + "D", at + 1, state))
+        if fault in (None, 2):
+            stays = cost + (fault == 2)
+            heapq.heappush(queue, (stays + 2, audit + "R", at + 1, follows))
+            if initial == follows or (initial, state) == ("s", ""):
+                heapq.heappush(queue, (stays, audit + "K", at + 1, initial))
+    return gaps, *counts, illegal, cost, audit, hashlib.sha256("\n".join(edited(rows, audit)).encode()).hexdigest()
+
+
+def edited(rows, audit):
+    out, rest, state = [], iter(rows), ""
+    for letter in audit:
+        _, role, text = (None, "", "") if letter == "I" else next(rest)
+        if letter == "D":
+            continue
+        if letter in "IR":
+            role = "assistant" if state == "u" else "user"
+        state = role[0]
+        out.append(f"{role}:{text}")
+    return out
+
+
+def made(seed, conversations, most):
+    pick = random.Random(seed)
+    rows = []
+    for conv in [None, *range(conversations)]:
+        for turn in range(pick.randrange(1, most)):
+            role = pick.choice(["user", "assistant", "user", "assistant", "system", "tool", "", None, "User"])
+            text = pick.choice(["a.", "b", "Hi! ", "x?", " \t", "", None, "c.\n", "d . é", "\xa0"])
+            rows.append((conv, pick.choice([turn] * 4 + [None, pick.randrange(-9, 9)]), role, text, "x", "y"))
+    return rows
+
+
+@pytest.mark.parametrize("slice_, most", [(4096, 14), (3, 40), (1, 8)])
+def test_query_equals_brute_force(spark, monkeypatch, slice_, most):
+    monkeypatch.setattr(R, "SLICE", slice_)
+    rows = made(slice_, 150, most)
+    table = spark.createDataFrame(rows, DDL)
+    got = {r.conv_id: tuple(r)[1:] for r in R.repaired(R.damaged(table), table).collect()}
+    assert got == {conv: brute(said) for conv, said in damaged(rows).items()}
+
+
+def test_random_audits():
+    """Crossings against all paths, from every start to every end, with slices or without."""
+    pick = random.Random(2)
+    for _ in range(600):
+        codes = bytes(pick.randrange(12) for _ in range(pick.randrange(1, 12)))
+        steps = [R.ROW_EDGES[c] for c in codes]
+        best = {q: (0 if q == R.START else R.NEVER, "") for q in R.STATES}
+        for code in codes:
+            best = {
+                end: min((best[q][0] + e[0], best[q][1] + e[1]) for q in R.STATES if (e := R.LETTERS[code][q][end]))
+                if any(R.LETTERS[code][q][end] for q in R.STATES)
+                else (R.NEVER, "~")
+                for end in R.STATES
+            }
+        cost, audit = min((best[q][0] + R.LAST_COSTS[q], best[q][1] + "I" * R.LAST_INSERTS[q]) for q in R.STATES)
+        states = R.crossings(steps, R.START, R.LAST_COSTS)
+        assert R.audit_of(codes, R.START, states[-1], True) == audit
+        cut = pick.randrange(len(codes) + 1)
+        parts = [p for p in (codes[:cut], codes[cut:]) if p]
+        met = R.crossings([R.summed([R.ROW_EDGES[c] for c in p]) for p in parts], R.START, R.LAST_COSTS)
+        solved = enumerate(zip(parts, [R.START, *met], met, strict=False), 1)
+        assert "".join(R.audit_of(*part, last=i == len(parts)) for i, part in solved) == audit
+        assert cost < R.NEVER
+
+
+def test_repaired_rows_are_those_of_the_audit(spark):
+    rows = made(9, 60, 12)
+    table = R.damaged(spark.createDataFrame(rows, DDL))
+    got = {}
+    for r in R.repaired_rows(table).orderBy("conv_id", "slice", "place").collect():
+        got.setdefault(r.conv_id, []).append(f"{r.role}:{r.text}")
+    want = {conv: edited(said, brute(said)[6]) for conv, said in damaged(rows).items()}
+    assert got == {conv: said for conv, said in want.items() if said}
+
+
+def test_a_long_conversation_is_solved_in_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(R, "SLICE", 64)
+    pick = random.Random(1)
+    rows = [(1, t, pick.choice(["user", "assistant"]), f"{t % 900} {pick.choice('.,')}", "x", "y") for t in range(6000)]
+    table = spark.createDataFrame(rows, DDL)
+    facts = R._facts(table, "conv_id", "turn", "role", "text")
+    assert R.audits(facts).count() == -(-6000 // 64)
+    (found,) = R.repaired(table).collect()
+    assert tuple(found)[1:] == brute([r[1:4] for r in rows])
+
+
+def test_empty_tables_and_conversations_without_rows(spark):
+    table = spark.createDataFrame([], DDL)
+    assert R.repaired(R.damaged(table), table).count() == 0
+    named = spark.createDataFrame([(5, 1, "user", "a.", "x", "y")], DDL)
+    (found,) = R.repaired(table, named).collect()
+    assert tuple(found) == (5, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
