@@ -3,15 +3,17 @@
 Rates only need sums, so rows shrink to four counts per cluster before anything
 is drawn; a replicate then draws cluster indices and adds up counts.
 
-A draw is a pure function of (seed, series, replicate, slot): it does not depend
-on partitioning, retries or executor loss, and it can be repeated in SQL. The
-series name is part of it, so series are resampled independently.
-
-Drawing index by index makes replicates x clusters rows, at every size: a series'
-numbers depend on nothing but its own clusters and the seed. Beyond some ten million
-clusters that is a shuffle of every draw. A caller who can do with other random
-numbers may then ask for ``method="multinomial"``: clusters with the same four counts
-are interchangeable, so it draws how often each distinct combination comes up.
+Draws are split and not made: ``condeval.operators.splitting`` gives how often each
+cluster of a range is drawn in a replicate, as a pure function of (seed, series,
+replicate, cluster index). A task holds a block of clusters, works out their counts by
+itself and sends one sum a replicate, so nothing is shuffled a draw, and numbers depend on
+no partitioning, retry or executor loss. They can be repeated in SQL. The series name is
+part of them, so series are resampled independently.
+
+``method="indices"`` makes each draw from a hash of (seed, series, replicate, slot) and
+joins it with its cluster: replicates x clusters rows. ``method="multinomial"`` draws how
+often each distinct combination of counts comes up, where these are few. Both are other
+random numbers of the same distribution.
 """
 
 from __future__ import annotations
@@ -28,8 +30,11 @@ from pyspark.sql import functions as F
 from condeval.functions.columns import all_present
 from condeval.functions.numeric import zero_inside
 from condeval.operators.rates import condition_counts, point_delta
+from condeval.operators.splitting import multiplicities, series_state
 
 COUNTS = ("k0", "n0", "k1", "n1")
+# A block of clusters, as a power of two, and the replicates a task works out at a time.
+BLOCK_LEVELS, BLOCK_REPLICATES = 12, 64
 # Slots one task row expands at a time.
 SLOTS = 1 << 16
 # Distinct count combinations that fit in one task next to a block of replicates.
@@ -118,20 +123,23 @@ def bootstrap_deltas(
     replicates: int = 5000,
     seed: int = 0,
     tasks: int | None = None,
-    method: str = "indices",
+    method: str = "splitting",
     few: int = FEW_COMBINATIONS,
 ) -> DataFrame:
     """(series, replicate, delta): resample as many clusters as the series has.
 
+    ``splitting`` works out how often each cluster is drawn, block by block.
     ``indices`` draws cluster indices and joins the indexed counts; whether these
     are broadcast is the session's decision and never changes a number.
-    ``multinomial`` gives other random numbers of the same distribution, and fails
-    beyond ``few`` distinct count combinations. The delta is NULL where a replicate
+    ``multinomial`` fails beyond ``few`` distinct count combinations. The methods give
+    other random numbers of one distribution. The delta is NULL where a replicate
     drew no rows for one of the conditions. ``tasks`` is the session's parallelism by
     default.
     """
     tasks = tasks or counts.sparkSession.sparkContext.defaultParallelism
-    if method == "indices":
+    if method == "splitting":
+        totals = _split_totals(index_clusters(counts), replicates, seed, tasks)
+    elif method == "indices":
         totals = _drawn_totals(index_clusters(counts), replicates, seed, tasks)
     elif method == "multinomial":
         combined = counts.groupBy("series", *COUNTS).agg(F.count("*").alias("clusters"))
@@ -143,6 +151,44 @@ def bootstrap_deltas(
     return totals.select("series", "replicate", point_delta().alias("delta"))
 
 
+def _split_totals(indexed: DataFrame, replicates: int, seed: int, tasks: int) -> DataFrame:
+    """Summed counts per replicate, a row per replicate and task in between.
+
+    A block of clusters is one row. The fewer blocks a series has, the more ranges of
+    replicates it is copied to, up to ``tasks``; a large series is not copied.
+    """
+    size = 1 << BLOCK_LEVELS
+    cell = F.struct("ix", *COUNTS)
+    blocks = indexed.groupBy("series", F.shiftright("ix", BLOCK_LEVELS).alias("block")).agg(
+        F.max("n_clusters").alias("n_clusters"), F.array_sort(F.collect_list(cell)).alias("cells")
+    )
+    shares = F.ceil(F.lit(tasks) / F.ceil(F.col("n_clusters") / size))
+    width = F.greatest(F.lit(1), F.ceil(F.lit(replicates) / F.greatest(F.lit(1), shares))).cast("int")
+    dealt = (
+        blocks.withColumn("width", width)
+        .withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.col("width"))))
+        .repartition(tasks, "series", "block", "start")
+    )
+    columns = [f"cells.{name}" for name in COUNTS]
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                state = series_state(seed, row.series)
+                counts = np.stack([getattr(row, name) for name in COUNTS], axis=1)
+                end = min(row.start + row.width, replicates)
+                for start in range(row.start, end, BLOCK_REPLICATES):
+                    numbers = np.arange(start, min(start + BLOCK_REPLICATES, end))
+                    drawn = multiplicities(state, row.n_clusters, row.block * size, size, numbers)
+                    sums = drawn @ counts
+                    made = {name: sums[:, i] for i, name in enumerate(COUNTS)}
+                    yield pd.DataFrame({"series": row.series, "replicate": numbers, **made})
+
+    schema = "series string, replicate int, " + ", ".join(f"{c} bigint" for c in COUNTS)
+    sent = dealt.select("series", "block", "n_clusters", "width", "start", *columns).mapInPandas(split, schema)
+    return sent.groupBy("series", "replicate").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
 def _drawn_totals(indexed: DataFrame, replicates: int, seed: int, tasks: int) -> DataFrame:
     """Summed counts per replicate, one row per draw in between.
 

@@ -233,6 +233,13 @@ def bootstrap_ci(spark, folder):
     return places(found, "delta", "ci_lo", "ci_hi")
 
 
+def bootstrap_drawn(spark, folder):
+    """The same intervals from draws that are made one by one."""
+    counts = _cluster_counts(spark, folder)
+    found = B.confidence_intervals(counts, B.bootstrap_deltas(counts, REPLICATES, method="indices"))
+    return places(found, "delta", "ci_lo", "ci_hi")
+
+
 def bootstrap_pairwise(spark, folder):
     deltas = B.bootstrap_deltas(_cluster_counts(spark, folder), REPLICATES)
     return places(B.pairwise_differences(deltas, PAIRS), "diff", "ci_lo", "ci_hi")
@@ -349,4 +356,5 @@ QUERIES: dict[str, Query] = {
     "q40_flipped_items": flipped_items,
     "q41_cluster_index": cluster_index,
     "q42_bootstrap_items": bootstrap_items,
+    "q43_bootstrap_drawn": bootstrap_drawn,
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from condeval.operators.splitting import FIRST, GAMMA, SECOND
 from condeval.plans.catalogue import ITEM_REPLICATES, PAIRS, REPLICATES
 
 GRID = "[-4.78, -3.59, -2.39, -1.20, 0.0, 1.20, 2.39, 3.59, 4.78]::DOUBLE[]"
@@ -87,7 +90,55 @@ def _clusters(cluster: str) -> str:
       FROM clusters)"""
 
 
+def _mixed(x: str) -> str:
+    """The 64-bit mixing of ``condeval.operators.splitting``, as SQL."""
+    times = "((xor(z, z >> {}))::UHUGEINT * {}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+    first = f"list_transform([{x}], lambda z: {times.format(30, FIRST)})"
+    second = f"list_transform({first}, lambda z: {times.format(27, SECOND)})"
+    return f"list_transform({second}, lambda z: xor(z, z >> 31))[1]"
+
+
+def _step(state: str, number: str) -> str:
+    added = f"({state}::UHUGEINT + {GAMMA}::UHUGEINT * (({number}) + 1)::UHUGEINT) % 18446744073709551616::UHUGEINT"
+    return _mixed(f"({added})::UBIGINT")
+
+
 def _deltas(cluster: str, replicates: int) -> str:
+    """Draws split down a binary tree of clusters: the ones among a node's hash bits go left."""
+    word = _step("state", "i")
+    left = f"""
+        list_sum(list_transform(range((m + 63) // 64), lambda i:
+          bit_count(({word} >> (64 - least(64, m - 64 * i))::UBIGINT)::HUGEINT)::BIGINT))::BIGINT"""
+    return f"""
+    {_clusters(cluster)},
+    sizes AS (
+      SELECT category, n, length(bin(n - 1)) - (n = 1)::INT AS top,
+             ('0x' || substr(md5('0|' || category), 1, 16))::UBIGINT AS seed
+      FROM (SELECT DISTINCT category, n FROM indexed)),
+    tree AS (
+      SELECT category, n, (1::BIGINT << top) AS leaves, replicate, {_step("seed", "replicate")} AS own,
+             0::BIGINT AS round, 1::BIGINT AS node, n::BIGINT AS m
+      FROM sizes, range({replicates}) r(replicate)
+      UNION ALL
+      SELECT category, n, leaves, replicate, own, sent.round, sent.node, sum(sent.m)::BIGINT
+      FROM (
+        SELECT category, n, leaves, replicate, own,
+               unnest(CASE WHEN node < leaves THEN [{{'round': round, 'node': 2 * node, 'm': goes}},
+                                                    {{'round': round, 'node': 2 * node + 1, 'm': m - goes}}]
+                           WHEN node - leaves >= n THEN [{{'round': round + 1, 'node': 1::BIGINT, 'm': m}}]
+                           ELSE [] END) AS sent
+        FROM (SELECT *, CASE WHEN node < leaves THEN {left} ELSE 0 END AS goes
+              FROM (SELECT *, {_step(_step("own", "round"), "node")} AS state FROM tree)))
+      WHERE sent.m > 0 GROUP BY ALL),
+    draws AS (SELECT category, replicate, node - leaves AS ix, m FROM tree WHERE node >= leaves AND node - leaves < n),
+    deltas AS (
+      SELECT category, replicate,
+             sum(k1 * m) / nullif(sum(n1 * m), 0)::DOUBLE - sum(k0 * m) / nullif(sum(n0 * m), 0)::DOUBLE AS delta
+      FROM draws JOIN indexed USING (category, ix) GROUP BY ALL)"""
+
+
+def _drawn_deltas(cluster: str, replicates: int) -> str:
+    """The draws made one by one."""
     return f"""
     {_clusters(cluster)},
     draws AS (
@@ -101,9 +152,9 @@ def _deltas(cluster: str, replicates: int) -> str:
       FROM draws JOIN indexed USING (category, ix) GROUP BY ALL)"""
 
 
-def _intervals(cluster: str, replicates: int) -> str:
+def _intervals(cluster: str, replicates: int, deltas: Callable[[str, int], str] = _deltas) -> str:
     return f"""
-        WITH {_deltas(cluster, replicates)},
+        WITH RECURSIVE {deltas(cluster, replicates)},
         points AS (SELECT category, count(*) AS n_groups,
                      sum(k1) / nullif(sum(n1), 0)::DOUBLE - sum(k0) / nullif(sum(n0), 0)::DOUBLE AS delta
                    FROM clusters GROUP BY category),
@@ -269,7 +320,7 @@ ORACLE: dict[str, str] = {
         FROM (SELECT class, coefficient, {TALLY} FROM cells GROUP BY ALL)""",
     "q23_bootstrap_ci": _intervals("expression", REPLICATES),
     "q24_bootstrap_pairwise": f"""
-        WITH {_deltas("expression", REPLICATES)},
+        WITH RECURSIVE {_deltas("expression", REPLICATES)},
         pairs(a, b) AS (VALUES {_PAIR_ROWS}),
         diffs AS (SELECT a || ' vs ' || b AS pair, x.delta - y.delta AS diff
                   FROM pairs JOIN deltas x ON x.category = a
@@ -369,4 +420,5 @@ ORACLE: dict[str, str] = {
         WITH {_clusters("item")}
         SELECT category AS series, ix, n AS n_clusters, k0, n0, k1, n1 FROM indexed""",
     "q42_bootstrap_items": _intervals("item", ITEM_REPLICATES),
+    "q43_bootstrap_drawn": _intervals("expression", REPLICATES, _drawn_deltas),
 }

@@ -1,10 +1,12 @@
 from hashlib import md5
+from itertools import product
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from condeval.operators import bootstrap as B
+from condeval.operators import splitting as S
 from condeval.plans.reports import bootstrap_report, write_report
 
 DDL = "series string, cluster string, c double, label string"
@@ -30,6 +32,39 @@ def counts(labelled):
     return B.cluster_counts(labelled, "series", "cluster", "c", -4.78)
 
 
+def _split(counts, replicates, seed):
+    """Deltas from each series' counts of draws, worked out in one piece."""
+    deltas = {}
+    by_series = {}
+    for r in B.index_clusters(counts).collect():
+        by_series.setdefault(r["series"], []).append(r)
+    for series, rows in by_series.items():
+        rows.sort(key=lambda r: r["ix"])
+        state = S.series_state(seed, series)
+        drawn = S.multiplicities(state, len(rows), 0, 1 << 20, np.arange(replicates))
+        for b, (k0, n0, k1, n1) in enumerate((drawn @ np.array([[r[c] for c in B.COUNTS] for r in rows])).tolist()):
+            deltas[series, b] = k1 / n1 - k0 / n0 if n0 and n1 else None
+    return deltas
+
+
+@pytest.mark.parametrize("levels, width, tasks", [(12, 64, None), (2, 7, 3), (0, 64, 1), (3, 1, 30)])
+def test_split_deltas_do_not_depend_on_blocks_and_tasks(counts, monkeypatch, levels, width, tasks):
+    monkeypatch.setattr(B, "BLOCK_LEVELS", levels)
+    monkeypatch.setattr(B, "BLOCK_REPLICATES", width)
+    got = {(r[0], r[1]): r[2] for r in B.bootstrap_deltas(counts.repartition(5), 40, 3, tasks).collect()}
+    want = _split(counts, 40, 3)
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+def test_splitting_shuffles_no_draws(spark):
+    """Rows between stages: replicates x blocks at most, with 5,000 clusters in two blocks."""
+    table = spark.range(5000).selectExpr("'x' series", "string(id) cluster", *(f"1L {c}" for c in B.COUNTS))
+    totals = B._split_totals(B.index_clusters(table), 100, 0, 2)
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "SortMergeJoin" not in plan.split("MapInPandas")[0]
+    assert {tuple(r)[2:] for r in totals.collect()} == {(5000,) * 4} 
+
+
 def _draw(seed, series, replicate, slot, n):
     digest = md5(f"{seed}|{series}|{replicate}|{slot // 2}".encode()).hexdigest()
     start = 16 * (slot % 2)
@@ -50,14 +85,14 @@ def _brute_force(counts, replicates, seed):
     return deltas
 
 
-RESAMPLED = {"method": "multinomial"}
+DRAWN, RESAMPLED = {"method": "indices"}, {"method": "multinomial"}
 
 
 @pytest.mark.parametrize("threshold", ["10MB", "-1"])
 def test_deltas_match_brute_force(spark, counts, threshold):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
-        got = {(r[0], r[1]): r[2] for r in B.bootstrap_deltas(counts, 40, 3).collect()}
+        got = {(r[0], r[1]): r[2] for r in B.bootstrap_deltas(counts, 40, 3, **DRAWN).collect()}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     want = _brute_force(counts, 40, 3)
@@ -66,23 +101,24 @@ def test_deltas_match_brute_force(spark, counts, threshold):
 
 
 def test_slots_beyond_one_block(counts, monkeypatch):
-    whole = sorted(B.bootstrap_deltas(counts, 20).collect())
+    whole = sorted(B.bootstrap_deltas(counts, 20, **DRAWN).collect())
     monkeypatch.setattr(B, "SLOTS", 4)
-    assert sorted(B.bootstrap_deltas(counts, 20, tasks=3).collect()) == whole
+    assert sorted(B.bootstrap_deltas(counts, 20, tasks=3, **DRAWN).collect()) == whole
 
 
-def test_resampled_combinations_follow_the_same_distribution(counts):
+def test_other_methods_follow_the_same_distribution(counts):
     sides = {}
-    for name, way in (("drawn", {}), ("resampled", RESAMPLED)):
+    for name, way in (("drawn", DRAWN), ("split", {}), ("resampled", RESAMPLED)):
         rows = B.bootstrap_deltas(counts, 4000, **way).collect()
         assert len({(r["series"], r["replicate"]) for r in rows}) == len(rows) == 8000
         sides[name] = {s: np.array([r["delta"] for r in rows if r["series"] == s]) for s in "xy"}
-    for s in "xy":
-        a, b = sides["drawn"][s], sides["resampled"][s]
+    for s, other in product("xy", ("split", "resampled")):
+        a, b = sides["drawn"][s], sides[other][s]
         assert a.mean() == pytest.approx(b.mean(), abs=0.005)
         assert a.std() == pytest.approx(b.std(), rel=0.06)
         assert np.percentile(a, [2.5, 97.5]) == pytest.approx(np.percentile(b, [2.5, 97.5]), abs=0.015)
-    assert abs(np.corrcoef(sides["resampled"]["x"], sides["resampled"]["y"])[0, 1]) < 0.06
+    for name in ("split", "resampled"):
+        assert abs(np.corrcoef(sides[name]["x"], sides[name]["y"])[0, 1]) < 0.06
 
 
 def test_resampling_is_reproducible_and_total_preserving(spark):
