@@ -30,3 +30,14 @@ def value_map(value: ColumnLike, mapping: dict[str, str]) -> Column:
     for key, target in mapping.items():
         mapped = F.when(as_column(value) == key, F.lit(target)).otherwise(mapped)
     return mapped
+
+
+def free_names(taken: Sequence[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with as many underscores before it as make it new."""
+    seen, names = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in seen:
+            name = "_" + name
+        seen.add(name.lower())
+        names.append(name)
+    return names

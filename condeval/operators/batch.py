@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from condeval.functions.columns import as_column
+from condeval.functions.columns import as_column, free_names
 from condeval.functions.text import parse_labels
+from condeval.operators.dealing import dealt_by_cost
 from condeval.operators.grid import (
     COEFFICIENTS,
     SAMPLES,
@@ -23,11 +24,16 @@ from condeval.operators.grid import (
     pending_rows,
     sample_rows,
 )
-from condeval.sources.tables import append_rows, read_results
+from condeval.sources.tables import append_step, read_results, remove_unlisted
 
 Labeller = Callable[[], Callable[[list[str]], list[str]]]
 Generator = Callable[[], Callable[[list[str], list[float], int], list[list[str]]]]
 
+# What a call costs besides its prompt's length, in characters.
+CALL_COST = 32
+# Rows of each task that a crash may lose, unless the caller says otherwise.
+ROWS_PER_TASK = 256
+
 
 def answer_batches(
     rows: DataFrame, prompt: Column | str, labeller: Labeller, batch_size: int = 16, answer: str = "answer"
@@ -60,6 +66,31 @@ def label_batches(
     return parse_labels(answered, "_answer", label).drop("_answer")
 
 
+def label_distinct(
+    rows: DataFrame,
+    prompt: Column | str,
+    labeller: Labeller,
+    batch_size: int = 16,
+    label: str = "label",
+    tasks: int | None = None,
+) -> DataFrame:
+    """Add a parsed label to each row, asking the labeller once for each distinct prompt.
+
+    Prompts are told apart by their digest, dealt to ``tasks`` (the session's parallelism by
+    default) by their summed length, and batched with others of about their length. Labels
+    go back to the rows by digest, so a prompt with most of all rows costs one call. A row
+    without a prompt has no label.
+    """
+    tasks = tasks or rows.sparkSession.sparkContext.defaultParallelism
+    digest, asked, cost = free_names([*rows.columns, label], "_digest", "_prompt", "_answer")
+    told = rows.withColumn(asked, as_column(prompt)).withColumn(digest, F.sha2(asked, 256))
+    prompts = told.filter(F.col(asked).isNotNull()).select(digest, asked).dropDuplicates([digest])
+    dealt = dealt_by_cost(prompts, digest, F.length(asked) + CALL_COST, tasks)
+    answered = answer_batches(dealt.sortWithinPartitions(F.length(asked)), asked, labeller, batch_size, cost)
+    labels = parse_labels(answered, cost, label).select(digest, label)
+    return told.drop(asked).join(labels, digest, "left").select(*rows.columns, label)
+
+
 def generate_batches(
     conditions: DataFrame,
     generator: Generator,
@@ -109,33 +140,37 @@ def run_in_steps(
     pending: DataFrame,
     work: Callable[[DataFrame], DataFrame],
     out_path: str,
-    steps: int = 8,
+    steps: int | None = None,
     tasks: int | None = None,
     rows_per_step: int | None = None,
+    draw: Column | None = None,
 ) -> None:
-    """Work through pending rows in ``steps`` appends; a crash loses at most one.
-
-    With ``rows_per_step`` the number of steps follows from the pending rows, so a
-    crash loses about that many rows whatever the size of the job. Pending rows are
-    staged once, each with a random number that the files are sorted by, so the
-    inputs are scanned and anti-joined once and a step reads the row groups of its
-    own range. The number is drawn per row and not from a key: one repeated key
-    cannot fill a step. The staged rows are removed when the run ends.
+    """Work through pending rows in steps that each enter the table whole; a crash loses at most one.
+
+    A step holds about ``rows_per_step`` rows, ``ROWS_PER_TASK`` for each task unless given,
+    so a crash loses about that many whatever the size of the job; ``steps`` fixes their
+    number instead. ``work`` spreads a step's rows over tasks as it sees fit. Pending rows are staged once, each with a number in [0, 1) that the
+    files are sorted by, so the inputs are scanned and anti-joined once and a step reads the
+    row groups of its own range. ``draw`` is that number, by default drawn per row and not
+    from a key: one repeated key cannot fill a step. The staged rows are removed when the
+    run ends, and what a lost run left of its step when the next one begins.
     """
     spark = pending.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     staged_path = _staging_path(spark, out_path)
+    remove_unlisted(spark, out_path)
     try:
-        numbered = pending.withColumn("_draw", F.rand(0)).sortWithinPartitions("_draw")
-        numbered.write.parquet(staged_path)
+        number = F.rand(0) if draw is None else draw
+        pending.withColumn("_draw", number).sortWithinPartitions("_draw").write.parquet(staged_path)
         schema = T.StructType([*pending.schema.fields, T.StructField("_draw", T.DoubleType())])
         staged = spark.read.schema(schema).parquet(staged_path)
         waiting = staged.count()
-        steps = -(-waiting // rows_per_step) if rows_per_step else min(steps, waiting)
+        wanted = steps or -(-waiting // (rows_per_step or ROWS_PER_TASK * tasks))
+        steps = min(wanted, waiting)
         for number in range(steps):
             draw = F.col("_draw")
             part = staged.filter((draw >= number / steps) & (draw < (number + 1) / steps)).drop("_draw")
-            append_rows(work(part.repartition(tasks)), out_path)
+            append_step(work(part), out_path)
     finally:
         _remove(spark, staged_path)
 
@@ -149,7 +184,7 @@ def run_generation(
     samples: int = SAMPLES,
     prefix: str = "prefix",
     condition: str = "coefficient",
-    steps: int = 8,
+    steps: int | None = None,
     tasks: int | None = None,
     batch_size: int = 16,
     rows_per_step: int | None = None,
@@ -169,9 +204,10 @@ def run_generation(
     )
     done = read_results(spark, out_path, schema)
     todo = pending_conditions(items, done, keys, coefficients, condition)
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def work(part: DataFrame) -> DataFrame:
-        texts = generate_batches(part, generator, prefix, condition, samples, batch_size)
+        texts = generate_batches(part.repartition(tasks), generator, prefix, condition, samples, batch_size)
         return sample_rows(texts).select(*schema.names)
 
     run_in_steps(todo, work, out_path, steps, tasks, rows_per_step)
@@ -184,19 +220,25 @@ def run_labelling(
     labeller: Labeller,
     out_path: str,
     keys: Sequence[str],
-    steps: int = 8,
+    steps: int | None = None,
     tasks: int | None = None,
     batch_size: int = 16,
     rows_per_step: int | None = None,
     label: str = "label",
 ) -> DataFrame:
-    """Label every row whose key is not labelled yet, append, and return the whole table."""
+    """Label every row whose key is not labelled yet, append, and return the whole table.
+
+    The labeller sees each distinct pending prompt once: all its rows are in one step.
+    """
     spark = rows.sparkSession
     schema = T.StructType([*rows.schema.fields, T.StructField(label, T.StringType())])
     todo = pending_rows(rows, read_results(spark, out_path, schema), keys)
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = F.conv(F.substring(F.md5(prompt), 1, 12), 16, 10).cast("double")
+    draw = F.coalesce(bits / float(1 << 48), F.rand(0))
 
     def work(part: DataFrame) -> DataFrame:
-        return label_batches(part, prompt, labeller, batch_size, label).select(*schema.names)
+        return label_distinct(part, prompt, labeller, batch_size, label, tasks).select(*schema.names)
 
-    run_in_steps(todo, work, out_path, steps, tasks, rows_per_step)
+    run_in_steps(todo, work, out_path, steps, tasks, rows_per_step, draw)
     return read_results(spark, out_path, schema)

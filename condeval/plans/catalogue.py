@@ -16,7 +16,7 @@ from condeval.operators import pool as P
 from condeval.operators import rates as R
 from condeval.operators import vectors as V
 from condeval.operators import votes as M
-from condeval.operators.batch import generate_batches, label_batches
+from condeval.operators.batch import generate_batches, label_distinct
 from condeval.plans import bindings as T
 from condeval.plans.bindings import BASELINE, PUSH, STEPS, table
 from condeval.plans.reports import comparison_report
@@ -288,7 +288,7 @@ def article_rule():
 
 def batch_label(spark, folder):
     documents = table(spark, folder, "documents")
-    labelled = label_batches(documents, F.col("text"), article_rule())
+    labelled = label_distinct(documents, F.col("text"), article_rule())
     return labelled.select("doc_id", "lang", "source", "n_chars", "label")
 
 

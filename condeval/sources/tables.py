@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from uuid import uuid4
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,9 @@ DIRECTION = columns(
     v=T.ArrayType(T.DoubleType()), s="double", midpoint="double", source_layer="integer", model="string"
 )
 
+# Folders of a table that is appended to in steps: steps, their list, and what is being written.
+STEP, LISTED, WRITING = "step=", "_listed", "_writing"
+
 
 def results_schema(
     suite: T.StructType, condition: str = "alpha_factor", labelled: bool = False, rated: bool = False
@@ -96,14 +100,73 @@ def read_pools(spark: SparkSession, *paths: str) -> list[DataFrame]:
     return [read_parquet_table(spark, path, POOL) for path in paths]
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system that holds a path, and the path in its terms."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _children(spark: SparkSession, path: str) -> list:
+    files, place = _files(spark, path)
+    return list(files.listStatus(place)) if files.exists(place) else []
+
+
+def committed_steps(spark: SparkSession, path: str) -> list[str]:
+    """Names of the steps that are in a table."""
+    return sorted(child.getPath().getName() for child in _children(spark, f"{path}/{LISTED}"))
+
+
 def read_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows written so far; an empty table before the first append."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if _missing(error):
-            return spark.createDataFrame([], schema)
-        raise
+    """Rows written so far; an empty table before the first append.
+
+    Of the folders that ``append_step`` makes only listed ones are read, next to the
+    files that stand in the table's own folder.
+    """
+    steps = [f"{path}/{STEP}{name}" for name in committed_steps(spark, path)]
+    plain = [
+        child.getPath().toString()
+        for child in _children(spark, path)
+        if child.isFile() and not child.getPath().getName().startswith(("_", "."))
+    ]
+    if not steps and not plain:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*steps, *plain)
+
+
+def append_step(rows: DataFrame, path: str) -> str:
+    """Append rows to a table all at once or not at all, and name the step.
+
+    They are written to a hidden folder, which enters the table by one rename and is then
+    listed by an empty file. A run that is lost before that leaves the table as it was.
+    Renaming a folder is one operation on HDFS and on local disks; where it is not, the list
+    still holds whole steps only.
+    """
+    spark, name = rows.sparkSession, uuid4().hex
+    hidden, shown = f"{path}/{WRITING}/{name}", f"{path}/{STEP}{name}"
+    rows.write.parquet(hidden)
+    files, place = _files(spark, hidden)
+    if not files.rename(place, _files(spark, shown)[1]):
+        raise OSError(f"{hidden} could not be renamed to {shown}")
+    _list_step(spark, path, name)
+    return name
+
+
+def _list_step(spark: SparkSession, path: str, name: str) -> None:
+    files, place = _files(spark, f"{path}/{LISTED}/{name}")
+    files.create(place, False).close()
+
+
+def remove_unlisted(spark: SparkSession, path: str) -> list[str]:
+    """Remove what lost runs left of their steps; call it while no other run appends."""
+    listed = set(committed_steps(spark, path))
+    left = [child.getPath() for child in _children(spark, f"{path}/{WRITING}")]
+    for child in _children(spark, path):
+        name = child.getPath().getName()
+        if name.startswith(STEP) and name.removeprefix(STEP) not in listed:
+            left.append(child.getPath())
+    for place in left:
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return [place.getName() for place in left]
 
 
 def append_rows(rows: DataFrame, path: str) -> None:
