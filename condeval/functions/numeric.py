@@ -27,4 +27,9 @@ def add_scaled(vector: ColumnLike, direction: ColumnLike, amount: ColumnLike) ->
 
 def dot(left: ColumnLike, right: ColumnLike) -> Column:
     products = F.zip_with(as_column(left), as_column(right), lambda x, y: x.cast("double") * y)
-    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+    return added(products)
+
+
+def added(values: ColumnLike) -> Column:
+    """The elements of an array of doubles, added from the first to the last."""
+    return F.aggregate(as_column(values), F.lit(0.0), lambda total, x: total + x)

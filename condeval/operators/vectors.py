@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from condeval.functions.columns import as_list
-from condeval.functions.numeric import add_scaled, dot
+from condeval.functions.numeric import add_scaled, added, dot
+from condeval.operators.exact import class_means
 from condeval.operators.grid import COEFFICIENTS, condition_grid
 from condeval.operators.rates import label_rates
 
@@ -22,45 +23,35 @@ def direction(vectors: DataFrame, positive: Column, vector: str = "embedding") -
     between the means) and the two class sizes. ``v`` and ``midpoint`` are NULL
     when the means coincide; an empty class or vectors of unequal length fail.
 
-    Elements are summed per position inside each task, so the shuffle carries one
-    row per position and task, and the last step holds one row per position.
+    Sums are exact, so the result is the same to the last bit for any partitioning: each
+    task sends one row a class, with one sum a position, and no row an element.
     """
-    mark = F.coalesce(positive, F.lit(False)).alias("_positive")
-    elements = vectors.filter(F.col(vector).isNotNull()).select(
-        mark, F.posexplode(vector).alias("_at", "_raw")
+    means = class_means(vectors, positive, vector)
+    whole = means.agg(
+        *(
+            F.any_value(F.when(F.col("positive") == mark, F.col(column)), F.lit(True)).alias(f"_{name}{side}")
+            for mark, side in ((True, 1), (False, 0))
+            for name, column in (("n", "n"), ("m", "means"))
+        ),
+        (F.min("even") & (F.min(F.size("means")) == F.max(F.size("means")))).alias("_even"),
     )
-    inside, value = F.col("_positive"), F.col("_raw").cast("double")
-    means = elements.groupBy("_at").agg(
-        F.count_if(inside).alias("_n1"),
-        F.count_if(~inside).alias("_n0"),
-        F.avg(F.when(inside, value)).alias("_m1"),
-        F.avg(F.when(~inside, value)).alias("_m0"),
-    )
-    gap = F.col("_m1") - F.col("_m0")
-    gathered = means.agg(
-        F.array_sort(F.collect_list(F.struct("_at", gap.alias("gap")))).alias("_gaps"),
-        F.sqrt(F.sum(gap * gap)).alias("s"),
-        (F.sum(gap * (F.col("_m1") + F.col("_m0"))) / 2).alias("_centre"),
-        F.max("_n1").alias("n_positive"),
-        F.max("_n0").alias("n_other"),
-        F.min(F.least("_n1", "_n0")).alias("_fewest"),
-        ((F.min("_n1") == F.max("_n1")) & (F.min("_n0") == F.max("_n0"))).alias("_even"),
-    )
-    checked = gathered.filter(
+    checked = whole.filter(
         F.assert_true(
-            F.coalesce(F.col("n_positive") > 0, F.lit(False))
-            & F.coalesce(F.col("n_other") > 0, F.lit(False)),
-            "a class of the contrast has no vectors",
+            F.col("_n1").isNotNull() & F.col("_n0").isNotNull(), "a class of the contrast has no vectors"
         ).isNull()
         & F.assert_true(F.col("_even"), "the vectors differ in length").isNull()
     )
-    unit = F.transform("_gaps", lambda g: g["gap"] / F.col("s"))
-    return checked.select(
+    gaps = F.zip_with("_m1", "_m0", lambda a, b: a - b)
+    squares = F.transform("_gap", lambda g: g * g)
+    centres = F.zip_with("_gap", F.zip_with("_m1", "_m0", lambda a, b: a + b), lambda g, c: g * c)
+    found = checked.withColumn("_gap", gaps).withColumns({"s": F.sqrt(added(squares)), "_centre": added(centres) / 2})
+    unit = F.transform("_gap", lambda g: g / F.col("s"))
+    return found.select(
         F.when(F.col("s") > 0, unit).alias("v"),
         "s",
         F.try_divide("_centre", "s").alias("midpoint"),
-        "n_positive",
-        "n_other",
+        F.col("_n1").alias("n_positive"),
+        F.col("_n0").alias("n_other"),
     )
 
 

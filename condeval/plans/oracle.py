@@ -65,15 +65,20 @@ MERGED = r"""
                  CASE WHEN quality = 1 THEN 'VALID' WHEN quality IS NOT NULL THEN 'INVALID' END AS v2
           FROM documents LEFT JOIN labels USING (doc_id))"""
 
+# Elements as whole multiples of 2**-64, which single-precision numbers below 1 in size are unless they
+# are tiny: sums of integers are exact. What is added in doubles is added in order of the place.
 MEANS = """
     elements AS (SELECT coalesce(label = 0, false) AS positive, generate_subscripts(embedding, 1) - 1 AS place,
-                        unnest(embedding)::DOUBLE AS x FROM embeddings),
-    means AS (SELECT place, avg(x) FILTER (positive) AS m1, avg(x) FILTER (NOT positive) AS m0,
-                     count(*) FILTER (positive) AS n1, count(*) FILTER (NOT positive) AS n0
-              FROM elements GROUP BY place),
-    whole AS (SELECT sqrt(sum((m1 - m0) * (m1 - m0))) AS s,
-                     sum((m1 - m0) * (m1 + m0)) / 2 / sqrt(sum((m1 - m0) * (m1 - m0))) AS midpoint
-              FROM means)"""
+                        (unnest(embedding)::DOUBLE * 18446744073709551616::DOUBLE)::HUGEINT AS x FROM embeddings),
+    sums AS (SELECT place, sum(x) FILTER (positive) AS x1, sum(x) FILTER (NOT positive) AS x0,
+                    count(*) FILTER (positive) AS n1, count(*) FILTER (NOT positive) AS n0
+             FROM elements GROUP BY place),
+    means AS (SELECT place, x1::DOUBLE / 18446744073709551616::DOUBLE / n1 AS m1,
+                     x0::DOUBLE / 18446744073709551616::DOUBLE / n0 AS m0, n1, n0 FROM sums),
+    listed AS (SELECT list_reduce(list((m1 - m0) * (m1 - m0) ORDER BY place), lambda a, b: a + b, 0::DOUBLE) AS square,
+                      list_reduce(list((m1 - m0) * (m1 + m0) ORDER BY place), lambda a, b: a + b, 0::DOUBLE) AS centre
+               FROM means),
+    whole AS (SELECT sqrt(square) AS s, centre / 2 / sqrt(square) AS midpoint FROM listed)"""
 
 
 def _clusters(cluster: str) -> str:
@@ -305,7 +310,7 @@ ORACLE: dict[str, str] = {
     "q20_annotator_merge": MERGED,
     "q21_direction": f"""
         WITH {MEANS}
-        SELECT place::INT AS place, round((m1 - m0) / s, 6) AS v, round(s, 6) AS s, round(midpoint, 6) AS midpoint,
+        SELECT place::INT AS place, (m1 - m0) / s AS v, s, midpoint,
                n1 AS n_positive, n0 AS n_other FROM means, whole""",
     "q22_shift_sweep": f"""
         WITH {MEANS},
@@ -422,3 +427,4 @@ ORACLE: dict[str, str] = {
     "q42_bootstrap_items": _intervals("item", ITEM_REPLICATES),
     "q43_bootstrap_drawn": _intervals("expression", REPLICATES, _drawn_deltas),
 }
+ORACLE["q44_label_once"] = ORACLE["q26_batch_label"]
