@@ -24,6 +24,7 @@ from condeval.operators.grid import (
     pending_rows,
     sample_rows,
 )
+from condeval.sources.finished import finished_keys, rows_not_in
 from condeval.sources.tables import append_step, read_results, remove_unlisted
 
 Labeller = Callable[[], Callable[[list[str]], list[str]]]
@@ -188,10 +189,13 @@ def run_generation(
     tasks: int | None = None,
     batch_size: int = 16,
     rows_per_step: int | None = None,
+    index: str | None = None,
 ) -> DataFrame:
     """Generate every missing condition of a suite, append, and return the whole table.
 
-    A condition with any finished row is skipped.
+    A condition with any finished row is skipped. With ``index``, a name for the
+    catalogue, finished conditions come from a bucketed index beside the results, which
+    this brings up to date first, and only the items are shuffled to find what is missing.
     """
     spark = items.sparkSession
     schema = T.StructType(
@@ -202,7 +206,10 @@ def run_generation(
             T.StructField("continuation", T.StringType()),
         ]
     )
-    done = read_results(spark, out_path, schema)
+    if index is None:
+        done = read_results(spark, out_path, schema)
+    else:
+        done = finished_keys(spark, out_path, schema, keys, index, [condition])
     todo = pending_conditions(items, done, keys, coefficients, condition)
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -225,14 +232,19 @@ def run_labelling(
     batch_size: int = 16,
     rows_per_step: int | None = None,
     label: str = "label",
+    index: str | None = None,
 ) -> DataFrame:
     """Label every row whose key is not labelled yet, append, and return the whole table.
 
     The labeller sees each distinct pending prompt once: all its rows are in one step.
+    ``index`` names a bucketed index of the finished keys, as for ``run_generation``.
     """
     spark = rows.sparkSession
     schema = T.StructType([*rows.schema.fields, T.StructField(label, T.StringType())])
-    todo = pending_rows(rows, read_results(spark, out_path, schema), keys)
+    if index is None:
+        todo = pending_rows(rows, read_results(spark, out_path, schema), keys)
+    else:
+        todo = rows_not_in(rows, finished_keys(spark, out_path, schema, keys, index), keys)
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = F.conv(F.substring(F.md5(prompt), 1, 12), 16, 10).cast("double")
     draw = F.coalesce(bits / float(1 << 48), F.rand(0))
