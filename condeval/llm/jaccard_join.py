@@ -50,6 +50,8 @@ LEAF, FANOUT = 8, 8
 CENTRAL = 32
 # Classes of a cell that one task holds, and more blocks than any cell has.
 BLOCK, BLOCKS = 8192, 1 << 31
+# Bits of a set's name besides those of its size.
+NAME_BITS = 55
 # Steps of a class's size per doubling, and by how many those of linked sets differ at most.
 SIZE_STEPS, SIZE_MASK = 8, 255
 SIZE_APART = int(SIZE_STEPS * math.log2(WHOLE / PART)) + 1
@@ -57,6 +59,10 @@ SIZE_APART = int(SIZE_STEPS * math.log2(WHOLE / PART)) + 1
 BITS_PER_KEY, FEWEST_BITS, MOST_BITS = 16, 1 << 18, 1 << 27
 # Most groups of a fine count vector.
 MOST_GROUPS = 1 << 16
+# Pairs whose counts are compared at a time, 2 MB a side.
+PIECE_PAIRS = 8192
+# A point tells so many of its large cells, the first ones, so that a pair is found in one of them only.
+TOLD = 16
 # Texts are hashed in pieces of about so many bytes, and searched for hashes that
 # repeat in pieces of about so many hashes.
 PIECE_BYTES, PIECE_HASHES = 1 << 19, 4_000_000
@@ -140,10 +146,40 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
         at = end
 
 
-def class_of(hashes: np.ndarray) -> int:
-    """64 bits that name a set; the lowest eight tell its size on a logarithmic scale."""
-    name = int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
-    return name & ~SIZE_MASK | (min(SIZE_MASK, int(SIZE_STEPS * math.log2(len(hashes)))) if len(hashes) else 0)
+def name_of(hashes: np.ndarray, bits: int = NAME_BITS) -> tuple[int, int]:
+    """A set's name and check: bits of a digest.
+
+    A name has ``bits`` bits, and eight low ones that tell the size on a logarithmic
+    scale; it is not negative. The check has 64 other bits.
+    """
+    digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+    name, check = (int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
+    scale = min(SIZE_MASK, int(SIZE_STEPS * math.log2(len(hashes)))) if len(hashes) else 0
+    return (name & ((1 << bits) - 1)) << 8 | scale, check
+
+
+# Bits of a name, and the numbers of sets that have another's name.
+Names = tuple[int, dict[tuple[int, int], int]]
+
+
+def class_of(hashes: np.ndarray, names: Names) -> int:
+    """The number that stands for a set: its name, or another where several sets have that name."""
+    bits, renamed = names
+    name, check = name_of(hashes, bits)
+    return renamed.get((name, check), name) if renamed else name
+
+
+def _renamed(rows: DataFrame) -> dict[tuple[int, int], int]:
+    """New numbers for all but one of the sets that share a name.
+
+    Among n sets about n * n / 2**56 names are shared, so these are few: 2 at 4 * 10**8 sets.
+    The new numbers are negative, and so differ from all names and from each other.
+    """
+    shared = rows.groupBy("class").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+    shared = shared.where("low < high").select("class", "low")
+    others = rows.join(shared, "class").where("check <> low").select("class", "check").distinct()
+    found = sorted((r["class"], r["check"]) for r in others.collect())
+    return {(name, check): -(i + 1 << 8) | name & SIZE_MASK for i, (name, check) in enumerate(found)}
 
 
 def routing_hashes(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -173,11 +209,11 @@ def fine_counts(hashes: np.ndarray) -> bytes:
 
 def fine_may_link(left: bytes, right: bytes) -> bool:
     """The bound of ``_may_link`` on two fine vectors, the longer folded to the shorter."""
-    a, b = (_as_counts(np.frombuffer(x, np.uint8, offset=8)) for x in (left, right))
+    a, b = (np.frombuffer(x, np.uint8, offset=8) for x in (left, right))
     groups = min(len(a), len(b))
-    a, b = (x.reshape(-1, groups).sum(axis=0)[None] for x in (a, b))
-    sizes = [np.array([int.from_bytes(x[:8], "little")]) for x in (left, right)]
-    return bool(_may_link(sizes[0], a, sizes[1], b)[0])
+    a, b = (np.where((x == SATURATED).reshape(-1, groups).any(axis=0), 1 << 20, x.reshape(-1, groups).sum(axis=0, dtype=np.int64)) for x in (a, b))
+    sizes = [int.from_bytes(x[:8], "little") for x in (left, right)]
+    return _fits(sizes[0], sizes[1]) and (PART + WHOLE) * int(np.minimum(a, b).sum()) >= PART * sum(sizes)
 
 
 def linked(left: bytes, right: bytes) -> bool:
@@ -187,22 +223,34 @@ def linked(left: bytes, right: bytes) -> bool:
     return WHOLE * both >= PART * (len(a) + len(b) - both)
 
 
-def _as_counts(packed: np.ndarray) -> np.ndarray:
-    """Counts to bound with; a saturated one bounds nothing."""
-    counts = packed.astype(np.int32)
-    counts[packed == SATURATED] = 1 << 20
-    return counts
+def _fits(size_a, size_b):
+    """Whether two sizes allow a link."""
+    return PART * np.maximum(size_a, size_b) <= WHOLE * np.minimum(size_a, size_b)
+
+
+def _shared_at_most(counts_a: np.ndarray, counts_b: np.ndarray) -> np.ndarray:
+    """Summed minima of packed counts, row by row; counts that are saturated in both bound nothing."""
+    least = np.minimum(counts_a, counts_b)
+    found = least.sum(axis=1, dtype=np.int64)
+    found[(least == SATURATED).any(axis=1)] = 1 << 40
+    return found
 
 
 def _may_link(size_a, counts_a, size_b, counts_b) -> np.ndarray:
     """Whether summed minima of the counts, and the sizes, allow a link, row by row.
 
-    A link shares at least PART (a + b) / (PART + WHOLE) hashes.
+    A link shares at least PART (a + b) / (PART + WHOLE) hashes. Sizes are looked at first.
     """
-    small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    allowed = PART * large <= WHOLE * small
-    shared = np.minimum(counts_a, counts_b).sum(axis=1, dtype=np.int64)
-    return allowed & ((PART + WHOLE) * shared >= PART * (size_a + size_b))
+    size_a, size_b = np.broadcast_arrays(size_a, size_b)
+    allowed = _fits(size_a, size_b)
+    shape = (len(allowed), counts_a.shape[-1])
+    counts_a, counts_b = np.broadcast_to(counts_a, shape), np.broadcast_to(counts_b, shape)
+    left = np.flatnonzero(allowed)
+    for at in range(0, len(left), PIECE_PAIRS):
+        rows = left[at : at + PIECE_PAIRS]
+        shared = _shared_at_most(counts_a[rows], counts_b[rows])
+        allowed[rows] = (PART + WHOLE) * shared >= PART * (size_a[rows] + size_b[rows])
+    return allowed
 
 
 class CountTree:
@@ -231,39 +279,46 @@ class CountTree:
             width = FANOUT
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Point pairs of different components that the bound allows, in bounded pieces."""
+        """Point pairs of different components that the bound allows, in pieces of bounded size.
+
+        Depth first: each level holds one piece of pairs of nodes at a time.
+        """
         todo = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while todo:
             level, a, b = todo.pop()
+            if len(a) > PIECE_PAIRS:
+                todo.append((level, a[PIECE_PAIRS:], b[PIECE_PAIRS:]))
+                a, b = a[:PIECE_PAIRS], b[:PIECE_PAIRS]
             top, least, most, low, high = self.levels[level]
             small = PART * np.maximum(least[a], least[b]) <= WHOLE * np.minimum(most[a], most[b])
             mixed = ~((low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b]))
-            shared = np.minimum(top[a], top[b]).sum(axis=1, dtype=np.int64)
-            fits = (PART + WHOLE) * shared >= PART * (least[a] + least[b])
-            keep = small & mixed & fits
+            keep = small & mixed
             a, b = a[keep], b[keep]
+            fits = (PART + WHOLE) * _shared_at_most(top[a], top[b]) >= PART * (least[a] + least[b])
+            a, b = a[fits], b[fits]
             if level == 0:
                 if len(a):
                     yield self.order[a], self.order[b]
                 continue
             width = LEAF if level == 1 else FANOUT
             below = len(self.levels[level - 1][0])
-            for at in range(0, len(a), 2048):
-                left = (a[at : at + 2048, None] * width + np.arange(width))[:, :, None]
-                right = (b[at : at + 2048, None] * width + np.arange(width))[:, None, :]
+            step = max(1, PIECE_PAIRS // width**2)
+            for at in range(0, len(a), step):
+                left = (a[at : at + step, None] * width + np.arange(width))[:, :, None]
+                right = (b[at : at + step, None] * width + np.arange(width))[:, None, :]
                 left, right = (x.ravel() for x in np.broadcast_arrays(left, right))
                 good = (left < below) & (right < below)
                 good &= left < right if level == 1 else left <= right
                 todo.append((level - 1, left[good], right[good]))
 
 
-def _profiles(table: DataFrame, key: str, text: str) -> DataFrame:
+def _profiles(table: DataFrame, key: str, text: str, bits: int = NAME_BITS) -> DataFrame:
     """(key, class, size, counts) of each document, and (hash, sightings) rows of repeating hashes."""
-    schema = "key {}, class bigint, size bigint, counts binary, hash bigint, sightings bigint".format(
+    schema = "key {}, class bigint, check bigint, size bigint, counts binary, hash bigint, sightings bigint".format(
         table.schema[key].dataType.simpleString()
     )
 
-    names = ["key", "class", "size", "counts", "hash", "sightings"]
+    names = ["key", "class", "check", "size", "counts", "hash", "sightings"]
 
     def repeating(sets: dict[int, np.ndarray], kind: pa.DataType):
         found, times = np.unique(np.concatenate([*sets.values(), np.empty(0, np.uint64)]), return_counts=True)
@@ -273,6 +328,7 @@ def _profiles(table: DataFrame, key: str, text: str) -> DataFrame:
                 pa.nulls(len(found), kind),
                 pa.nulls(len(found), pa.int64()),
                 pa.nulls(len(found), pa.int64()),
+                pa.nulls(len(found), pa.int64()),
                 pa.nulls(len(found), pa.binary()),
                 pa.array(found.view(np.int64)),
                 pa.array(times.astype(np.int64)),
@@ -285,14 +341,15 @@ def _profiles(table: DataFrame, key: str, text: str) -> DataFrame:
         held = 0
         for batch in batches:
             kind = batch.column(0).type
-            classes, sizes, counts = [], [], []
+            classes, checks, sizes, counts = [], [], [], []
             for hashes in shingle_sets(batch.column(1)):
-                name = class_of(hashes)
+                name, check = name_of(hashes, bits)
                 classes.append(name)
+                checks.append(check)
                 sizes.append(len(hashes))
                 counts.append(group_counts(hashes).tobytes())
-                if name not in sets:
-                    sets[name] = hashes
+                if check not in sets:
+                    sets[check] = hashes
                     held += len(hashes)
                     if held > PIECE_HASHES:
                         yield repeating(sets, kind)
@@ -302,6 +359,7 @@ def _profiles(table: DataFrame, key: str, text: str) -> DataFrame:
                 [
                     batch.column(0),
                     pa.array(classes, pa.int64()),
+                    pa.array(checks, pa.int64()),
                     pa.array(sizes, pa.int64()),
                     pa.array(counts, pa.binary()),
                     nothing,
@@ -315,7 +373,7 @@ def _profiles(table: DataFrame, key: str, text: str) -> DataFrame:
     return table.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def _postings(table: DataFrame, text: str, frequent) -> DataFrame:
+def _postings(table: DataFrame, text: str, frequent, names: Names) -> DataFrame:
     """(hash, class): where each set is to be found."""
 
     def run(batches):
@@ -323,7 +381,7 @@ def _postings(table: DataFrame, text: str, frequent) -> DataFrame:
             seen: set[int] = set()
             hashes, classes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for found in shingle_sets(batch.column(0)):
-                if len(found) and (name := class_of(found)) not in seen:
+                if len(found) and (name := class_of(found, names)) not in seen:
                     seen.add(name)
                     hashes.append(routing_hashes(found, frequent.value))
                     classes.append(np.full(len(hashes[-1]), name, np.int64))
@@ -403,7 +461,7 @@ def _shared(postings: DataFrame) -> DataFrame:
     return cells.mapInArrow(run, "hash bigint, part bigint, class bigint, other bigint")
 
 
-def _found_again(table: DataFrame, key: str, text: str, keys: DataFrame, made) -> DataFrame:
+def _found_again(table: DataFrame, key: str, text: str, names: Names, keys: DataFrame, made) -> DataFrame:
     """(class, made) of at least the documents with these keys; ``made`` turns a set into bytes.
 
     A bitmap holds the hashes of the keys and picks the texts where they are read, so
@@ -429,7 +487,7 @@ def _found_again(table: DataFrame, key: str, text: str, keys: DataFrame, made) -
             number, position = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             inside = shipped.value[number * width + position // 8] >> (position % 8) & 1
             sets = shingle_sets(batch.column(0).filter(pa.array(inside.astype(bool))))
-            rows = [(class_of(s), made(s)) for s in sets if len(s)]
+            rows = [(class_of(s, names), made(s)) for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
                 names=["class", "made"],
@@ -459,7 +517,7 @@ def _unpacked(cells: pa.Table):
     h, p, c, n = (cells.column(k).to_numpy() for k in ("hash", "part", "class", "size"))
     packed = np.frombuffer(b"".join(cells.column("counts").to_pylist()), np.uint8).reshape(-1, GROUPS)
     starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (p[1:] != p[:-1])]))
-    return c, n, _as_counts(packed), starts, np.diff(np.append(starts, len(h)))
+    return c, n, packed, starts, np.diff(np.append(starts, len(h)))
 
 
 def _pair_batch(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
@@ -485,9 +543,7 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             sizes = [batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4)]
-            counts = [
-                _as_counts(np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, GROUPS)) for i in (3, 5)
-            ]
+            counts = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, GROUPS) for i in (3, 5)]
             yield batch.select([0, 1]).filter(pa.array(_may_link(sizes[0], counts[0], sizes[1], counts[1]), pa.bool_()))
 
     of_a = points.select(F.col("class").alias("a"), F.col("size").alias("n_a"), F.col("counts").alias("c_a"))
@@ -514,27 +570,48 @@ def _pivot_pairs(cells: DataFrame) -> DataFrame:
     return cells.mapInArrow(lambda batches: _cells(batches, finish), "a bigint, b bigint")
 
 
+def _had_before(told_a: np.ndarray, told_b: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Whether two points tell of a common cell before the given one, row by row."""
+    found = np.zeros(len(cells), bool)
+    for at in range(0, len(cells), PIECE_PAIRS):
+        rows = slice(at, at + PIECE_PAIRS)
+        a, b, cell = told_a[rows], told_b[rows], cells[rows, None, None]
+        found[rows] = ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] < cell)).any(axis=(1, 2))
+    return found
+
+
 def _tree_pairs(cells: DataFrame) -> DataFrame:
     """Pairs of different components, from a tree over each pair of a large cell's blocks.
 
     ``part`` numbers the pair of blocks; pairs inside a block belong to its pair with itself.
+    Near copies lie in many cells together, and a pair is left to the first one they both
+    tell of. What they don't tell only makes a pair come again.
     """
 
     def finish(part):
         c, n, counts, starts, lengths = _unpacked(part)
-        component, block, pair = (part.column(k).to_numpy() for k in ("component", "block", "part"))
+        h, component, block, pair = (part.column(k).to_numpy() for k in ("hash", "component", "block", "part"))
+        told = np.full((len(c), TOLD), np.iinfo(np.int64).max)
+        for row, known in enumerate(part.column("told").to_pylist()):
+            told[row, : len(known)] = known
         for start, length in zip(starts, lengths, strict=True):
             inside = slice(start, start + length)
             across = pair[start] // BLOCKS != pair[start] % BLOCKS
             for a, b in CountTree(n[inside], counts[inside], component[inside]).pairs():
-                ok = (block[inside][a] != block[inside][b]) | (not across)
-                yield _pair_batch(c[inside][a[ok]], c[inside][b[ok]])
+                a, b = a + start, b + start
+                ok = (block[a] != block[b]) | (not across)
+                a, b = a[ok], b[ok]
+                new = ~_had_before(told[a], told[b], h[a])
+                yield _pair_batch(c[a[new]], c[b[new]])
 
     return cells.mapInArrow(lambda batches: _cells(batches, finish), "a bigint, b bigint")
 
 
 def _large_cells(cells: DataFrame, joined: DataFrame) -> DataFrame:
-    """(hash, part, class, block, component): large cells of several components, dealt as pairs of blocks."""
+    """(hash, part, class, block, component, told): large cells of several components, dealt as pairs of blocks.
+
+    ``told`` lists the first ``TOLD`` of these cells that the class is in.
+    """
     blocks = cells.groupBy("hash").agg((F.max("part") + 1).alias("blocks"))
     members = cells.join(blocks, "hash").groupBy("hash", "class")
     members = members.agg(F.min("part").alias("block"), F.first("blocks").alias("blocks"))
@@ -542,16 +619,20 @@ def _large_cells(cells: DataFrame, joined: DataFrame) -> DataFrame:
     members = members.withColumn("component", F.coalesce("component", "class"))
     several = members.groupBy("hash").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     members = members.join(several.where("low < high").select("hash"), "hash", "left_semi")
+    first = F.slice(F.array_sort(F.collect_set("hash")), 1, TOLD)
+    members = members.join(members.groupBy("class").agg(first.alias("told")), "class")
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     pair = F.least("block", "other") * BLOCKS + F.greatest("block", "other")
-    return members.withColumn("other", other).select("hash", pair.alias("part"), "class", "block", "component")
+    return members.withColumn("other", other).select("hash", pair.alias("part"), "class", "block", "component", "told")
 
 
-def _passing(pairs: DataFrame, table: DataFrame, key: str, text: str, classes: DataFrame, made, passes) -> DataFrame:
+def _passing(
+    pairs: DataFrame, table: DataFrame, key: str, text: str, names: Names, classes: DataFrame, made, passes
+) -> DataFrame:
     """The pairs that pass a test of what is made of their two sets."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     keys = checkpointed(needed.join(classes.select("class", "key"), "class").select(F.col("key").alias("_key")))
-    found = checkpointed(_found_again(table, key, text, keys, made))
+    found = checkpointed(_found_again(table, key, text, names, keys, made))
 
     def run(batches):
         for batch in batches:
@@ -601,10 +682,20 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(table: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(
+    table: DataFrame, key: str = "doc_id", text: str = "text", name_bits: int = NAME_BITS
+) -> DataFrame:
     """(key, n_shingles, component_id): each document's set size and the smallest key it reaches."""
-    profiles = checkpointed(_profiles(table, key, text))
-    rows = profiles.where("hash IS NULL").select("key", "class", "size", "counts")
+    profiles = checkpointed(_profiles(table, key, text, name_bits))
+    rows = profiles.where("hash IS NULL").select("key", "class", "check", "size", "counts")
+    renamed = _renamed(rows)
+    names = (name_bits, renamed)
+    if renamed:
+        numbers = [(*name, number) for name, number in renamed.items()]
+        numbers = table.sparkSession.createDataFrame(numbers, "class bigint, check bigint, number bigint")
+        rows = rows.join(numbers, ["class", "check"], "left")
+        rows = rows.withColumn("class", F.coalesce("number", "class")).drop("number")
+    rows = rows.drop("check")
     classes = (
         rows.where("size > 0")
         .groupBy("class")
@@ -621,7 +712,7 @@ def near_duplicates(table: DataFrame, key: str = "doc_id", text: str = "text") -
     frequent = np.sort(np.array([r[0] for r in common.select("hash").collect()], np.int64).view(np.uint64))
     frequent = table.sparkSession.sparkContext.broadcast(frequent)
 
-    shared = checkpointed(_shared(_postings(table, text, frequent)))
+    shared = checkpointed(_shared(_postings(table, text, frequent, names)))
     pairs = shared.where("hash IS NULL").select(F.col("class").alias("a"), F.col("other").alias("b")).distinct()
     cells = shared.where("hash IS NOT NULL").drop("other")
     points = classes.select("class", "size", "counts")
@@ -629,7 +720,7 @@ def near_duplicates(table: DataFrame, key: str = "doc_id", text: str = "text") -
     def dealt(table_: DataFrame) -> DataFrame:
         return table_.join(points, "class").repartition("hash", "part").sortWithinPartitions("hash", "part", "class")
 
-    place = (table, key, text, classes)
+    place = (table, key, text, names, classes)
     first = _verified(_bounded(pairs, points).union(_pivot_pairs(dealt(cells))), *place)
     joined = checkpointed(components(first))
     second = _verified(_tree_pairs(dealt(_large_cells(cells, joined))), *place)

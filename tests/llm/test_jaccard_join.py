@@ -38,8 +38,8 @@ def brute(rows):
     return sorted((str(k), len(s), str(least[root(i)])) for i, (k, s) in enumerate(sets))
 
 
-def got(spark, rows):
-    found = J.near_duplicates(spark.createDataFrame(rows, DDL)).collect()
+def got(spark, rows, **more):
+    found = J.near_duplicates(spark.createDataFrame(rows, DDL), **more).collect()
     return sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found)
 
 
@@ -76,6 +76,41 @@ def test_against_brute_force(spark, monkeypatch, leaf, block):
     assert got(spark, rows) == brute(rows)
 
 
+def test_sets_that_share_a_name_are_told_apart(spark):
+    """Names of two bits and the size: most sets share one, and results stay right."""
+    rows = corpus()
+    renamed = J._renamed(J._profiles(spark.createDataFrame(rows, DDL), "doc_id", "text", 2).where("hash IS NULL"))
+    assert len(renamed) > 20 and len(set(renamed.values())) == len(renamed) and max(renamed.values()) < 0
+    assert got(spark, rows, name_bits=2) == brute(rows)
+
+
+def crowd(copies, edits, seed=3):
+    """Texts that each differ from one base by their own edits: near the bound, few of them linked."""
+    random = np.random.default_rng(seed)
+    base = [f"w{x}" for x in random.integers(0, 10**6, 600)]
+    rows = []
+    for copy in range(copies):
+        text = list(base)
+        for at in random.choice(len(base), edits, replace=False):
+            text[at] = f"e{copy}_{at}"
+        rows.append((copy, " ".join(text), "x"))
+    return rows
+
+
+def test_a_pair_is_found_in_one_of_its_cells(spark, monkeypatch):
+    """200 texts of one origin, unlinked: with cells told, pairs come about once; without, many times."""
+    rows = crowd(120, 11)
+    calls = []
+    whole = J._tree_pairs
+    monkeypatch.setattr(J, "_tree_pairs", lambda cells: calls.append(cells) or whole(cells))
+    found = got(spark, rows)
+    assert found == brute(rows)
+    pairs = whole(calls[0])
+    told, distinct = pairs.count(), pairs.distinct().count()
+    untold = whole(calls[0].withColumn("told", J.F.array().cast("array<bigint>")))
+    assert untold.distinct().count() == distinct and told <= 1.5 * distinct < untold.count() / 3
+
+
 def test_empty_table_and_one_row(spark):
     assert got(spark, []) == []
     assert got(spark, [(4, "a b", "x")]) == [("4", 1, "4")]
@@ -87,7 +122,7 @@ def test_tree_yields_every_pair_the_bound_allows():
     sets = [np.unique(random.integers(0, 2**63, 40 + i % 30).astype(np.uint64)) for i in range(70)]
     sets += [np.unique(np.concatenate([s[3:], random.integers(0, 2**63, 2).astype(np.uint64)])) for s in sets]
     sizes = np.array([len(s) for s in sets])
-    counts = J._as_counts(np.stack([J.group_counts(s) for s in sets]))
+    counts = np.stack([J.group_counts(s) for s in sets])
     group = np.arange(len(sets)) // 2
     tree = {tuple(sorted(p)) for a, b in J.CountTree(sizes, counts, group).pairs() for p in zip(a.tolist(), b.tolist(), strict=True)}
     i, j = np.triu_indices(len(sets), 1)
@@ -99,7 +134,7 @@ def test_tree_yields_every_pair_the_bound_allows():
 
 def test_saturated_counts_bound_nothing():
     one = np.full(J.GROUPS, J.SATURATED, np.uint8)
-    assert J._may_link(np.array([10**6]), J._as_counts(one[None]), np.array([10**6]), J._as_counts(one[None]))[0]
+    assert J._may_link(np.array([10**6]), one[None], np.array([10**6]), one[None])[0]
 
 
 def test_routing_keeps_one_shared_hash():
