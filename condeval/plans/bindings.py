@@ -70,6 +70,13 @@ def labelled_lines(spark: SparkSession, folder: str, rate: str = "l_discount", s
     )
 
 
+def open_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """(item, step, label) of every line, with a label of return flag and line number."""
+    label = F.concat("l_returnflag", F.col("l_linenumber").cast("string"))
+    lines = table(spark, folder, "lineitem")
+    return lines.select(F.col("l_partkey").alias("item"), _step("l_discount", 5).alias("step"), label.alias("label"))
+
+
 def suite_items(spark: SparkSession, folder: str) -> DataFrame:
     """(item, category, expression, gold) of every part."""
     return table(spark, folder, "part").select(

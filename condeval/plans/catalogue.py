@@ -158,6 +158,11 @@ def majority_per_item(spark, folder):
     return M.majority_labels(T.labelled_lines(spark, folder), ["item", "step"])
 
 
+def open_majority(spark, folder):
+    """Over return flag and line number together, a domain that nobody declares."""
+    return M.open_majority(T.open_labels(spark, folder), ["item", "step"])
+
+
 def label_flips(spark, folder):
     flips = M.label_flips(T.labelled_lines(spark, folder), ["item"], "step", PUSH, BASELINE)
     placed = flips.join(T.suite_items(spark, folder), "item")
@@ -365,4 +370,5 @@ QUERIES: dict[str, Query] = {
     "q42_bootstrap_items": bootstrap_items,
     "q43_bootstrap_drawn": bootstrap_drawn,
     "q44_label_once": label_once,
+    "q45_open_majority": open_majority,
 }

@@ -428,3 +428,9 @@ ORACLE: dict[str, str] = {
     "q43_bootstrap_drawn": _intervals("expression", REPLICATES, _drawn_deltas),
 }
 ORACLE["q44_label_once"] = ORACLE["q26_batch_label"]
+ORACLE["q45_open_majority"] = """
+    WITH rows AS (SELECT l_partkey AS item, CAST(round(l_discount * 100) AS INT) - 5 AS step,
+                         l_returnflag || l_linenumber AS label FROM lineitem),
+    counts AS (SELECT item, step, label, count(label) AS c FROM rows GROUP BY ALL)
+    SELECT item, step, sum(c)::BIGINT AS n_labelled, max(label) FILTER (2 * c > whole) AS majority
+    FROM (SELECT *, sum(c) OVER (PARTITION BY item, step) AS whole FROM counts) GROUP BY item, step"""

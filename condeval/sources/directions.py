@@ -10,7 +10,18 @@ from pyspark.sql import functions as F
 from condeval.sources.tables import DIRECTION, read_parquet_table
 
 
-def save_direction(found: DataFrame, path: str, source_layer: int, model: str) -> None:
+def rows_digest(table: DataFrame) -> str:
+    """A digest of a table's rows in any order: how many there are, and the sums of two hashes of each.
+
+    A row that is changed, left out or repeated gives another digest; the order and the
+    partitioning don't count.
+    """
+    columns = sorted(table.columns)
+    sums = [F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)")) for seed in (1, 2)]
+    return "|".join(str(value or 0) for value in table.agg(F.count("*"), *sums).first())
+
+
+def save_direction(found: DataFrame, path: str, source_layer: int, model: str, source: str | None = None) -> None:
     """Write the one-row direction with what it was built from."""
     tagged = found.select(
         "v",
@@ -18,6 +29,7 @@ def save_direction(found: DataFrame, path: str, source_layer: int, model: str) -
         "midpoint",
         F.lit(source_layer).cast("int").alias("source_layer"),
         F.lit(model).alias("model"),
+        F.lit(source).cast("string").alias("source"),
     )
     tagged.write.mode("overwrite").parquet(path)
 
@@ -38,12 +50,20 @@ def build_or_reuse_direction(
     source_layer: int,
     model: str,
     rebuild: bool = False,
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """Load the stored direction, building and storing it when absent or asked to."""
+    """Load the stored direction, building and storing it when absent or asked to.
+
+    With ``source``, the rows it is built from, it is also built anew when the stored one
+    was built from others. That is told by ``rows_digest``, one pass over them.
+    """
+    digest = None if source is None else rows_digest(source)
     if not rebuild:
         try:
-            return load_direction(spark, path, model)
+            stored = load_direction(spark, path, model)
+            if digest is None or stored.select("source").first()[0] == digest:
+                return stored
         except FileNotFoundError:
             pass
-    save_direction(build(), path, source_layer, model)
+    save_direction(build(), path, source_layer, model, digest)
     return load_direction(spark, path, model)

@@ -25,7 +25,7 @@ FIGURATIVE_SUITE = columns(
 DRAFT_SUITE = columns(expression="string", type="string", prefix="string", status="string")
 POOL = columns(sentence="string", idiom="string", span="string", usage="string")
 DIRECTION = columns(
-    v=T.ArrayType(T.DoubleType()), s="double", midpoint="double", source_layer="integer", model="string"
+    v=T.ArrayType(T.DoubleType()), s="double", midpoint="double", source_layer="integer", model="string", source="string"
 )
 
 # Folders of a table that is appended to in steps: steps, their list, and what is being written.
