@@ -15,7 +15,7 @@ that stands alone.
 Defined cases: NULL or empty html has empty text; elements that are never closed end
 with the page, or where an article begins; a link ends with the block that holds it and at
 the next link, and one that is never closed at the next block; pages of any length are read
-whole; rows that repeat get equal rows; an empty table gives an empty table; other columns
+whole, in time in proportion to it, and tags that never end are text; rows that repeat get equal rows; an empty table gives an empty table; other columns
 are neither read nor returned.
 """
 
@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections.abc import Generator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,14 +60,91 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Whole names that mark an element inside an article: classes and roles, and ids.
 INSIDE = {"class": MARKS - {"header"}, "role": MARKS, "id": {"comments", "disqus_thread", "respond"}}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.DOTALL
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_REST = re.compile(r"""(?:"[^"]*"|'[^']*'|[^'">]+)*+>""")
+_SPECIAL = re.compile(r"""["'>]""")
 _NAMES = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _ENDS = {name: re.compile(rf"(?i)</{name}\b[^>]*>") for name in UNSEEN}
 _WORD = re.compile(r"[a-z]+")
 _ANCHOR = re.compile(r"(?i)<(/?)a[\s/>]")
-_BARE = re.compile(r"""(?i)\bhref\s*=\s*[^\s"'>]*/\Z""")  # a slash that belongs to the address
+_HREF, _HREF_LAST = re.compile(r"(?i)\bhref="), re.compile(r"(?i)\bhref\Z")
+_GAP = re.compile(r"""[\s"'>]""")
+
+
+class _Ends:
+    """Where tags end, for pages with tags that don't: each quote and ``>`` is looked at once.
+
+    Outside quotes a ``>`` ends a tag, and a quote leads on to what follows the next one of
+    its kind; where there is none, no tag ends that comes by here.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.places = [found.start() for found in _SPECIAL.finditer(page)]
+        self.ends = [-1] * (len(self.places) + 1)
+        following = {'"': -1, "'": -1}
+        for i in range(len(self.places) - 1, -1, -1):
+            sign = page[self.places[i]]
+            if sign == ">":
+                self.ends[i] = self.places[i] + 1
+            else:
+                closing, following[sign] = following[sign], i
+                self.ends[i] = self.ends[closing + 1] if closing >= 0 else -1
+
+    def after(self, place: int) -> int:
+        return self.ends[bisect_left(self.places, place)]
+
+
+def tags(page: str) -> Generator[tuple[int, int, bool, str, str], int | None, None]:
+    """Start, end, whether it closes, name and attributes of each tag; comments and the like have no name.
+
+    In time in proportion to the page, also where tags, quotes or comments never end.
+    """
+    last = page.rfind(">")
+    ends = None
+    position = 0
+    while (start := page.find("<", position)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            position = len(page) if end < 0 else end + 3
+            position = (yield start, position, False, "", "") or position
+            continue
+        if start > last:  # only a comment can still come
+            position = page.find("<!--", start)
+            if position < 0:
+                return
+            continue
+        if page[start + 1] in "!?":
+            position = page.index(">", start + 2) + 1 if start + 2 <= last else start + 1
+            if position > start + 1:
+                position = (yield start, position, False, "", "") or position
+            continue
+        found = _NAME.match(page, start)
+        if not found:
+            position = start + 1
+            continue
+        if ends is None:
+            rest = _REST.match(page, found.end())
+            end = rest.end() if rest else -1
+            if not rest:
+                ends = _Ends(page)
+        else:
+            end = ends.after(found.end())
+        if end < 0:
+            position = start + 1
+            continue
+        position = (yield start, end, bool(found[1]), found[2].lower(), page[found.end() : end - 1]) or end
+
+
+def _closes_itself(attributes: str) -> bool:
+    """Whether attributes end with a slash that does not belong to an unquoted address."""
+    if not attributes.endswith("/"):
+        return False
+    gaps = [found.end() for found in _GAP.finditer(attributes)]
+    cut = gaps[-1] if gaps else 0
+    before, value = attributes[:cut].rstrip(), attributes[cut:]
+    if before.endswith("="):
+        before, value = before[:-1].rstrip(), "=" + value
+    return not (_HREF.search(value) or (value.startswith("=") and _HREF_LAST.search(before[-8:])))
 
 
 def _marked(attributes: str, name: str, inside: int) -> bool:
@@ -82,6 +161,14 @@ def _marked(attributes: str, name: str, inside: int) -> bool:
     return False
 
 
+def _next(found: Generator, place: int | None = None):
+    """The next tag, from a place on if given."""
+    try:
+        return found.send(place) if place else next(found)
+    except StopIteration:
+        return None
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """A page's lines in order, each with the length that counts and whether an article holds it."""
     lines: list[tuple[str, int, bool]] = []
@@ -103,27 +190,30 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 lines.append((line, counts, inside > 0))
         linked = 0
 
-    at, position = 0, 0
-    while found := _TOKEN.search(page, position):
-        if found.start() > at:
-            piece = page[at : found.start()]
+    at, last = 0, page.rfind(">") + 1
+    found_tags = tags(page)
+    tag = next(found_tags, None)
+    while tag:
+        start, at_end, closing, name, attributes = tag
+        if start > at:
+            piece = page[at:start]
             text.append(piece)
             if in_link:
                 linked += len(piece.strip())
-        at = position = found.end()
-        name = (found[2] or "").lower()
-        if not name:
-            continue
-        closing = bool(found[1])
+        at = at_end
         if name in UNSEEN and not closing:
-            if not found[3].endswith("/"):
-                end = _ENDS[name].search(page, position)
-                at = position = end.end() if end else len(page)
+            if not attributes.endswith("/"):
+                end = _ENDS[name].search(page, at, last)
+                at = end.end() if end else len(page)
+            tag = _next(found_tags, at)
+            continue
+        tag = _next(found_tags)
+        if not name:
             continue
         if name == "a":
-            in_link = not closing and (not found[3].endswith("/") or bool(_BARE.search(found[3])))
+            in_link = not closing and not _closes_itself(attributes)
             if in_link:
-                follows = _ANCHOR.search(page, position)
+                follows = _ANCHOR.search(page, at)
                 closed, within_link = bool(follows and follows[1]), 0
             continue
         if in_link and name in BLOCKS:
@@ -133,7 +223,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             text.append(" ")
             continue
         if name not in BLOCKS and not dropped:
-            if not closing and name not in EMPTY and _marked(found[3], name, inside):
+            if not closing and name not in EMPTY and _marked(attributes, name, inside):
                 flush()
                 dropped, depth = name, 1
             elif name in DROPPED and not closing:
@@ -164,7 +254,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 inside = max(0, inside - 1)
             continue
         article_header = name == "header" and inside
-        if name not in WHOLE and ((name in DROPPED and not article_header) or _marked(found[3], name, inside)):
+        if name not in WHOLE and ((name in DROPPED and not article_header) or _marked(attributes, name, inside)):
             dropped, depth = name, 1
         elif name in ("article", "main"):
             inside += 1

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 import pytest
 
@@ -127,3 +129,35 @@ def test_marks_inside_articles_are_whole_names(around, page, text):
 
 def test_marks_outside_articles_are_words():
     assert H.main_text("<div id='page-header'>h</div><h2 class='site-menu'>m</h2><div class='related-posts'>r</div><p>x</p>") == "x"
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a " ', "<!x ", "<a ' \"", "<a", "<!--", "<script", "</script ", "<a href=", "</", "<a href=href=", "<?", "<p class="])
+@pytest.mark.parametrize("tail", ["", ">", ' ">', "<p>x"])
+def test_broken_markup_takes_time_in_proportion(piece, tail):
+    """A megabyte of tags that never end."""
+    page = piece * (1_000_000 // len(piece)) + tail
+    begun = time.process_time()
+    H.main_text(page)
+    assert time.process_time() - begun < 2
+
+
+def test_tags_equal_a_regular_expression():
+    """The scanner against one expression that backtracks, on short broken pages."""
+    whole = re.compile(
+        r"""(?s)<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>"""
+    )
+    pick = random.Random(2)
+    pool = ["<a ", "</p>", "<div class='ad'>", '"', "'", ">", "<", "t ", "<!--", "-->", "<!x ", "<?x>", "<b", '<h1 id="a>b">', "<1", "</", "<!"]
+    for _ in range(20_000):
+        page = "".join(pick.choice(pool) for _ in range(pick.randrange(1, 14)))
+        want = [(m.start(), m.end(), bool(m[1]), (m[2] or "").lower(), m[3] or "") for m in whole.finditer(page)]
+        assert list(H.tags(page)) == want, page
+
+
+@pytest.mark.parametrize(
+    ("attributes", "closes"),
+    [(" id=x/", True), (" /", True), ("/", True), (" href=x/", False), (" HREF =x/", False), (" href= x/", False), (" href = x/", False),
+     (" xhref=x/", True), (" href='x'/", True), (" href=x", False), (" a href=/1/", False), (" href= x y/", True)],
+)
+def test_a_slash_of_an_address_closes_nothing(attributes, closes):
+    assert H._closes_itself(attributes) == closes
