@@ -4,13 +4,14 @@ Markup is stripped into lines, one a block element. A line's length counts the t
 that can be content: menus, headers, footers, sidebars, notices, adverts, forms and
 reader comments, known by their elements and class names, count nothing, nor do lines
 outside articles that are mostly links, nor, on a page with an article element, lines
-outside it. Inside an article only a whole class or role marks an element, an id does so
-for reader comments alone, and headings, and what is marked as a header, are kept.
+outside it. A word in a name marks an element (``sidebar-left``), unless another makes it
+part of the text (``related-work``). Inside an article all words of a name have to fit,
+an id does so for reader comments alone, and headings, and what is marked as a header, are kept.
 Lengths are summed over sliding windows of lines. A page's text dives where a whole
 window holds nothing; dives cut it into runs. Inside an article every line that counts is
 kept. On a page without one, a run is kept whole, from its first line that counts to its
 last, if one of its windows surges; what has no surge there is a scrap of a few characters
-that stands alone.
+that stands alone and is no heading.
 
 Defined cases: NULL or empty html has empty text; elements that are never closed end
 with the page, or where an article begins; a link ends with the block that holds it and at
@@ -57,7 +58,15 @@ MARKS = {
     "sponsored", "subscribe", "toolbar", "widget", "complementary", "search", "login",
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-# Whole names that mark an element inside an article: classes and roles, and ids.
+# Words that stand beside such a word in a name, and leave it what it is.
+BESIDE = {
+    "area", "bar", "block", "bottom", "box", "container", "content", "form", "global", "google", "inline", "inner", "item", "items",
+    "left", "link", "links", "list", "main", "outer", "page", "panel", "policy", "post", "posts", "reader", "right", "section",
+    "site", "slot", "space", "sticky", "stories", "tags", "thread", "top", "unit", "user", "wrap", "wrapper",
+}
+# Words that make it something of the text: a related-work section, an article's header.
+OF_TEXT = {"ad": {"hoc"}, "related": {"work", "works"}, "header": {"article", "entry", "post", "story"}, "search": {"methods"}}
+# Names that mark an element inside an article: of classes and roles, and ids.
 INSIDE = {"class": MARKS - {"header"}, "role": MARKS, "id": {"comments", "disqus_thread", "respond"}}
 
 _NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -153,11 +162,15 @@ def _marked(attributes: str, name: str, inside: int) -> bool:
         return False
     for found in _NAMES.finditer(attributes):
         value = (found[2] or found[3] or found[4] or "").lower()
-        if inside:
-            if not INSIDE[found[1].lower()].isdisjoint(value.split()):
+        kind = found[1].lower()
+        for token in value.split():
+            words = set(_WORD.findall(token))
+            if inside:
+                marks = INSIDE[kind]
+                if token in marks or (kind == "class" and words & marks and words <= marks | BESIDE):
+                    return True
+            elif any(word in MARKS and words.isdisjoint(OF_TEXT.get(word, ())) for word in words):
                 return True
-        elif any(word in MARKS for word in _WORD.findall(value)):
-            return True
     return False
 
 
@@ -170,15 +183,15 @@ def _next(found: Generator, place: int | None = None):
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """A page's lines in order, each with the length that counts and whether an article holds it."""
-    lines: list[tuple[str, int, bool]] = []
+    """A page's lines in order, each with the length that counts and whether an article or a heading holds it."""
+    lines: list[tuple[str, int, bool, bool]] = []
     text: list[str] = []  # of the line so far
     linked = 0  # characters of it inside links
     in_link, closed = False, False  # whether a link is open, and whether it has an end
     within_link, inside = 0, 0  # blocks begun in the link, depth of articles
     dropped = ""  # the element that is being left out, with its depth
     depth = 0
-    saw_article = False
+    saw_article, heading = False, False
 
     def flush() -> None:
         nonlocal linked
@@ -187,7 +200,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             text.clear()
             if line:
                 counts = 0 if dropped or (not inside and linked > LINKS * len(line)) else len(line)
-                lines.append((line, counts, inside > 0))
+                lines.append((line, counts, inside > 0, heading))
         linked = 0
 
     at, last = 0, page.rfind(">") + 1
@@ -222,6 +235,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if name == "br":
             text.append(" ")
             continue
+        if name in HEADINGS:
+            flush()
+            heading = not closing
         if name not in BLOCKS and not dropped:
             if not closing and name not in EMPTY and _marked(attributes, name, inside):
                 flush()
@@ -262,7 +278,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     if at < len(page):
         text.append(page[at:])
     flush()
-    return [(line, counts if within or not saw_article else 0, within) for line, counts, within in lines]
+    return [
+        (line, counts if within or not saw_article else 0, within or heads) for line, counts, within, heads in lines
+    ]
 
 
 def main_text(page: str | None) -> str:

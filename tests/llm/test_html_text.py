@@ -161,3 +161,26 @@ def test_tags_equal_a_regular_expression():
 )
 def test_a_slash_of_an_address_closes_nothing(attributes, closes):
     assert H._closes_itself(attributes) == closes
+
+
+BOXES = ["related-posts", "ad-slot", "cookie-notice", "comment-list", "user-comments", "sidebar-left", "post ad_box", "newsletter-signup"]
+
+
+@pytest.mark.parametrize("name", BOXES)
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_boxes_with_compound_names_go(around, name):
+    page = f"<{around}><h1>T</h1><p>one</p><div class='{name}'><p>box</p></div><p>two</p></{around}>"
+    assert H.main_text(page) == "T\none\ntwo"
+
+
+@pytest.mark.parametrize("name", ["article-header", "related-work", "ad-hoc", "search-methods", "entry-header", "post-header"])
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_names_that_are_of_the_text_stay(around, name):
+    page = f"<{around}><p>one</p><div class='{name}'><h1>T</h1><p>kept</p></div><p>two</p></{around}>"
+    assert H.main_text(page) == "one\nT\nkept\ntwo"
+
+
+def test_a_short_heading_that_stands_apart_stays():
+    menus = "<nav>menu</nav>" * 6
+    assert H.main_text(f"<h1>Title</h1>{menus}<p>{LONG}</p>{menus}<p>ok</p>") == f"Title\n{LONG.strip()}"
+    assert H.main_text(f"<h1>Site</h1><article><p>{LONG}</p></article>") == LONG.strip()
