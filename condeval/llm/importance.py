@@ -311,3 +311,52 @@ def resampled(
     placed = ranked(rows.where(enough), order)
     placed = placed.withColumn("rank", F.when(F.col("rank") <= drawn, F.col("rank")))
     return placed.unionByName(rows.where(~enough).withColumn("rank", F.lit(None).cast("bigint"))).withColumnRenamed("key", key)
+
+
+def _feature_sql(table: str, key: str) -> str:
+    """(key, feature, times) of a table's texts."""
+    return f"""
+      SELECT key, feature, count(*) AS times FROM (
+        SELECT key, unnest(list_concat(w, list_concat(
+                 list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]),
+                 list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS feature
+        FROM (SELECT {key} AS key, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table}))
+      GROUP BY ALL"""
+
+
+# The CRC is computed byte by byte, from the 256 values of its table.
+ORACLE = f"""
+    WITH RECURSIVE bits(i, k, v) AS (
+      SELECT i, 0, i::BIGINT FROM range(256) r(i)
+      UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+    crc_table AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+    of_documents AS ({_feature_sql("documents", "doc_id")}),
+    of_benchmark AS ({_feature_sql("benchmark", "item_id")}),
+    buckets AS (
+      SELECT feature, xor(list_reduce(
+               list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % {BUCKETS} AS bucket
+      FROM (SELECT feature, hex(encode(feature)) AS h
+            FROM (SELECT feature FROM of_documents UNION SELECT feature FROM of_benchmark)), crc_table),
+    s AS (SELECT bucket, sum(times)::DOUBLE AS s FROM of_documents JOIN buckets USING (feature) GROUP BY bucket),
+    t AS (SELECT bucket, sum(times)::DOUBLE AS t FROM of_benchmark JOIN buckets USING (feature) GROUP BY bucket),
+    gains AS (
+      SELECT bucket, floor(1000 * ln(
+               ((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + {BUCKETS}))
+               / ((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + {BUCKETS}))))::BIGINT AS gain
+      FROM s FULL JOIN t USING (bucket)),
+    weights AS (
+      SELECT key, sum(times)::BIGINT AS n_features, sum(times * gain)::BIGINT AS weight
+      FROM of_documents JOIN buckets USING (feature) JOIN gains USING (bucket) GROUP BY key),
+    scored AS (
+      SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(
+               -1000 * ln(-ln((('0x' || substr(sha256('{SEED}:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM documents LEFT JOIN weights ON key = doc_id),
+    -- 20 words or more have 57 windows or more
+    placed AS (
+      SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+      FROM scored WHERE n_features >= {3 * LEAST_WORDS - 3})
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * {SHARE[0]} // {SHARE[1]} THEN place END AS rank
+    FROM scored LEFT JOIN placed USING (doc_id)"""

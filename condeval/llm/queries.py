@@ -133,4 +133,5 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op2_top_k": topk.ORACLE,
     "op4_mixing": mixing.ORACLE,
+    "op11_importance": importance.ORACLE,
 }
