@@ -134,4 +134,5 @@ ORACLE: dict[str, str] = {
     "op2_top_k": topk.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op11_importance": importance.ORACLE,
+    "op12_repair": repair.ORACLE,
 }

@@ -463,3 +463,73 @@ def repaired(
     numbers = ", ".join(f"{n} bigint" for n in _TOTALS)
     schema = f"conv {facts.schema['conv'].dataType.simpleString()}, {numbers}, audit string, repaired_sha256 string"
     return _sorted(rows, "conv").mapInArrow(run, schema).withColumnRenamed("conv", conv)
+
+
+# The CRC byte by byte, and the least path row by row: of each state the best (cost, audit, repaired lines).
+ORACLE = r"""
+    WITH RECURSIVE bits(i, k, v) AS (
+      SELECT i, 0, i::BIGINT FROM range(256) r(i)
+      UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+    crc_table AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+    told AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS h FROM conversations),
+    faulty AS (
+      SELECT conv_id, turn, role, text, xor(list_reduce(
+               list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 20 AS f
+      FROM told, crc_table),
+    damaged AS (
+      SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+             CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy
+      FROM faulty WHERE f <> 0),
+    placed AS (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+             left(role, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+             regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS loose
+      FROM damaged),
+    judged AS (
+      SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+             lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair,
+             count(*) OVER (PARTITION BY conv_id) AS n
+      FROM placed),
+    rows AS (SELECT *, blank OR again AS gone, loose AND NOT blank AND NOT again AS cut FROM judged),
+    moves(state, inserted, here, lines) AS (VALUES
+      ('', '', '', []), ('', 'I', 'u', ['user:']), ('', 'II', 'a', ['user:', 'assistant:']),
+      ('s', '', 's', []), ('s', 'I', 'u', ['user:']), ('s', 'II', 'a', ['user:', 'assistant:']),
+      ('u', '', 'u', []), ('u', 'I', 'a', ['assistant:']), ('u', 'II', 'u', ['assistant:', 'user:']),
+      ('a', '', 'a', []), ('a', 'I', 'u', ['user:']), ('a', 'II', 'a', ['user:', 'assistant:'])),
+    paths AS (
+      SELECT DISTINCT conv_id, 0::BIGINT AS i, '' AS state, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} AS best FROM rows
+      UNION ALL
+      SELECT conv_id, i, to_state, min({'cost': cost, 'audit': audit, 'lines': lines})
+      FROM (
+        SELECT p.conv_id, r.i, e.to_state, p.best.cost + 2 * length(m.inserted) + e.cost AS cost,
+               p.best.audit || m.inserted || e.letter AS audit, list_concat(p.best.lines, list_concat(m.lines, e.lines)) AS lines
+        FROM paths p JOIN rows r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1 JOIN moves m ON m.state = p.state,
+             LATERAL (SELECT unnest([
+               {'letter': 'D', 'cost': 3, 'to_state': m.here, 'lines': []::VARCHAR[], 'may': true},
+               {'letter': 'R', 'cost': 2 + r.cut::INT, 'to_state': CASE m.here WHEN 'u' THEN 'a' ELSE 'u' END,
+                'lines': [CASE m.here WHEN 'u' THEN 'assistant:' ELSE 'user:' END || r.text], 'may': NOT r.gone},
+               {'letter': 'K', 'cost': r.cut::INT, 'to_state': r.initial, 'lines': [r.role || ':' || r.text],
+                'may': NOT r.gone AND (r.initial = CASE m.here WHEN 'u' THEN 'a' ELSE 'u' END OR (r.initial = 's' AND m.here = ''))}
+             ], recursive := true)) e
+        WHERE e.may)
+      GROUP BY conv_id, i, to_state),
+    solved AS (
+      SELECT p.conv_id, min({'cost': best.cost + 2 * length(m.inserted), 'audit': best.audit || m.inserted,
+                             'lines': list_concat(best.lines, m.lines)}) AS best
+      FROM paths p JOIN moves m ON m.state = p.state AND m.here IN ('', 'a')
+      WHERE p.i = (SELECT max(n) FROM rows r WHERE r.conv_id IS NOT DISTINCT FROM p.conv_id) GROUP BY p.conv_id),
+    counted AS (
+      SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (cut) AS truncated,
+             count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM rows GROUP BY conv_id)
+    SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost,
+           coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o
+    LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM o.conv_id"""
