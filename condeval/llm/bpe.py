@@ -37,7 +37,7 @@ ID_MASK, PLACE_MASK = (1 << ID_BITS) - 1, (1 << PLACE_BITS) - 1
 # Below this code point, letters and digits are listed for Python's own, faster matcher.
 LATIN = 0x250
 # A worker keeps the encodings of this many words at most, twice.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 # Longer words are encoded each time.
 KEPT_LENGTH = 48
 

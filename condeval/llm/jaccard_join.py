@@ -65,7 +65,7 @@ PIECE_PAIRS = 8192
 TOLD = 16
 # Texts are hashed in pieces of about so many bytes, and searched for hashes that
 # repeat in pieces of about so many hashes.
-PIECE_BYTES, PIECE_HASHES = 1 << 19, 4_000_000
+PIECE_BYTES, PIECE_HASHES = 1 << 19, 2_000_000
 # A hash is frequent from so many sightings in pieces where it repeats. So many
 # frequent hashes at most, the most frequent, are sent to the workers (8 bytes each).
 FREQUENT, MOST_FREQUENT = 4, 400_000

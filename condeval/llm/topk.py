@@ -11,7 +11,9 @@ block and a candidate block is one task's work, whatever the number of either. B
 are picked by hash of the id. Of each pair only k rows a query leave.
 
 Components are floor(64 * x); scores are 64-bit integers. Sums are made in float64 where
-all of a block's are below 2**53, which is exact, and in int64 otherwise.
+all of a block's are below 2**53, which is exact, and in int64 otherwise. A score beyond 2**63
+wraps, as 64-bit integers do, and a component beyond it is held at the limit: vectors are
+meant to have components of moderate size (below 10**6 in 64 dimensions).
 
 Defined cases: vectors that are NULL, hold NULL or hold a component that isn't finite
 take no part; an empty vector scores 0 with all, a shorter one counts as filled up with

@@ -9,7 +9,8 @@ Defined cases: NULL text counts as empty, and has an empty fingerprint; a text s
 than a gram has one hash, of the whole; a text with fewer hashes than a window keeps the
 smallest. Two empty fingerprints are alike by 1, an empty one and another by 0. Texts of
 any length are hashed in whole. Rows that repeat a key follow each other, in order of
-their texts; NULL keys come after all others. An empty table gives an empty table; other
+their texts; NULL keys come after all others. Keys are numbers, as ranges of them are cut
+by percentiles. An empty table gives an empty table; other
 columns are neither read nor returned.
 """
 

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +115,45 @@ def test_query_on_tables_without_labels(spark, tmp_path, rows):
     got = op1_language_id(spark, str(tmp_path))
     assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
     assert [(r.doc_id, r.lang_pred, r.score) for r in got.collect()] == [(k, "und", 0.0) for k, *_ in rows]
+
+
+def byte_by_byte(model, text):
+    """A text's pooled probabilities, each number by itself: windows, steps, states and sums in plain Python."""
+    hidden = model.states.shape[1]
+    sums = [0.0] * len(model.languages)
+    labels = []
+    for start in range(0, len(text), L.WINDOW):
+        window = list(text[start : start + L.WINDOW])
+        symbols = window + [L.END] * (L.WINDOW - len(window))
+        sides = []
+        for side in range(2):
+            state, states = [0.0] * hidden, {}
+            for at in range(L.WINDOW) if side == 0 else reversed(range(L.WINDOW)):
+                pre = [
+                    float(model.inputs[side, symbols[at], k]) + sum(h * float(model.states[side, i, k]) for i, h in enumerate(state))
+                    for k in range(2 * hidden)
+                ]
+                gate = [1 / (1 + math.exp(-2 * u)) for u in pre[:hidden]]
+                state = [h + z * (math.tanh(c) - h) for h, z, c in zip(state, gate, pre[hidden:])]
+                states[at] = state
+            sides.append(states)
+        for at in range(len(window)):
+            both = sides[0][at] + sides[1][at]
+            odds = [float(b) + sum(h * float(model.reading[i, k]) for i, h in enumerate(both)) for k, b in enumerate(model.bias)]
+            weights = [math.exp(o - max(odds)) for o in odds]
+            labels.append(model.languages[weights.index(max(weights))])
+            sums = [s + w / sum(weights) for s, w in zip(sums, weights)]
+    return [s / len(text) for s in sums], labels
+
+
+def test_probabilities_equal_those_made_byte_by_byte(spark, model):
+    texts = ["abra zuzu", "mimo " * 50, "é" * 47 + "a", "w" * L.WINDOW, "w" * (L.WINDOW + 1), "汉字 abra wuzzy " * 9, "z"]
+    found = L.pooled(model, [t.encode() for t in texts])
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in L.predicted(table, model).collect()}
+    for i, text in enumerate(texts):
+        want, labels = byte_by_byte(model, text.encode())
+        assert found[i] == pytest.approx(want, abs=1e-5)
+        best = max(range(len(want)), key=lambda k: want[k])
+        assert rows[i].lang_pred == model.languages[best] and rows[i].score == pytest.approx(want[best], abs=1e-5)
+        assert sum(a == b for a, b in zip(L.position_labels(model, text), labels)) >= len(labels) - 1
