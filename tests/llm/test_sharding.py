@@ -53,6 +53,15 @@ def test_slots_sizes_and_sums(spark, monkeypatch):
     assert S.sharded(table.limit(0)).count() == 0
 
 
+def test_shards_are_those_of_the_published_loop(spark):
+    """The query's own shards, from the same hash of the key, one by one."""
+    table = spark.range(-200, 800).selectExpr("id AS doc_id", "'t' AS text")
+    hashes = {r.doc_id: r.h for r in table.selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    for r in S.sharded(table).collect():
+        key = hashes[r.doc_id] % 2**64
+        assert (r.shard, r.grown_shard) == (plain_jump(key, 8), plain_jump(key, 9))
+
+
 def test_shards_are_written(spark, tmp_path):
     table = spark.createDataFrame([(i, "t") for i in range(60)], "doc_id bigint, text string")
     S.write_shards(table, str(tmp_path / "out"))
