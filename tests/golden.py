@@ -124,3 +124,26 @@ BY_CATEGORY = (
     ("Simile", 3.59, 0.272, 0.568, 0.16, 0.84),
     ("Simile", 4.78, 0.376, 0.496, 0.128, 0.872),
 )
+
+# Published rates of trusted rows by coefficient (FIGURATIVE, LITERAL, INCOHERENT,
+# coherence rate), of 100 rows each.
+TRUSTED = (
+    (-4.78, 0.26, 0.7, 0.04, 0.96),
+    (-3.59, 0.26, 0.69, 0.05, 0.95),
+    (-2.39, 0.26, 0.7, 0.04, 0.96),
+    (-1.2, 0.25, 0.73, 0.02, 0.98),
+    (0.0, 0.31, 0.64, 0.05, 0.95),
+    (1.2, 0.37, 0.55, 0.08, 0.92),
+    (2.39, 0.38, 0.53, 0.09, 0.91),
+    (3.59, 0.45, 0.49, 0.06, 0.94),
+    (4.78, 0.34, 0.56, 0.1, 0.9),
+)
+
+# Published clusters, deltas and intervals. The labelled rows behind them are not
+# published, and neither are the clusters' counts, so intervals can't be made again; points can.
+INTERVALS = (
+    ("Idiom", 20, 0.16599999999999998, 0.10799999999999998, 0.22600000000000003),
+    ("Conventional Metaphor", 10, 0.10799999999999998, 0.05599999999999994, 0.15600000000000003),
+    ("Novel Metaphor", 5, -0.008000000000000007, -0.15200000000000002, 0.136),
+    ("Simile", 5, 0.256, 0.22399999999999998, 0.296),
+)
