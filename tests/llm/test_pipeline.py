@@ -82,7 +82,7 @@ def test_stages_take_empty_tables_and_nulls(spark, steps):
 
 def test_queries_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(queries()) and set(ORACLE) <= set(oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_every_stage_takes_an_empty_table(spark, steps):
