@@ -43,33 +43,22 @@ def majority_labels(labelled: DataFrame, keys: Sequence[str], label: str = "labe
     )
 
 
-# Bits of a label's hash that are voted on.
-VOTED_BITS = 64
-
-
 def open_majority(labelled: DataFrame, keys: Sequence[str], label: str = "label") -> DataFrame:
     """The value held by more than half of a group's values, else NULL, over any values.
 
-    Columns: the keys, ``n_labelled`` and ``majority``. A value with more than half of a group
-    has the majority of each bit of its hash, so 64 counters a group, which add up across
-    tasks, name the only candidate, however many values there are. One count of the rows
-    that hold the candidate's hash then decides, value by value, so equal hashes don't mislead.
+    Columns: the keys, ``n_labelled`` and ``majority``. Values are counted first, by group and
+    value together, so that no task holds a group's values; a group's counts then leave each
+    task as their sum and the most frequent value, which decide. Rows are narrow in both steps.
     Groups with a NULL key are left out, and a group without values has no majority.
     """
     keys = as_list(keys)
-    n, hashed, voted = free_names([*labelled.columns, "n_labelled", "majority"], "_n", "_hash", "_voted")
-    rows = labelled.filter(all_present(keys)).select(*keys, label).withColumn(hashed, F.xxhash64(label))
-    said = F.col(label).isNotNull()
-    ones = [F.count_if(said & (F.shiftrightunsigned(hashed, bit).bitwiseAND(F.lit(1)) == 1)).alias(f"b{bit}") for bit in range(VOTED_BITS)]
-    votes = rows.groupBy(*keys).agg(F.count(label).alias(n), *ones)
-    bits = [F.when(F.col(f"b{bit}") * 2 > F.col(n), F.shiftleft(F.lit(1).cast("bigint"), bit)).otherwise(F.lit(0).cast("bigint")) for bit in range(VOTED_BITS)]
-    candidates = votes.select(*keys, n, reduce(lambda a, b: a.bitwiseOR(b), bits).alias(voted))
-    named = candidates.select(*(F.col(k).alias(f"_c_{k}") for k in keys), F.col(n), F.col(voted))
-    same = [F.col(k) == F.col(f"_c_{k}") for k in keys]
-    held = rows.filter(said).join(named, [*same, F.col(hashed) == F.col(voted)]).groupBy(*keys, label)
-    won = held.agg(F.count("*").alias(hashed), F.any_value(n).alias(n)).filter(F.col(hashed) * 2 > F.col(n))
-    won = won.select(*keys, F.col(label).alias("majority"))
-    return candidates.withColumnRenamed(n, "n_labelled").drop(voted).join(won, keys, "left").select(*keys, "n_labelled", "majority")
+    times, most, value = free_names([*labelled.columns, "n_labelled", "majority"], "_times", "_most", "_value")
+    counts = labelled.filter(all_present(keys)).groupBy(*keys, label).agg(F.count(label).alias(times))
+    tally = counts.groupBy(*keys).agg(
+        F.sum(times).alias("n_labelled"), F.max(times).alias(most), F.max_by(label, times).alias(value)
+    )
+    held = F.when(F.col(most) * 2 > F.col("n_labelled"), F.col(value))
+    return tally.select(*keys, "n_labelled", held.alias("majority"))
 
 
 def label_flips(

@@ -109,6 +109,15 @@ def test_the_state_of_a_vote_does_not_grow_with_the_labels(spark):
     assert {r["majority"] for r in open_majority(table, ["item"]).collect()} == {None}
 
 
+def test_a_vote_shuffles_narrow_rows(spark):
+    """A group mostly has few rows, so 64 counters a group were many times its rows."""
+    table = spark.range(1000).selectExpr("id % 400 AS item", "id % 3 AS step", "string(id % 7) AS label")
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = open_majority(table, ["item", "step"])._jdf.queryExecution().explainString(mode)
+    widths = [int(n) for n in re.findall(r"\) Exchange\s+Input \[(\d+)\]", plan)]
+    assert widths and max(widths) <= 6
+
+
 def test_a_direction_is_reused_for_the_same_rows_only(spark, tmp_path):
     rows = [([3.0, 4.0], 1), ([0.0, 0.0], 0), ([0.0, 1.0], 0)]
     path, built = str(tmp_path / "d"), []
