@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 from uuid import uuid4
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,9 @@ Generator = Callable[[], Callable[[list[str], list[float], int], list[list[str]]
 
 # What a call costs besides its prompt's length, in characters.
 CALL_COST = 32
+# Distinct prompts that are sorted by length together, as a power of two: less than Spark
+# sends to Python at a time, so what it sends is no selection of a task's longest prompts.
+SORTED_BITS = 10
 # Rows of each task that a crash may lose, unless the caller says otherwise.
 ROWS_PER_TASK = 256
 
@@ -41,20 +45,22 @@ def answer_batches(
 ) -> DataFrame:
     """Add the labeller's free-text answer to each row's prompt.
 
-    Only the prompt crosses to Python; the other columns stay in the JVM. A NULL
-    prompt is not sent and has a NULL answer.
+    Only the prompt crosses to Python; the other columns stay in the JVM. Prompts become
+    Python strings one batch at a time. A NULL prompt is not sent and has a NULL answer.
     """
 
-    @F.pandas_udf(T.StringType())
-    def answers(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.StringType())
+    def answers(prompts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         label_texts = labeller()
         for chunk in prompts:
-            asked = chunk[chunk.notna()]
-            found = pd.Series([None] * len(chunk), index=chunk.index, dtype=object)
+            asked = chunk.is_valid().to_numpy(zero_copy_only=False).nonzero()[0]
+            found: list[str | None] = [None] * len(chunk)
             for start in range(0, len(asked), batch_size):
-                batch = asked.iloc[start : start + batch_size]
-                found.loc[batch.index] = label_texts(batch.tolist())
-            yield found
+                places = asked[start : start + batch_size]
+                batch = [chunk[int(place)].as_py() for place in places]
+                for place, told in zip(places, label_texts(batch), strict=True):
+                    found[place] = told
+            yield pa.array(found, pa.string())
 
     return rows.withColumn(answer, answers.asNondeterministic()(as_column(prompt)))
 
@@ -83,11 +89,13 @@ def label_distinct(
     without a prompt has no label.
     """
     tasks = tasks or rows.sparkSession.sparkContext.defaultParallelism
-    digest, asked, cost = free_names([*rows.columns, label], "_digest", "_prompt", "_answer")
+    digest, asked, cost, run = free_names([*rows.columns, label], "_digest", "_prompt", "_answer", "_run")
     told = rows.withColumn(asked, as_column(prompt)).withColumn(digest, F.sha2(asked, 256))
     prompts = told.filter(F.col(asked).isNotNull()).select(digest, asked).dropDuplicates([digest])
     dealt = dealt_by_cost(prompts, digest, F.length(asked) + CALL_COST, tasks)
-    answered = answer_batches(dealt.sortWithinPartitions(F.length(asked)), asked, labeller, batch_size, cost)
+    runs = dealt.withColumn(run, F.shiftright(F.monotonically_increasing_id(), SORTED_BITS))
+    runs = runs.sortWithinPartitions(run, F.length(asked)).drop(run)
+    answered = answer_batches(runs, asked, labeller, batch_size, cost)
     labels = parse_labels(answered, cost, label).select(digest, label)
     return told.drop(asked).join(labels, digest, "left").select(*rows.columns, label)
 

@@ -160,3 +160,23 @@ def test_dealing_few_rows_and_none(spark):
     rows = spark.createDataFrame([(1, "00ff"), (2, "ffff")], "i int, digest string")
     assert sorted(r["i"] for r in dealt_by_cost(rows, "digest", F.lit(1), 5).collect()) == [1, 2]
     assert dealt_by_cost(rows.limit(0), "digest", F.lit(1), 5).count() == 0
+
+
+def test_the_longest_prompts_of_a_task_do_not_meet(spark, tmp_path):
+    """Of 12,000 prompts a tenth is long: no 2,048 in the order they are asked in hold many of these."""
+    folder = str(tmp_path)
+    table = spark.range(12_000).selectExpr("CASE WHEN id % 10 = 0 THEN repeat(string(id), 500) ELSE string(id) END AS prompt")
+
+    def load():
+        def answer(prompts):
+            with open(f"{folder}/{os.getpid()}", "a") as out:
+                out.writelines(f"{len(p)}\n" for p in prompts)
+            return ["Final label: LITERAL"] * len(prompts)
+
+        return answer
+
+    assert X.label_distinct(table, "prompt", load, tasks=1).filter("label = 'LITERAL'").count() == 12_000
+    lengths = [int(n) for file in os.listdir(folder) for n in open(f"{folder}/{file}")]
+    assert len(lengths) == 12_000
+    windows = [sum(lengths[at : at + 2048]) for at in range(0, 12_000 - 2048, 512)]
+    assert max(windows) < 1.5 * sum(windows) / len(windows)
