@@ -30,12 +30,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from condeval.llm.common import checkpointed, free_names
@@ -55,8 +56,10 @@ NAME_BITS = 55
 # Steps of a class's size per doubling, and by how many those of linked sets differ at most.
 SIZE_STEPS, SIZE_MASK = 8, 255
 SIZE_APART = int(SIZE_STEPS * math.log2(WHOLE / PART)) + 1
-# The filter that finds texts again has about so many bits a key, within these bounds.
-BITS_PER_KEY, FEWEST_BITS, MOST_BITS = 16, 1 << 18, 1 << 27
+# The filter that finds texts again has about so many bits a key, within these bounds, and
+# looks at so many of them.
+BITS_PER_KEY, FEWEST_BITS, MOST_BITS = 32, 1 << 18, 1 << 27
+LOOKS = 3
 # Most groups of a fine count vector.
 MOST_GROUPS = 1 << 16
 # Pairs whose counts are compared at a time, 2 MB a side.
@@ -201,15 +204,25 @@ def group_counts(hashes: np.ndarray, groups: int = 0) -> np.ndarray:
     return np.minimum(np.bincount(found.astype(np.intp), minlength=groups), SATURATED).astype(np.uint8)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A count vector as it is stored and shuffled. Counts are small, so bytes of them pack well."""
+    return zlib.compress(counts.tobytes(), 1)
+
+
+def _rows_of(packed: list[bytes]) -> np.ndarray:
+    """Count vectors as rows."""
+    return np.frombuffer(b"".join(map(zlib.decompress, packed)), np.uint8).reshape(-1, GROUPS)
+
+
 def fine_counts(hashes: np.ndarray) -> bytes:
     """A set's size, and a count vector of about as many groups as it has hashes."""
     groups = min(MOST_GROUPS, max(GROUPS, 1 << (len(hashes) - 1).bit_length()))
-    return len(hashes).to_bytes(8, "little") + group_counts(hashes, groups).tobytes()
+    return len(hashes).to_bytes(8, "little") + _packed(group_counts(hashes, groups))
 
 
 def fine_may_link(left: bytes, right: bytes) -> bool:
     """The bound of ``_may_link`` on two fine vectors, the longer folded to the shorter."""
-    a, b = (np.frombuffer(x, np.uint8, offset=8) for x in (left, right))
+    a, b = (np.frombuffer(zlib.decompress(x[8:]), np.uint8) for x in (left, right))
     groups = min(len(a), len(b))
     a, b = (np.where((x == SATURATED).reshape(-1, groups).any(axis=0), 1 << 20, x.reshape(-1, groups).sum(axis=0, dtype=np.int64)) for x in (a, b))
     sizes = [int.from_bytes(x[:8], "little") for x in (left, right)]
@@ -321,8 +334,11 @@ def _profiles(table: DataFrame, key: str, text: str, bits: int = NAME_BITS) -> D
     names = ["key", "class", "check", "size", "counts", "hash", "sightings"]
 
     def repeating(sets: dict[int, np.ndarray], kind: pa.DataType):
-        found, times = np.unique(np.concatenate([*sets.values(), np.empty(0, np.uint64)]), return_counts=True)
-        found, times = found[times > 1], times[times > 1]
+        every = np.concatenate([*sets.values(), np.empty(0, np.uint64)])
+        sets.clear()
+        every.sort()
+        found, times = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)
+        times += 1
         return pa.RecordBatch.from_arrays(
             [
                 pa.nulls(len(found), kind),
@@ -347,13 +363,13 @@ def _profiles(table: DataFrame, key: str, text: str, bits: int = NAME_BITS) -> D
                 classes.append(name)
                 checks.append(check)
                 sizes.append(len(hashes))
-                counts.append(group_counts(hashes).tobytes())
+                counts.append(_packed(group_counts(hashes)))
                 if check not in sets:
                     sets[check] = hashes
                     held += len(hashes)
                     if held > PIECE_HASHES:
                         yield repeating(sets, kind)
-                        sets, held = {}, 0
+                        held = 0
             nothing = pa.nulls(len(classes), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -464,15 +480,18 @@ def _shared(postings: DataFrame) -> DataFrame:
 def _found_again(table: DataFrame, key: str, text: str, names: Names, keys: DataFrame, made) -> DataFrame:
     """(class, made) of at least the documents with these keys; ``made`` turns a set into bytes.
 
-    A bitmap holds the hashes of the keys and picks the texts where they are read, so
-    texts aren't shuffled. It has ``MOST_BITS`` at most; what it lets through beyond the
-    keys is left out by the joins that follow.
+    A Bloom filter holds the keys and picks the texts where they are read, so texts aren't
+    shuffled. It has ``MOST_BITS`` at most; what it lets through beyond the keys is left out
+    by the joins that follow. Copies in one batch of rows come once.
     """
     wanted = BITS_PER_KEY * max(1, keys.count())
     size = min(MOST_BITS, max(FEWEST_BITS, 1 << wanted.bit_length()))
-    place = F.pmod(F.xxhash64("_key"), F.lit(size))
+
+    def places(key: str) -> list[Column]:
+        return [F.pmod(F.xxhash64(key, F.lit(look)), F.lit(size)) for look in range(LOOKS)]
+
     buckets = (
-        keys.select(place.alias("p"))
+        keys.select(F.explode(F.array(*places("_key"))).alias("p"))
         .groupBy(F.bitmap_bucket_number("p").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     )
@@ -484,18 +503,20 @@ def _found_again(table: DataFrame, key: str, text: str, names: Names, keys: Data
 
     def run(batches):
         for batch in batches:
-            number, position = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            inside = shipped.value[number * width + position // 8] >> (position % 8) & 1
-            sets = shingle_sets(batch.column(0).filter(pa.array(inside.astype(bool))))
-            rows = [(class_of(s, names), made(s)) for s in sets if len(s)]
+            inside = np.ones(len(batch), bool)
+            for look in range(LOOKS):
+                number, position = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1 + 2 * look, 2 + 2 * look))
+                inside &= (shipped.value[number * width + position // 8] >> (position % 8) & 1).astype(bool)
+            rows: dict[int, bytes] = {}
+            for found in shingle_sets(batch.column(0).filter(pa.array(inside))):
+                if len(found) and (name := class_of(found, names)) not in rows:
+                    rows[name] = made(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
-                names=["class", "made"],
+                [pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["class", "made"]
             )
 
-    spot = F.pmod(F.xxhash64(key), F.lit(size))
-    rows = table.select(text, F.bitmap_bucket_number(spot).alias("n"), F.bitmap_bit_position(spot).alias("p"))
-    return rows.mapInArrow(run, "class bigint, made binary")
+    spots = [f(p).alias(f"{a}{i}") for i, p in enumerate(places(key)) for a, f in (("n", F.bitmap_bucket_number), ("p", F.bitmap_bit_position))]
+    return table.select(text, *spots).mapInArrow(run, "class bigint, made binary")
 
 
 def _cells(batches, finish) -> Iterator[pa.RecordBatch]:
@@ -515,9 +536,9 @@ def _cells(batches, finish) -> Iterator[pa.RecordBatch]:
 
 def _unpacked(cells: pa.Table):
     h, p, c, n = (cells.column(k).to_numpy() for k in ("hash", "part", "class", "size"))
-    packed = np.frombuffer(b"".join(cells.column("counts").to_pylist()), np.uint8).reshape(-1, GROUPS)
+    counts = _rows_of(cells.column("counts").to_pylist())
     starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (p[1:] != p[:-1])]))
-    return c, n, packed, starts, np.diff(np.append(starts, len(h)))
+    return c, n, counts, starts, np.diff(np.append(starts, len(h)))
 
 
 def _pair_batch(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
@@ -543,7 +564,7 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             sizes = [batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4)]
-            counts = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, GROUPS) for i in (3, 5)]
+            counts = [_rows_of(batch.column(i).to_pylist()) for i in (3, 5)]
             yield batch.select([0, 1]).filter(pa.array(_may_link(sizes[0], counts[0], sizes[1], counts[1]), pa.bool_()))
 
     of_a = points.select(F.col("class").alias("a"), F.col("size").alias("n_a"), F.col("counts").alias("c_a"))

@@ -188,3 +188,27 @@ def test_one_of_each(spark):
     wanted = {k for k, _, c in brute(rows) if k == c}
     assert {str(r.doc_id) for r in kept.collect() if r.doc_id is not None} == wanted - {"None"}
     assert kept.where("doc_id IS NULL").count() == 1 and kept.where("doc_id = 3").count() <= 1
+
+
+def test_texts_are_found_again_with_few_others(spark):
+    """What the filter lets through beyond its keys is shuffled with the sets."""
+    table = spark.range(40_000).selectExpr("id AS doc_id", "concat_ws(' ', id, 'a', 'b', 'c', 'd', 'e') AS text")
+    keys = spark.range(0, 40_000, 10).withColumnRenamed("id", "_key")
+    found = J._found_again(table, "doc_id", "text", (J.NAME_BITS, {}), keys, lambda hashes: b"").count()
+    assert 4000 <= found <= 4040
+
+
+def test_count_vectors_are_stored_packed():
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (1, 500, 100_000)]
+    counts = np.stack([J.group_counts(s) for s in sets])
+    assert (J._rows_of([J._packed(c) for c in counts]) == counts).all()
+    assert len(J._packed(counts[1])) < J.GROUPS / 2
+    assert J.fine_may_link(J.fine_counts(sets[1]), J.fine_counts(sets[1]))
+
+
+def test_hashes_that_repeat_are_counted(spark):
+    texts = ["a b c d e f", "x a b c d e", "a b c d e g", "p q r s t"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    seen = [r["sightings"] for r in J._profiles(table, "doc_id", "text").where("hash IS NOT NULL").collect()]
+    assert seen == [3]
