@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,30 @@ def checkpointed(table: DataFrame) -> DataFrame:
     return table.checkpoint()
 
 
+# Bytes of texts that go to Python at a time.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end at ``BATCH_BYTES``, where else they hold 10,000 texts of any length.
+
+    A task has several copies of a batch, in the executor and in Python. Results don't
+    depend on where batches end.
+    """
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+@contextmanager
+def in_small_batches(spark: SparkSession) -> Iterator[None]:
+    """``small_batches`` for the jobs that run inside."""
+    before = spark.conf.get(BATCH_SETTING)
+    small_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def documents_of(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 

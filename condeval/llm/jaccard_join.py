@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from condeval.llm.common import checkpointed, free_names
+from condeval.llm.common import checkpointed, free_names, in_small_batches
 
 WORDS = 5
 # Link: PART * union <= WHOLE * intersection.
@@ -707,6 +707,12 @@ def near_duplicates(
     table: DataFrame, key: str = "doc_id", text: str = "text", name_bits: int = NAME_BITS
 ) -> DataFrame:
     """(key, n_shingles, component_id): each document's set size and the smallest key it reaches."""
+    # All steps that read texts are checkpointed, so none runs after this.
+    with in_small_batches(table.sparkSession):
+        return _near_duplicates(table, key, text, name_bits)
+
+
+def _near_duplicates(table: DataFrame, key: str, text: str, name_bits: int) -> DataFrame:
     profiles = checkpointed(_profiles(table, key, text, name_bits))
     rows = profiles.where("hash IS NULL").select("key", "class", "check", "size", "counts")
     renamed = _renamed(rows)

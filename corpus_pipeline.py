@@ -1,7 +1,9 @@
 """A corpus pipeline: four stages, each calling one of the training-text operators.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is
-written as Parquet and read again as the next one's documents.
+written as Parquet and read again as the next one's documents. The stages share their
+executors' memory, so texts go to Python in batches of bounded size, a setting that stays
+with the session.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from condeval.llm import bpe, jaccard_join, language_id, mixing
-from condeval.llm.common import scratch_table
+from condeval.llm.common import scratch_table, small_batches
 from condeval.llm.queries import quality_weights, tokenizer_file
 
 # A document stays if some language holds this share of its bytes' probability.
@@ -18,11 +20,13 @@ MIN_SCORE = 0.35
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a determined language."""
+    small_batches(spark)
     return language_id.kept(docs, language_id.fitted_if_any(docs), MIN_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group that word 5-grams link."""
+    small_batches(spark)
     return jaccard_join.one_of_each(docs)
 
 
@@ -33,6 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each document's encoding and decoding."""
+    small_batches(spark)
     return bpe.round_trip_digests(docs, tokenizer_file())
 
 

@@ -1,5 +1,6 @@
 import hashlib
 
+import pyarrow as pa
 import pytest
 from test_jaccard_join import brute
 from tokenizers import Tokenizer
@@ -97,3 +98,17 @@ def test_pipeline_without_labels(spark, steps, rows):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, FOLDER)
     assert docs.count() == 0 and docs.columns == steps[-1].columns
+
+
+def test_texts_reach_python_in_bounded_batches(spark):
+    """100 texts of 400,000 characters are no single batch."""
+    docs = spark.range(100).selectExpr("id AS doc_id", "repeat('a', 400000) AS text").coalesce(1)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.unset(setting)
+        P.encode(spark, docs, "")
+        sizes = docs.select("text").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+        assert max(r["n"] for r in sizes.collect()) < 6e6
+    finally:
+        spark.conf.set(setting, before)
